@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
+from . import embedding_neighbours, exact_dedup, jaccard_join, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(_table(spark, sf_dir, "documents")))
 
 
+def op7_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neighbours.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,16 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_embedding_neighbours": """
+            WITH RECURSIVE v AS (
+                SELECT vec_id, embedding::DOUBLE[] AS e, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS s FROM embeddings
+            ), link AS (
+                SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+                WHERE a.vec_id != b.vec_id AND a.s > 0 AND b.s > 0 AND list_dot_product(a.e, b.e) >= 0.9 * sqrt(a.s) * sqrt(b.s)
+            ), reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+            SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, vec_id = c AS kept
+            FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = vec_id
+            LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = vec_id""",
         "op1_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
