@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_HASH, LOWER, U64, mix64, slice_hashes, text_blocks, words_of
 
-SHAPES, WORDS = 2048, 2048
+SHAPES, WORDS = 1024, 1024
 
 
 def _shape_codes() -> np.ndarray:
