@@ -209,38 +209,61 @@ def _runs(sig: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]]) if len(sig) else np.zeros(1, np.int64)
 
 
+def _named(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sets and each entry's place among them, so that a pair is one integer."""
+    return np.unique(node, return_inverse=True)
+
+
+def _as_pairs(names: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
+    a, b = names[codes // len(names)] if len(codes) else names[:0], names[codes % len(names)] if len(codes) else names[:0]
+    return pd.DataFrame({"a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)})
+
+
 def _first_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     """Of each bucket, members sorted by size: pairs with its first and with the one before."""
-    x = np.unique(np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 3), axis=0) if len(rows) else np.zeros((0, 3), U64)
-    sig, size, node = x[:, 0], x[:, 1], x[:, 2]
+    x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 3)
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    sig, size = x[:, 0], x[:, 1]
+    names, who = _named(x[:, 2])
     same = np.flatnonzero(sig[1:] == sig[:-1]) + 1
     edges = _runs(sig)
-    head = np.repeat(edges[:-1], np.diff(edges))
-    a, b = np.concatenate([node[same - 1], node[head[same]]]), np.concatenate([node[same], node[same]])
-    close = np.concatenate([size[same - 1] * U64(4) >= size[same] * U64(3), size[head[same]] * U64(4) >= size[same] * U64(3)])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[close], axis=0)
-    return pd.DataFrame({"a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64)})
+    head = np.repeat(edges[:-1], np.diff(edges))[same]
+    found = []
+    for other in (same - 1, head):
+        close = size[other] * U64(4) >= size[same] * U64(3)
+        i, j = who[other][close], who[same][close]
+        found.append(np.minimum(i, j) * len(names) + np.maximum(i, j))
+    return _as_pairs(names, np.unique(np.concatenate(found)))
 
 
 def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each bucket, pairs of members of different components whose sizes allow a link."""
-    blob = [np.frombuffer(b, U64).reshape(-1, 4) for b in rows["blob"]]
-    x = np.unique(np.concatenate(blob), axis=0) if blob else np.zeros((0, 4), U64)
-    sig, size, node, comp = x[:, 0], x[:, 1], x[:, 2], x[:, 3]
-    edges, out = _runs(sig), []
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
-            continue
-        last = np.searchsorted(size[lo:hi] * U64(3), size[lo:hi] * U64(4), side="right") + lo
-        for i in range(lo, hi):
-            j = np.arange(i + 1, last[i - lo])
-            j = j[comp[j] != comp[i]]
-            if len(j):
-                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        if sum(map(len, out)) > 2_000_000:
-            out = [np.unique(np.concatenate(out), axis=0)]
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), U64)
-    return pd.DataFrame({"a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64)})
+    """Of each bucket, pairs of members of different components whose sizes allow a link; buckets are taken in passes of bounded pairs."""
+    x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 4)
+    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+    sig = x[:, 0]
+    edges = _runs(sig)
+    names, who = _named(x[:, 2])
+    codes = np.zeros(0, np.int64)
+    if len(sig):
+        mixed = np.minimum.reduceat(x[:, 3], edges[:-1]) != np.maximum.reduceat(x[:, 3], edges[:-1])
+        keep = np.repeat(mixed, np.diff(edges))
+        x, who = x[keep], who[keep]
+        edges = _runs(x[:, 0])
+    size, comp = x[:, 1].astype(np.int64), x[:, 3]
+    run_end = np.repeat(edges[1:], np.diff(edges))
+    after = run_end - np.arange(len(size)) - 1  # later members of the own bucket
+    upto = np.concatenate([[0], np.cumsum(after)])
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + 2_000_000, side="right")) - 1)
+        n = after[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (comp[i] != comp[j]) & (size[i] * 4 >= size[j] * 3)
+        i, j = who[i[ok]], who[j[ok]]
+        codes = np.unique(np.concatenate([codes, np.minimum(i, j) * len(names) + np.maximum(i, j)]))
+        at = end
+    return _as_pairs(names, codes)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
