@@ -96,6 +96,32 @@ def _stretches(length: int):
     return run
 
 
+def sorted_suffixes(symbol: np.ndarray, largest: int) -> np.ndarray:
+    """The suffix array by prefix doubling: each round sorts only the suffixes that others still equal."""
+    n, bits = len(symbol), int(largest).bit_length() + 1
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key[: n - i] |= (symbol[i:] + 1) << ((step - 1 - i) * bits)
+    suffix = np.argsort(key)
+    rows, ordered = np.arange(n), key[suffix]
+    rank = np.empty(n, np.int64)
+    while True:
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        start = np.flatnonzero(first)
+        sizes = np.diff(np.append(start, len(first)))
+        rank[suffix[rows]] = np.repeat(rows[start], sizes)
+        rows = rows[np.repeat(sizes > 1, sizes)]
+        if not len(rows):
+            return suffix
+        own = suffix[rows]
+        after = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + after
+        order = np.argsort(key)
+        suffix[rows], ordered = own[order], key[order]
+        step *= 2
+
+
 def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """For each piece the positions whose ``length`` bytes also start elsewhere in the pieces.
 
@@ -110,33 +136,32 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     bytes_at[edges[1:] - 1] = False
     symbol[bytes_at] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + m
     symbol[edges[1:] - 1] = np.arange(m)  # separators: all different, so nothing matches across them
-    rank, step = symbol, 1
-    while True:
-        key = rank * (n + m + 257)
-        key[:-step] += rank[step:] + 1
-        suffix = np.argsort(key, kind="stable")
-        ordered = key[suffix]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[suffix] = fresh
-        if fresh[-1] == n - 1:
-            break
-        step *= 2
+    suffix = sorted_suffixes(symbol, m + 256)
     transform = symbol[suffix - 1]
     by_symbol = np.argsort(transform, kind="stable")  # row t of the first column is row by_symbol[t] of the last
     first_column = transform[by_symbol]
     change = np.concatenate([[True], first_column[1:] != first_column[:-1]])
-    new = change.astype(np.int32)  # boundaries with the LCP value of the last level: first 0
+    new = np.flatnonzero(change)  # boundaries with the LCP value of the last level: first 0
     target = np.flatnonzero(~change)
     above, below = by_symbol[target - 1], by_symbol[target]
+    # two rows next to each other with one symbol extend to target[below] as soon as a boundary parts them; others wait in a list
+    beside = np.full(n, -1, np.int64)
+    near = below == above + 1
+    beside[below[near]] = target[near]
+    far, above, below = target[~near], above[~near], below[~near]
+    unset = ~change
     for _ in range(1, length):
-        upto = np.cumsum(new, dtype=np.int32)
-        hit = upto[below] != upto[above]  # a boundary of the last level lies between: this one's value is one more
-        new = np.zeros(n, np.int32)
-        new[target[hit]] = 1
-        target, above, below = target[~hit], above[~hit], below[~hit]
-        if not len(target):
+        found = beside[new]
+        found = found[found >= 0]
+        if len(far) and len(new):
+            hit = np.searchsorted(new, below, side="right") > np.searchsorted(new, above, side="right")
+            found = np.concatenate([found, far[hit]])
+            far, above, below = far[~hit], above[~hit], below[~hit]
+        if not len(found):
             break
+        unset[found] = False
+        new = np.sort(found)
+    target = np.flatnonzero(unset)
     starts = np.unique(np.concatenate([suffix[target], suffix[target - 1]]))
     cuts = np.searchsorted(starts, edges)
     return [starts[cuts[i] : cuts[i + 1]] - edges[i] for i in range(m)]
