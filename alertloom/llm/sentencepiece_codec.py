@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +95,18 @@ class Codec:
         self.control = {i for i in range(n) if model.is_control(i)}
         self.trie = PieceTrie([self.pieces[i].encode() for i in plain], plain, [scores[i] for i in plain])
         self.worst = min(scores[i] for i in plain) - UNKNOWN_PENALTY
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, list[int]] = {}
+        self.spelled = [b"" if i in self.control else bytes([self.is_byte[i]]) if i in self.is_byte else " ⁇ ".encode() if i == self.unknown else self.pieces[i].encode() for i in range(n)]
+        self.byte_piece = np.zeros(n, bool)
+        self.byte_piece[list(self.is_byte)] = True
 
     def words(self, text: str) -> list[str]:
         """The marked text, cut before each marker that follows another character."""
-        parts = (MARK + text.replace(" ", MARK)).split(MARK)
-        # parts[0] is empty; an empty part is a marker that another marker follows
+        parts = text.replace(MARK, " ").split(" ")
+        if "" not in parts:
+            return [MARK + part for part in parts]
         out, run = [], ""
-        for part in parts[1:]:
+        for part in parts:  # an empty part is a marker that another marker follows
             run += MARK
             if part:
                 out.append(run + part)
@@ -161,8 +166,6 @@ class Codec:
         depth = to - word_start[frm]
         order = np.lexsort((frm, to, depth))
         frm, to, pid, gain, depth = frm[order], to[order], pid[order], gain[order], depth[order]
-        best = np.full(len(data) + 1, -np.inf)
-        via = np.zeros(len(data) + 1, np.int64)
         # positions are per word: slot of (word, offset) = byte position, offset 0 is the word's start with score 0
         value_at = np.full(len(data) + len(words) + 1, -np.inf)
         shift = np.repeat(np.arange(len(words)), sizes)  # one slot more for each earlier word, so an end never is the next word's start
@@ -180,20 +183,31 @@ class Codec:
             firsts = winner[np.unique(group[winner], return_index=True)[1]]
             value_at[target[cuts]] = top
             back[target[cuts]] = a + firsts
-        del best, via
+        # all paths back at once: one arc of each unfinished word a step
+        ends, floors = starts[1:] + np.arange(len(words)), starts[:-1] + np.arange(len(words))
+        alive, slot = np.arange(len(words)), ends.copy()
+        who, arcs = [], []
+        while len(alive):
+            arc = back[slot]
+            who.append(alive)
+            arcs.append(arc)
+            slot = slot_from[arc]
+            more = slot > floors[alive]
+            alive, slot = alive[more], slot[more]
+        who, arcs = np.concatenate(who)[::-1], np.concatenate(arcs)[::-1]
+        order = np.argsort(who, kind="stable")
+        who, arcs = who[order], arcs[order]
+        edge = np.searchsorted(who, np.arange(len(words) + 1)).tolist()
+        ids = pid[arcs].tolist()
+        unknown = set(np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(pid[arcs] < 0), edge))).tolist())
         for i, word in enumerate(words):
-            slot, ids = int(starts[i + 1]) + i, []
-            floor = int(starts[i]) + i
-            while slot > floor:
-                arc = int(back[slot])
-                p = int(pid[arc])
-                if p >= 0:
-                    ids.append(p)
-                else:
-                    part = data[frm[arc] : to[arc]]
-                    ids.extend(self.byte_ids[part[::-1]].tolist() if self.fallback else [self.unknown])
-                slot = int(slot_from[arc])
-            self.memory[word] = tuple(reversed(ids))
+            if i not in unknown:
+                self.memory[word] = ids[edge[i] : edge[i + 1]]
+                continue
+            own: list[int] = []
+            for k in range(edge[i], edge[i + 1]):
+                own += [ids[k]] if ids[k] >= 0 else self.byte_ids[data[frm[arcs[k]] : to[arcs[k]]]].tolist() if self.fallback else [self.unknown]
+            self.memory[word] = own
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; an empty text has none."""
@@ -204,18 +218,11 @@ class Codec:
         if new:
             self.solve(list(new))
         memory = self.memory
-        return [[i for w in ws for i in memory[w]] for ws in cut]
+        return [list(chain.from_iterable(map(memory.__getitem__, ws))) for ws in cut]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, runs of byte pieces read as UTF-8 (a broken run gives U+FFFD), markers back to spaces, the first one dropped."""
-        out = bytearray()
-        for i in ids:
-            if i in self.is_byte:
-                out.append(self.is_byte[i])
-            elif i == self.unknown:
-                out += " ⁇ ".encode()
-            elif i not in self.control:
-                out += self.pieces[i].encode()
+        out = b"".join(map(self.spelled.__getitem__, ids))
         text = out.decode("utf-8", errors="replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -275,13 +282,14 @@ def _digest(path: str):
             for a, b in _blocks(texts):
                 part = [t or "" for t in texts[a:b]]
                 ids = own.encode(part)
+                arrays = [np.array(i, "<i4") for i in ids]
                 back = [own.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([sum(x in own.is_byte for x in i) for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids]),
+                        pa.array([int(own.byte_piece[x].sum()) for x in arrays], pa.int64()),
+                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                         pa.array([x == y for x, y in zip(part, back, strict=True)]),
                     ],
