@@ -7,6 +7,7 @@ exist and memory does not follow the length of a batch.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -130,6 +131,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(session: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now: it does so when the driver's garbage is collected, which may be much later."""
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, for large tables: the rows as compressed Parquet files in the shared folder."""
     session = df.sparkSession

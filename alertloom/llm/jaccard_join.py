@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, LOWER, U64, binary_array, checkpointed, components, mix64, pack, partitions, slice_hashes, text_blocks, words_of
+from .common import BYTE_HASH, LOWER, U64, binary_array, checkpointed, components, mix64, pack, partitions, release, slice_hashes, text_blocks, words_of
 
 WORDS = 5
 #: 64-bit packed signatures: the low NODE_BITS name the set and its instance, the rest is the signature within its part.
@@ -320,6 +320,8 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     blobs = docs.select("text").mapInArrow(_blobs(parts, False), "part int, blob binary")
     counted = blobs.groupBy("part").applyInPandas(_count_shared(parts), "part int, blob binary")
     shared = checkpointed(counted.groupBy("part").applyInPandas(_sum_shared, "node long, shared long"))
+    del blobs, counted
+    release(session)
     sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
     mask = (1 << NODE_BITS) - 1
     asked = sets.select("text_key", F.explode(F.array(*(F.struct((F.shiftleft("key", 1).bitwiseOR(F.lit(r).cast("long"))).bitwiseAND(F.lit(mask)).alias("node"), F.col(f"need{r}").alias("need")) for r in (0, 1)))).alias("x")).select("text_key", "x.*")
@@ -327,15 +329,22 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     texts = docs.withColumn("text_key", F.xxhash64("text")).join(survivors, "text_key", "left_semi").select("text")
     own = checkpointed(texts.mapInArrow(_sets, "key long, hashes binary").where("length(hashes) > 0").groupBy("key").agg(F.first("hashes").alias("hashes")))
 
+    del texts
+    release(session)
     fewer = max(1, parts // 8)
     pairs = own.mapInArrow(_blobs(fewer, True), "part int, blob binary").groupBy("part").applyInPandas(_first_pairs, "a long, b long").distinct()
     tried = checkpointed(pairs)
+    del pairs
+    release(session)
     links = checkpointed(_verify(tried, own))
+    release(session)
     joined = components(links, "a", "b")
     while True:
         labelled = own.join(joined, own.key == joined.node, "left").select("key", "hashes", F.coalesce("comp", "key").alias("comp"))
         cross = labelled.mapInArrow(_with_component(labelled, fewer), "part int, blob binary").groupBy("part").applyInPandas(_cross_pairs, "a long, b long").distinct()
         new = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
+        del cross, labelled
+        release(session)
         fresh = checkpointed(_verify(new, own))
         if not fresh.limit(1).count():
             break
