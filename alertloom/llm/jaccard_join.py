@@ -13,7 +13,7 @@ partitions agrees with any partner on m - k_i of those at least; a set with m <=
    instances can't link with any other set; the rest are *survivors*. A common passage alone does not pass this.
 3. Signatures of the survivors give candidate pairs: each bucket links its members to its first and to their
    neighbour by size. Pairs are verified on the whole sets. Then, per bucket, only pairs of members that are not yet in
-   one component are emitted and verified, until none is left. So every link between different texts is used or is
+   one component are emitted; those that agree on as many partitions as a link implies are verified, until none is left. So every link between different texts is used or is
    implied by others, and no bucket is expanded into all pairs of one group of copies.
 """
 
@@ -237,19 +237,22 @@ def _first_pairs(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each bucket, pairs of members of different components whose sizes allow a link; buckets are taken in passes of bounded pairs."""
-    x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 4)
+    """Of each bucket, pairs of members of different components whose sizes allow a link, with how often the part has each; buckets are taken in passes of bounded pairs."""
+    x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 5)
     x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
     sig = x[:, 0]
     edges = _runs(sig)
     names, who = _named(x[:, 2])
-    codes = np.zeros(0, np.int64)
+    codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    asked = np.zeros((len(names), 2), np.int64)
     if len(sig):
+        odd = (x[:, 4] & U64(1)).astype(np.int64)
+        asked[who, odd] = (x[:, 4] >> U64(1)).astype(np.int64)
         mixed = np.minimum.reduceat(x[:, 3], edges[:-1]) != np.maximum.reduceat(x[:, 3], edges[:-1])
         keep = np.repeat(mixed, np.diff(edges))
         x, who = x[keep], who[keep]
         edges = _runs(x[:, 0])
-    size, comp = x[:, 1].astype(np.int64), x[:, 3]
+    size, comp, odd = x[:, 1].astype(np.int64), x[:, 3], (x[:, 4] & U64(1)).astype(np.int64)
     run_end = np.repeat(edges[1:], np.diff(edges))
     after = run_end - np.arange(len(size)) - 1  # later members of the own bucket
     upto = np.concatenate([[0], np.cumsum(after)])
@@ -260,10 +263,16 @@ def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         i = np.repeat(np.arange(at, end), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         ok = (comp[i] != comp[j]) & (size[i] * 4 >= size[j] * 3)
-        i, j = who[i[ok]], who[j[ok]]
-        codes = np.unique(np.concatenate([codes, np.minimum(i, j) * len(names) + np.maximum(i, j)]))
+        i, j = i[ok], j[ok]
+        a, b = who[i], who[j]
+        got = (np.minimum(a, b) * len(names) + np.maximum(a, b)) * 2 + odd[i]
+        codes, where = np.unique(np.concatenate([codes, got]), return_inverse=True)
+        times = np.bincount(where, weights=np.concatenate([times, np.ones(len(got), np.int64)]), minlength=len(codes)).astype(np.int64)
         at = end
-    return _as_pairs(names, codes)
+    odd, codes = codes & 1, codes >> 1
+    out = _as_pairs(names, codes)
+    first, second = (codes // len(names), codes % len(names)) if len(codes) else (codes, codes)
+    return out.assign(odd=odd.astype(np.int32), times=times, need=np.maximum(asked[first, odd], asked[second, odd]))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +296,18 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, "a long, b long")
 
 
-def _with_component(blobs: DataFrame, parts: int):
-    """Blob of (signature, size, set, component) by part."""
+def _with_component(parts: int):
+    """Blob of (signature, size, set, component, needed agreements and parity of the instance) by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, comp = batch.column(0).to_numpy().view(U64), batch.column(2).to_numpy().view(U64)
             sets = [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
-            sig, whose, _, _ = signatures(sets)
-            size = np.array([len(s) for s in sets], U64)[whose]
-            got = list(pack(sig, [sig, size, key[whose], comp[whose]], parts))
+            sig, whose, role, need = signatures(sets)
+            size = np.array([len(s) for s in sets])[whose]
+            odd = (np.searchsorted(LOW, size, side="right") - 1 + role) & 1
+            asks = need[whose, role].astype(U64) << U64(1) | odd.astype(U64)
+            got = list(pack(sig, [sig, size.astype(U64), key[whose], comp[whose], asks], parts))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([np.stack(g[1], 1).tobytes() for g in got], pa.binary())], ["part", "blob"])
 
     return run
@@ -341,7 +352,9 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     joined = components(links, "a", "b")
     while True:
         labelled = own.join(joined, own.key == joined.node, "left").select("key", "hashes", F.coalesce("comp", "key").alias("comp"))
-        cross = labelled.mapInArrow(_with_component(labelled, fewer), "part int, blob binary").groupBy("part").applyInPandas(_cross_pairs, "a long, b long").distinct()
+        cross = labelled.mapInArrow(_with_component(fewer), "part int, blob binary").groupBy("part").applyInPandas(_cross_pairs, "a long, b long, odd int, times long, need long")
+        # linked sets agree on at least as many partitions of one instance as either of them needs
+        cross = cross.groupBy("a", "b", "odd").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b").distinct()
         new = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
         del cross, labelled
         release(session)
