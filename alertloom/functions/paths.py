@@ -67,7 +67,7 @@ def first_list(payload: Column, paths: list[str]) -> Column:
     v = first_present(payload, paths)
     one = F.trim(_text(v))
     empty = F.array().cast("array<string>")
-    items = F.when(_is(v, "ARRAY"), F.transform(_listed(v), F.trim)).when(one != "", F.array(one))
+    items = F.when(_is(v, "ARRAY"), F.transform(_listed(v), lambda x: F.trim(x))).when(one != "", F.array(one))
     return F.coalesce(items, empty)
 
 

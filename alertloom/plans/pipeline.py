@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, dedup, normalize, triage
+from ..operators import cluster as clustering
+from ..operators import dedup, normalize, triage
 from ..operators.graph import persisted
 
 
@@ -17,10 +18,10 @@ class Stages:
     """The stages; replace any with a function of the same shape."""
 
     normalize: Callable[[DataFrame], DataFrame] = normalize.normalize
-    cluster: Callable[[DataFrame], DataFrame] = cluster.cluster
+    cluster: Callable[[DataFrame], DataFrame] = clustering.cluster
     enrich: Callable[[DataFrame], DataFrame] = lambda alerts: triage.enriched(triage.indicators(alerts))
     score: Callable = triage.score_candidates
-    incidents: Callable[[DataFrame], DataFrame] = cluster.incidents
+    incidents: Callable[[DataFrame], DataFrame] = clustering.incidents
 
 
 @dataclass
@@ -43,9 +44,9 @@ def run(raw: DataFrame, assets: DataFrame | None = None, recorded: DataFrame | N
         raw = dedup.unseen(raw, seen, now)
     alerts = stages.normalize(raw)
     alerts = dedup.first_wins(alerts.withColumn("_k", F.col("id")), ["_k"], ["event_ts", "payload_json"]).drop("_k")
-    alerts = persisted(alerts.withColumn("entities", cluster.entities(alerts)))
+    alerts = persisted(alerts.withColumn("entities", clustering.entities(alerts)))
     clusters = persisted(stages.cluster(alerts))
-    candidates = persisted(cluster.candidates(alerts, clusters))
+    candidates = persisted(clustering.candidates(alerts, clusters))
     if assets is not None:
         candidates = triage.with_assets(candidates, assets, "primary_host", F.get("src_ips", F.lit(0)), ("hostname", "owner", "criticality", "internet_facing"))
     enrichments = stages.enrich(alerts)
@@ -57,7 +58,7 @@ def run(raw: DataFrame, assets: DataFrame | None = None, recorded: DataFrame | N
         scored = triage.with_recorded(scored, recorded, "candidate_id")
     routes = persisted(triage.routed(scored, "candidate_id", config.page_at, config.queue_at, config.destinations))
     queue = routes.where("routed_action = 'queue_review'").select(F.col("candidate_id").alias("id"), "score", F.col("last_seen").alias("queued_at"), F.lit("open").alias("status"))
-    incidents = stages.incidents(cluster.promoted(routes, config.incident_score, config.promote_paged))
+    incidents = stages.incidents(clustering.promoted(routes, config.incident_score, config.promote_paged))
     return {"alerts": alerts, "clusters": clusters, "candidates": candidates, "enrichments": enrichments, "triage": routes, "queue": queue, "incidents": incidents}
 
 
