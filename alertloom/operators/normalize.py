@@ -92,20 +92,24 @@ def normalize(raw: DataFrame) -> DataFrame:
     def field(name: str, read, kind: str) -> Column:
         return _by_source({s: read(p, fields[name]) for s, fields in PATHS.items() if name in fields}, kind)
 
-    pf = {k: paths.first_string(p, PATHS["openbsd_pf"][k]) for k in ("action", "direction", "interface")}
-    pf_name = F.concat_ws(" ", F.lit("pf"), F.lower(pf["action"]), F.lower(pf["direction"]), F.when(pf["interface"].isNotNull(), F.concat(F.lit("on "), pf["interface"])))
     strings = {n: field(n, paths.first_string, "string") for n in STRINGS}
-    strings["rule_name"] = F.when(F.col("source") == "openbsd_pf", F.when(pf_name == "pf", "pf firewall event").otherwise(pf_name)).otherwise(strings["rule_name"])
-    groups = F.when(F.col("source") == "openbsd_pf", F.array_compact(F.array(F.lit("firewall"), F.lit("pf"), F.lower(pf["action"])))).otherwise(field("rule_groups", paths.first_list, "array<string>"))
-    level = F.when(F.col("source") == "openbsd_pf", pf["action"]).otherwise(field("source_severity", paths.first_string, "string"))
-    name = F.when(F.col("source") == "wazuh", severity.from_wazuh_level(level)).when(F.col("source") == "security_onion", severity.from_inverted(level)).when(F.col("source") == "openbsd_pf", severity.from_pf_action(level)).otherwise(severity.from_text_or_number(level))
-    ts = _by_source({s: paths.first_timestamp(p, f["timestamp"], F.col("event_ts")) for s, f in PATHS.items()}, "timestamp")
-    own = field("id", paths.first_string, "string")
+    pf = F.when(F.col("source") == "openbsd_pf", F.struct(*(paths.first_string(p, PATHS["openbsd_pf"][k]).alias(k) for k in ("action", "direction", "interface"))))
+    read = raw.select(
+        "id", "source", "payload", "payload_json", *(v.alias(k) for k, v in strings.items()), *(field(n, paths.first_int, "bigint").alias(n) for n in NUMBERS),
+        _by_source({s: paths.first_timestamp(p, f["timestamp"], F.col("event_ts")) for s, f in PATHS.items()}, "timestamp").alias("event_ts"),
+        field("rule_groups", paths.first_list, "array<string>").alias("rule_groups"), field("source_severity", paths.first_string, "string").alias("level"), field("id", paths.first_string, "string").alias("own"), pf.alias("pf"),
+    )
+    # a second projection: what is read once is named often
+    firewall = F.col("source") == "openbsd_pf"
+    pf_name = F.concat_ws(" ", F.lit("pf"), F.lower("pf.action"), F.lower("pf.direction"), F.when(F.col("pf.interface").isNotNull(), F.concat(F.lit("on "), F.col("pf.interface"))))
+    level = F.col("level")
+    name = F.when(F.col("source") == "wazuh", severity.from_wazuh_level(level)).when(F.col("source") == "security_onion", severity.from_inverted(level)).when(firewall, severity.from_pf_action(F.col("pf.action"))).otherwise(severity.from_text_or_number(level))
     fallback = F.concat_ws(":", "source", "id", F.substring(F.sha2("payload_json", 256), 1, 16))
-    return raw.select(
-        F.when(own.isNotNull(), F.concat_ws(":", "source", own)).otherwise(fallback).alias("id"), "source", ts.alias("event_ts"), name.alias("severity"), level.alias("source_severity"),
-        F.coalesce(groups, F.array().cast("array<string>")).alias("rule_groups"), *(v.alias(k) for k, v in strings.items()), *(field(n, paths.first_int, "bigint").alias(n) for n in NUMBERS),
-        F.col("id").alias("raw_event_id"), "payload", "payload_json",
+    groups = F.when(firewall, F.array_compact(F.array(F.lit("firewall"), F.lit("pf"), F.lower("pf.action")))).otherwise(F.col("rule_groups"))
+    return read.select(
+        F.when(F.col("own").isNotNull(), F.concat_ws(":", "source", "own")).otherwise(fallback).alias("id"), "source", "event_ts", name.alias("severity"), F.when(firewall, F.col("pf.action")).otherwise(level).alias("source_severity"),
+        F.coalesce(groups, F.array().cast("array<string>")).alias("rule_groups"), F.when(firewall, F.when(pf_name == "pf", "pf firewall event").otherwise(pf_name)).otherwise(F.col("rule_name")).alias("rule_name"),
+        *(c for c in STRINGS if c != "rule_name"), *NUMBERS, F.col("id").alias("raw_event_id"), "payload", "payload_json",
     )
 
 
