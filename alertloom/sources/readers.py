@@ -54,7 +54,7 @@ def replay(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     own = F.coalesce(F.nullif(F.trim(text("$.id")), F.lit("")), F.format_string("replay-%s-%s-%04d", source, stem, F.col("pos") + 1))
     out = rows.select(own.alias("id"), source.alias("source"), ts.alias("event_ts"), payload.alias("payload"), F.to_json(payload).alias("payload_json"), error.alias("error"), "file", "pos")
     if strict:
-        out = out.withColumn("id", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("id")))
+        out = out.withColumn("id", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("id")))
     return out
 
 
