@@ -13,7 +13,7 @@ partitions agrees with any partner on m - k_i of those at least; a set with m <=
    instances can't link with any other set; the rest are *survivors*. A common passage alone does not pass this.
 3. Signatures of the survivors give candidate pairs: each bucket links its members to its first and to their
    neighbour by size. Pairs are verified on the whole sets. Then, per bucket, only pairs of members that are not yet in
-   one component are emitted; those that agree on as many partitions as a link implies are verified, until none is left. So every link between different texts is used or is
+   one component are emitted, and those that agree on as many partitions as a link implies are verified. So every link between different texts is used or is
    implied by others, and no bucket is expanded into all pairs of one group of copies.
 """
 
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     del texts
     release(session)
-    fewer = max(1, parts // 8)
+    fewer = max(1, parts // 16)
     pairs = own.mapInArrow(_blobs(fewer, True), "part int, blob binary").groupBy("part").applyInPandas(_first_pairs, "a long, b long").distinct()
     tried = checkpointed(pairs)
     del pairs
@@ -350,19 +350,15 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     links = checkpointed(_verify(tried, own))
     release(session)
     joined = components(links, "a", "b")
-    while True:
-        labelled = own.join(joined, own.key == joined.node, "left").select("key", "hashes", F.coalesce("comp", "key").alias("comp"))
-        cross = labelled.mapInArrow(_with_component(fewer), "part int, blob binary").groupBy("part").applyInPandas(_cross_pairs, "a long, b long, odd int, times long, need long")
-        # linked sets agree on at least as many partitions of one instance as either of them needs
-        cross = cross.groupBy("a", "b", "odd").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b").distinct()
-        new = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
-        del cross, labelled
-        release(session)
-        fresh = checkpointed(_verify(new, own))
-        if not fresh.limit(1).count():
-            break
-        tried, links = tried.unionByName(new), links.unionByName(fresh)
-        joined = components(links, "a", "b")
+    labelled = own.join(joined, own.key == joined.node, "left").select("key", "hashes", F.coalesce("comp", "key").alias("comp"))
+    cross = labelled.mapInArrow(_with_component(fewer), "part int, blob binary").groupBy("part").applyInPandas(_cross_pairs, "a long, b long, odd int, times long, need long")
+    # linked sets agree on at least as many partitions of one instance as either of them needs
+    cross = cross.groupBy("a", "b", "odd").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b").distinct()
+    new = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
+    del cross, labelled
+    release(session)
+    # components only grow, so every pair that still lies in two of them has been here: one pass is enough
+    joined = components(links.unionByName(_verify(new, own)), "a", "b")
     least = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(joined, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("comp", "key").alias("comp"))
     whole = least.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = least.join(whole, "comp").select(F.col("key").alias("_key"), "component_id")
