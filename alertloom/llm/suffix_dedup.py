@@ -10,8 +10,8 @@ stretches hold each byte three times, but only hashes of most of them move):
    are joined with distinct separators, and common prefixes are derived on their Burrows-Wheeler transform: breadth-first
    backward extension sets the LCP values 0, 1, 2, ... in turn and stops at the minimum length. Rows whose value is then
    still unset share a prefix of at least that length with the row before;
-4. a minimizer whose different stretches are too many bytes for one task is dealt out by window instead: hashes of all its
-   windows are counted with map-side combining, which gives the same result for any size.
+4. a minimizer whose different stretches are too many bytes for one task is dealt out by window instead: 128-bit
+   hashes of all its windows are counted in packed parts, which gives the same result for any size.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, U64, checkpointed, mix64, partitions, text_blocks, written
+from .common import BYTE_HASH, U64, checkpointed, mix64, pack, partitions, release, slice_hashes, text_blocks, written
 
 GRAM = 32
 PART_BYTES = 1 << 19
+_SECOND = mix64(np.arange(256, dtype=U64) + U64(0x7EA))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -198,23 +199,46 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["gram", "whole", "piece"])
 
 
-def _windows(length: int):
+def _windows(length: int, parts: int):
+    """Per batch and part: (hash, hash, stretch, position) of all windows of the stretches, packed; a stretch is named by the first 8 bytes of its hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for whole, piece in zip(batch.column(0), batch.column(1), strict=True):
-                raw = piece.as_py()
-                n = len(raw) - length + 1
-                hashes = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([whole.as_py()] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes, pa.binary())], ["whole", "at", "window"])
+                data = np.frombuffer(piece.as_py(), np.uint8)
+                at = np.arange(len(data) - length + 1)
+                one, two = (slice_hashes(codes[data], at, at + length) for codes in (BYTE_HASH, _SECOND))
+                name = np.full(len(at), np.frombuffer(whole.as_py(), U64, count=1)[0])
+                got = list(pack(one, [one, two, name, at.astype(U64)], parts))
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([np.stack(g[1], 1).tobytes() for g in got], pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _merge_starts(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranges = [[{"a": a, "b": b} for a, b in merged(np.sort(np.array(x, np.int64)), length)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["whole", "ranges"])
+def _repeated_windows(parts: int):
+    """Of a part, the windows whose hashes occur twice, packed by stretch."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 4)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        same = np.concatenate([[False], (x[1:, 0] == x[:-1, 0]) & (x[1:, 1] == x[:-1, 1])])
+        x = x[same | np.concatenate([same[1:], [False]])]
+        got = list(pack(mix64(x[:, 2]), [x[:, 2], x[:, 3]], parts)) if len(x) else []
+        return pd.DataFrame({"part": pd.Series([g[0] for g in got], dtype="int32"), "blob": [np.stack(g[1], 1).tobytes() for g in got]})
+
+    return run
+
+
+def _joined_windows(length: int):
+    """The ranges that a part's repeated windows cover in each of its stretches."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 2)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        edges = np.concatenate([[0], np.flatnonzero(x[1:, 0] != x[:-1, 0]) + 1, [len(x)]])
+        names = [x[a, 0].tobytes() for a in edges[:-1]]
+        ranges = [[{"a": p, "b": q} for p, q in merged(x[a:b, 1].astype(np.int64), length)] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame({"name": names, "ranges": ranges})
 
     return run
 
@@ -247,23 +271,29 @@ def repeated_ranges(docs: DataFrame, length: int = 400, hot_bytes: int = PART_BY
     kinds = found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct("text_key", "start", "size")).alias("rep"))
     grams = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("variants"), F.sum("rep.size").alias("bytes"), F.max("twice").alias("any_twice"), F.max("n").alias("most")).where("variants > 1 or any_twice or most > 1")
     kinds = checkpointed(kinds.join(grams, "gram").select("gram", "whole", "n", "rep", "bytes", ((F.col("variants") > 1) | F.col("any_twice")).alias("open")))
+    release(docs.sparkSession)
     wanted = kinds.where("open")  # also those repeated as a whole: others may share windows with them
     parts = max(partitions(docs.sparkSession), (wanted.where(F.col("bytes") <= hot_bytes).agg(F.sum("rep.size")).first()[0] or 0) // PART_BYTES + 1)
     by_text = wanted.groupBy(F.col("rep.text_key").alias("text_key")).agg(F.collect_list(F.struct("gram", "whole", "rep.start", "rep.size")).alias("wanted"))
     pieces = keyed.join(by_text, "text_key").select("text", "wanted").mapInArrow(_slices, "gram long, whole binary, piece binary").groupBy("gram", "whole").agg(F.first("piece").alias("piece"))
     pieces = checkpointed(pieces.join(kinds.select(F.col("gram").alias("g"), F.col("whole").alias("w"), "bytes"), (F.col("gram") == F.col("g")) & (F.col("whole") == F.col("w"))).select("gram", "whole", "piece", "bytes"))
+    release(docs.sparkSession)
     cold = pieces.where(F.col("bytes") <= hot_bytes).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)))
     own = cold.select("part", "whole", "piece").groupBy("part").applyInPandas(_on_transform(length), f"whole binary, ranges {_RANGES}")
-    windows = pieces.where(F.col("bytes") > hot_bytes).select("whole", "piece").repartition(partitions(docs.sparkSession)).mapInArrow(_windows(length), "whole binary, at int, window binary")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    hot = windows.join(twice, "window").groupBy("whole").agg(F.collect_list("at").alias("at")).mapInArrow(_merge_starts(length), f"whole binary, ranges {_RANGES}")
+    big = pieces.where(F.col("bytes") > hot_bytes)
+    dealt = 4 * partitions(docs.sparkSession)
+    windows = big.select("whole", "piece").repartition(partitions(docs.sparkSession)).mapInArrow(_windows(length, dealt), "part int, blob binary")
+    twice = windows.groupBy("part").applyInPandas(_repeated_windows(dealt), "part int, blob binary").groupBy("part").applyInPandas(_joined_windows(length), f"name binary, ranges {_RANGES}")
+    hot = big.select("whole").join(twice, F.substring("whole", 1, 8) == F.col("name")).select("whole", "ranges")
     part = own.unionByName(hot).where("size(ranges) > 0").withColumnRenamed("whole", "w")
     judged = kinds.join(part, kinds.whole == F.col("w"), "left").where("n > 1 or ranges is not null")
     every = F.array(F.struct(F.lit(0).alias("a"), F.col("rep.size").alias("b")))
     judged = judged.select(F.col("gram").alias("g"), F.col("whole").alias("w"), F.when(F.col("n") > 1, every).otherwise(F.col("ranges")).alias("ranges"))
     hits = found.join(judged, (found.gram == F.col("g")) & (found.whole == F.col("w"))).select("text_key", "start", F.explode("ranges").alias("r"))
     hits = hits.select("text_key", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).distinct()
-    return hits.groupBy("text_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    out = checkpointed(hits.groupBy("text_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    release(docs.sparkSession)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, hot_bytes: int = PART_BYTES) -> DataFrame:
