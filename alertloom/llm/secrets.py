@@ -118,9 +118,11 @@ def _replace(docs: DataFrame, found: DataFrame, mask: str) -> DataFrame:
         step = lambda acc, s: F.when(s.start < acc.at, acc).otherwise(F.struct(s.end.alias("at"), F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mask)).alias("out")))
         return F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
 
-    text = F.when(F.col("live").isNotNull(), fold(F.col("live"), F.col("text"))).otherwise(F.col("text"))
+    spans = F.col("live")
     out = {c: docs[c] for c in docs.columns}
-    out["text"] = text.alias("text")
-    if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("live").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    out["text"] = F.when(spans.isNotNull(), fold(spans, docs["text"])).otherwise(docs["text"]).alias("text")
+    if "n_chars" in out:  # what the spans take and the masks give; a span inside an earlier one takes nothing
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gone"))
+        gone = F.aggregate(spans, start, lambda acc, s: F.when(s.start < acc.at, acc).otherwise(F.struct(s.end.alias("at"), (acc.gone + s.end - s.start - len(mask)).alias("gone"))), lambda acc: acc.gone)
+        out["n_chars"] = F.when(spans.isNotNull(), (F.length(docs["text"]) - gone).cast("long")).otherwise(docs["n_chars"]).alias("n_chars")
     return joined.select(*(v if c in ("text", "n_chars") else v.alias(c) for c, v in out.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import exact_dedup, packing, quality, secrets
+from alertloom.llm import exact_dedup, jaccard_join, packing, quality, secrets
 from alertloom.llm.common import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,17 +18,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts the row with the largest doc_id; of rows that repeat it, one."""
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return rows.join(kept, rows.doc_id.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (linked at Jaccard 0.75 or more of 5-word shingles) the row with the smallest doc_id."""
-    from alertloom.llm import jaccard_join
-
-    kept = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates (linked at Jaccard 0.75 or more of 5-word shingles) the row with the smallest doc_id; without a doc_id a row stays if any such row stands for its group."""
+    kept = jaccard_join.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
 def mask_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
