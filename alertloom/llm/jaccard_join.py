@@ -321,15 +321,16 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     100 * |A and B| >= 75 * |A or B|. component_id is the smallest doc_id reachable by links, own one included. Null texts
     count as empty. A null doc_id takes part as a text; its own row has the smallest other doc_id of its component or null.
     Repeated rows are equal sets. Empty tables give no rows. Set elements and keys are 64-bit hashes. ``parts``: how many
-    parts signatures are dealt to; by default 20 for each shuffle partition.
+    parts signatures are dealt to; by default 4 for each shuffle partition.
     """
     session = docs.sparkSession
-    parts = parts or 20 * partitions(session)
+    parts = parts or 4 * partitions(session)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_summaries, f"doc_id {kind}, text_key long, n_shingles long, key long, check long, need0 long, need1 long"))
     blobs = docs.select("text").mapInArrow(_blobs(parts, False), "part int, blob binary")
-    counted = blobs.groupBy("part").applyInPandas(_count_shared(parts), "part int, blob binary")
+    fewer = max(1, parts // 4)
+    counted = blobs.groupBy("part").applyInPandas(_count_shared(fewer), "part int, blob binary")
     shared = checkpointed(counted.groupBy("part").applyInPandas(_sum_shared, "node long, shared long"))
     del blobs, counted
     release(session)
@@ -342,7 +343,6 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     del texts
     release(session)
-    fewer = max(1, parts // 16)
     pairs = own.mapInArrow(_blobs(fewer, True), "part int, blob binary").groupBy("part").applyInPandas(_first_pairs, "a long, b long").distinct()
     tried = checkpointed(pairs)
     del pairs

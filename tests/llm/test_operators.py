@@ -40,8 +40,8 @@ def rows(seed=0, n=60):
 @pytest.fixture(scope="module")
 def table(spark):
     data, rng = rows()
-    data += [data[12], data[13]]  # rows that repeat
     full = [(i, t, "k", "c", 1, "t", 2, 0.5, 3, 4, 5, f"src{0 if rng.random() < 0.4 else rng.randrange(9)}" if i % 11 else None, "en") for i, t in data]
+    full, data = full + full[12:14], data + data[12:14]  # rows that repeat
     return spark.createDataFrame(full, EMPTY).repartition(3), data
 
 
