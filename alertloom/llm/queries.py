@@ -58,6 +58,17 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_jaccard_join": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), s AS (
+                SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+            ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), link AS (
+                SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id != b.doc_id
+                GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+            ), reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+            SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = doc_id""",
         "op7_embedding_neighbours": """
             WITH RECURSIVE v AS (
                 SELECT vec_id, embedding::DOUBLE[] AS e, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS s FROM embeddings
