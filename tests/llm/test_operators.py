@@ -267,6 +267,14 @@ def test_language_model(table):
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0 and r["attention_score"] < 0
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_every_id_is_learned_from(table, rounds):
+    df, data = table
+    encode = attention_lm._subwords(attention_lm.VOCABULARY)
+    want = sum(1 + sum(len(encode(" " + w)) for w in WORD.findall(lower(t))) for _, t in data)
+    assert attention_lm.fit(df, attention_lm.VOCABULARY, rounds)[1] == want
+
+
 def test_gradient_and_single_scoring():
     rng = np.random.default_rng(0)
     ids, starts = rng.integers(0, attention_lm.SUBWORDS, 150), np.array([0, 5, 5, 100, 150])
