@@ -275,6 +275,13 @@ def test_every_id_is_learned_from(table, rounds):
     assert attention_lm.fit(df, attention_lm.VOCABULARY, rounds)[1] == want
 
 
+def test_scored_ids_see_half_a_window():
+    _, _, _, scored, pos = attention_lm.windows(np.zeros(300, np.int64), np.array([0, 200, 300]), attention_lm.STRIDE)
+    at = np.nonzero(scored)[1]
+    begins = np.where(pos[scored] < 200, 0, 200)
+    assert (at >= np.minimum(attention_lm.WINDOW // 2, pos[scored] - begins)).all()
+
+
 def test_gradient_and_single_scoring():
     rng = np.random.default_rng(0)
     ids, starts = rng.integers(0, attention_lm.SUBWORDS, 150), np.array([0, 5, 5, 100, 150])
