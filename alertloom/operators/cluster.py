@@ -38,19 +38,23 @@ def _bucket(rows: DataFrame) -> Column:
 def _greedy_alerts(window_us: int, cap: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["component", "island", "ts", "id"], na_position="first", kind="stable")
-        groups: list[dict] = []
+        # open groups by entity; rows come in time order, so a group that is full or past the window never opens again
+        groups: dict[str, list[dict]] = {}
         out, at = [], None
-        for island, own, ts, names in zip(zip(rows["component"], rows["island"], strict=True), rows["id"], rows["ts"], rows["entities"], strict=True):
+        for k, (island, own, ts, names) in enumerate(zip(zip(rows["component"], rows["island"], strict=True), rows["id"], rows["ts"], rows["entities"], strict=True)):
             if island != at:
-                groups, at = [], island
+                groups, at = {}, island
             ts = None if pd.isna(ts) else int(ts)
             names = set(names)
-            for g in reversed(groups):
-                if g["n"] < cap and (ts is None or g["last"] is None or abs(ts - g["last"]) <= window_us) and not names.isdisjoint(g["names"]):
-                    break
-            else:
-                g = {"n": 0, "last": None, "names": set(), "first_id": own}
-                groups.append(g)
+            g = None
+            for name in names:
+                if name in groups:
+                    groups[name] = [h for h in groups[name] if h["n"] < cap and (ts is None or h["last"] is None or abs(ts - h["last"]) <= window_us)]
+                    g = max([*groups[name], *([g] if g else [])], key=lambda h: h["made"], default=None)
+            if g is None:
+                g = {"n": 0, "last": None, "names": set(), "first_id": own, "made": k}
+            for name in names - g["names"]:
+                groups.setdefault(name, []).append(g)
             g["n"] += 1
             g["names"] |= names
             if ts is not None:

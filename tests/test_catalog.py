@@ -34,3 +34,9 @@ def test_query(spark, name):
     names = [x[0] for x in result.description]
     assert sorted(names) == columns
     assert sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()) == got
+
+
+@pytest.mark.skipif(not TABLES, reason="no tables here")
+def test_multi_entity_clusters_hold_every_alert(spark):
+    got = [r["id"] for r in catalog.QUERIES["cluster_multi_entity"](spark, SF).collect()]
+    assert sorted(got) == sorted(r["id"] for r in catalog.alerts(spark, SF).select("id").collect())
