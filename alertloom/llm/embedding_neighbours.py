@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, partitions
 
 LIST, BLOCK, TILE, TREES, AUDIT = 10, 512, 512, 12, 400
-#: Edges under this cosine lead nowhere: they are not followed.
+#: Edges under this cosine (or under the threshold, where that is lower) lead nowhere: they are not followed.
 FOLLOW = 0.6
 _EDGES = "a long, b long, cosine double"
 
@@ -58,29 +58,39 @@ def _codes(trees: range, bits: int, seed: int):
     return run
 
 
-def _block_edges(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_edges(threshold: float):
     """Each node's LIST nearest of the block and all that pass the threshold, each pair once."""
-    x, node = _same_dim(rows), rows["node"].to_numpy()
-    c = x @ x.T
-    np.fill_diagonal(c, -2)
-    keep = c >= FOLLOW
-    if len(node) > LIST + 1:
-        kth = np.partition(c, len(node) - LIST, axis=1)[:, len(node) - LIST]
-        keep &= (c >= kth[:, None]) | (c >= 0.9)
-    i, j = np.nonzero(keep | keep.T)
-    up = node[i] < node[j]
-    return pd.DataFrame({"a": node[i][up], "b": node[j][up], "cosine": c[i, j][up]})
-
-
-def _pair_cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = batch.column(2), batch.column(3)
-        nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
-        cosine = np.full(batch.num_rows, -2.0)
-        for dim in np.unique(nx[nx == ny]).tolist():
-            at = np.flatnonzero((nx == dim) & (ny == dim))
-            cosine[at] = (unit_rows(_matrix(x.take(pa.array(at)))) * unit_rows(_matrix(y.take(pa.array(at))))).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["a", "b", "cosine"]).filter(pa.array(cosine >= FOLLOW))
+    follow = min(FOLLOW, threshold)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, node = _same_dim(rows), rows["node"].to_numpy()
+        c = x @ x.T
+        np.fill_diagonal(c, -2)
+        keep = c >= follow
+        if len(node) > LIST + 1:
+            kth = np.partition(c, len(node) - LIST, axis=1)[:, len(node) - LIST]
+            keep &= (c >= kth[:, None]) | (c >= threshold)
+        i, j = np.nonzero(keep | keep.T)
+        up = node[i] < node[j]
+        return pd.DataFrame({"a": node[i][up], "b": node[j][up], "cosine": c[i, j][up]})
+
+    return run
+
+
+def _pair_cosines(threshold: float):
+    follow = min(FOLLOW, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+            cosine = np.full(batch.num_rows, -2.0)
+            for dim in np.unique(nx[nx == ny]).tolist():
+                at = np.flatnonzero((nx == dim) & (ny == dim))
+                cosine[at] = (unit_rows(_matrix(x.take(pa.array(at)))) * unit_rows(_matrix(y.take(pa.array(at))))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["a", "b", "cosine"]).filter(pa.array(cosine >= follow))
+
+    return run
 
 
 def _tile_links(threshold: float):
@@ -122,7 +132,7 @@ def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: Dat
     # a block that gathers far more than its share is dealt to random parts of about BLOCK; what they miss the rounds and the other trees find
     load = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("load"))
     block = coded.join(load, ["tree", "code"]).withColumn("salt", F.pmod(F.xxhash64("node", "tree"), F.greatest(F.lit(1), F.ceil(F.col("load") / (4 * BLOCK)))))
-    found = block.groupBy("tree", "code", "salt").applyInPandas(_block_edges, _EDGES)
+    found = block.groupBy("tree", "code", "salt").applyInPandas(_block_edges(threshold), _EDGES)
     edges = checkpointed((found if edges is None else found.unionByName(edges)).distinct())
     fresh = edges
     for _ in range(rounds):
@@ -134,7 +144,7 @@ def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: Dat
         over = newer.select(F.col("a").alias("x"), F.col("b").alias("mid")).join(lists.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").where("x != y")
         candidates = over.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
         pairs = candidates.join(nodes.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(nodes.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
-        fresh = checkpointed(pairs.mapInArrow(_pair_cosines, _EDGES))
+        fresh = checkpointed(pairs.mapInArrow(_pair_cosines(threshold), _EDGES))
         gained = fresh.where(F.col("cosine") >= threshold).count()
         edges = checkpointed(edges.unionByName(fresh))
         if gained <= n / 1000:

@@ -153,6 +153,14 @@ def test_neighbours(spark):
     assert sorted(map(tuple, got)) == sorted((i, degree[i], want[i], want[i] == i) for i, _, _ in data)
 
 
+def test_low_thresholds_keep_their_edges(spark):
+    rng = np.random.default_rng(5)
+    first = np.linalg.qr(rng.standard_normal((64, 24)))[0].T
+    data = [(i, [float(x) for x in first[i]]) for i in range(12)] + [(12 + i, [float(x) for x in 0.55 * first[i] + (1 - 0.55**2) ** 0.5 * first[12 + i]]) for i in range(12)]
+    got = embedding_neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"), threshold=0.5).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 1, i % 12) for i in range(24)}
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
