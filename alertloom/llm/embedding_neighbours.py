@@ -2,7 +2,8 @@
 
 Equal vectors are one node with a multiplicity. A neighbour graph starts from blocks of random hyperplanes that are
 compared exactly, and is refined by neighbours-of-neighbours joins until a round adds almost nothing. A node's list holds
-its LIST nearest neighbours; a list whose neighbours all pass the threshold is saturated and is enlarged: at the end the
+its LIST nearest neighbours; a list whose neighbours all pass the threshold is saturated and is enlarged past them, until
+LIST neighbours of other components are in it, and the joins pair members of different components only: at the end the
 members of each component of threshold edges are compared with each other exactly, in tiles, so links in it are
 complete however many there are. Recall is audited by comparing a sample of nodes with all; more rounds follow if it is low.
 """
@@ -59,7 +60,7 @@ def _codes(trees: range, bits: int, seed: int):
 
 
 def _block_edges(threshold: float):
-    """Each node's LIST nearest of the block and all that pass the threshold, each pair once."""
+    """Each node's LIST nearest of the block, all that pass the threshold and the LIST nearest that don't, each pair once."""
     follow = min(FOLLOW, threshold)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +70,9 @@ def _block_edges(threshold: float):
         keep = c >= follow
         if len(node) > LIST + 1:
             kth = np.partition(c, len(node) - LIST, axis=1)[:, len(node) - LIST]
-            keep &= (c >= kth[:, None]) | (c >= threshold)
+            far = np.where(c < threshold, c, -2)
+            beyond = np.partition(far, len(node) - LIST, axis=1)[:, len(node) - LIST]
+            keep &= (c >= kth[:, None]) | (c >= threshold) | (far >= beyond[:, None])
         i, j = np.nonzero(keep | keep.T)
         up = node[i] < node[j]
         return pd.DataFrame({"a": node[i][up], "b": node[j][up], "cosine": c[i, j][up]})
@@ -124,8 +127,12 @@ def _audit(sample, threshold: float):
     return run
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: DataFrame | None, n: int, rounds: int = 6) -> DataFrame:
-    """(a, b, cosine), a < b: the graph after the blocks of ``trees`` and as many rounds as add edges that pass the threshold."""
+def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: DataFrame | None, n: int) -> DataFrame:
+    """(a, b, cosine), a < b: the graph after the blocks of ``trees`` and as many rounds as add edges that pass the threshold.
+
+    A round joins the lists of every node: its LIST nearest of its own component, its LIST nearest of others, and as many of each
+    that list it. Two members, at least one of them new in the list, are compared unless they are of one component.
+    """
     session = nodes.sparkSession
     bits = max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
     coded = nodes.select("node", "v").mapInArrow(_codes(trees, bits, 7), "node long, v array<float>, tree int, code long")
@@ -134,22 +141,25 @@ def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: Dat
     block = coded.join(load, ["tree", "code"]).withColumn("salt", F.pmod(F.xxhash64("node", "tree"), F.greatest(F.lit(1), F.ceil(F.col("load") / (4 * BLOCK)))))
     found = block.groupBy("tree", "code", "salt").applyInPandas(_block_edges(threshold), _EDGES)
     edges = checkpointed((found if edges is None else found.unionByName(edges)).distinct())
-    fresh = edges
-    for _ in range(rounds):
-        rank = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-        both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-        lists = both(edges).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LIST).select("a", "b")
-        newer = both(fresh).select("a", "b")
-        lists, newer = checkpointed(lists), newer.join(lists, ["a", "b"], "left_semi")
-        over = newer.select(F.col("a").alias("x"), F.col("b").alias("mid")).join(lists.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").where("x != y")
+    before = None
+    while True:
+        joined = checkpointed(components(edges.where(F.col("cosine") >= threshold), "a", "b"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+        named = both.join(joined.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        named = named.select("a", "b", "cosine", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        nearest = lambda e: e.withColumn("r", F.row_number().over(Window.partitionBy("a", F.col("ca") == F.col("cb")).orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= LIST).drop("r")
+        own = checkpointed(nearest(named))
+        listing = own.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine", F.col("cb").alias("ca"), F.col("ca").alias("cb"))
+        lists = checkpointed(own.unionByName(nearest(listing.join(own.select("a", "b"), ["a", "b"], "left_anti"))))
+        newer = lists if before is None else lists.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        before = lists
+        over = newer.select("a", F.col("b").alias("x"), F.col("cb").alias("cx")).join(lists.select("a", F.col("b").alias("y"), F.col("cb").alias("cy")), "a").where("cx != cy")
         candidates = over.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
         pairs = candidates.join(nodes.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(nodes.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
         fresh = checkpointed(pairs.mapInArrow(_pair_cosines(threshold), _EDGES))
-        gained = fresh.where(F.col("cosine") >= threshold).count()
         edges = checkpointed(edges.unionByName(fresh))
-        if gained <= n / 1000:
-            break
-    return edges
+        if not fresh.where(F.col("cosine") >= threshold).count():
+            return edges
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, least_recall: float = 0.97, trees: int = TREES) -> DataFrame:

@@ -161,6 +161,20 @@ def test_low_thresholds_keep_their_edges(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 1, i % 12) for i in range(24)}
 
 
+def test_saturated_lists_are_enlarged(spark):
+    axis, rng = np.eye(32), np.random.default_rng(6)
+    angle = np.arccos(0.91) / 2
+    turned = lambda t: np.cos(t) * axis[0] + np.sin(t) * axis[1]
+    groups = [[turned(t)] + [turned(t) + 0.02 * rng.standard_normal(32) for _ in range(14)] for t in (angle, -angle)]
+    vectors = [*groups[0], *groups[1], 0.8 * axis[0] + 0.6 * axis[2]]
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    nodes = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "node long, v array<float>")
+    known = [(a, b) for g in (range(15), range(15, 30)) for a in g for b in g if a < b] + [(0, 30), (15, 30)]
+    edges = spark.createDataFrame([(a, b, float(unit[a] @ unit[b])) for a, b in known], "a long, b long, cosine double")
+    got = embedding_neighbours.neighbour_graph(nodes, 0.9, range(0), edges, 31).where("cosine >= 0.9 and a < 15 and b between 15 and 29")
+    assert got.count()
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
