@@ -5,7 +5,8 @@ compared exactly, and is refined by neighbours-of-neighbours joins until a round
 its LIST nearest neighbours; a list whose neighbours all pass the threshold is saturated and is enlarged past them, until
 LIST neighbours of other components are in it, and the joins pair members of different components only: at the end the
 members of each component of threshold edges are compared with each other exactly, in tiles, so links in it are
-complete however many there are. Recall is audited by comparing a sample of nodes with all; more rounds follow if it is low.
+complete however many there are. Recall is audited by comparing a sample of nodes with all, each
+component counting once; more trees follow if it is low, and in the end an exact comparison of all.
 """
 
 from __future__ import annotations
@@ -96,6 +97,48 @@ def _pair_cosines(threshold: float):
     return run
 
 
+def _bridges(threshold: float):
+    """Of a pair of tiles one edge that passes the threshold for each two components that have any."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in rows.groupby(rows["v"].map(len), sort=False):
+            x, node, comp = _same_dim(tile), tile["node"].to_numpy(), tile["comp"].to_numpy()
+            c = x @ x.T
+            i, j = np.nonzero((c >= threshold) & (comp[:, None] < comp[None, :]))
+            found = pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "cosine": c[i, j], "ci": comp[i], "cj": comp[j]})
+            out.append(found.drop_duplicates(["ci", "cj"])[["a", "b", "cosine"]])
+        return pd.concat(out)
+
+    return run
+
+
+def bridges(nodes: DataFrame, joined: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Edges between different components of ``joined``, from comparing all nodes with all in tiles: every two that have a link get one."""
+    tiles = max(1, -(-n // TILE))
+    named = nodes.select("node", "v").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("tile", F.pmod(F.xxhash64("node"), F.lit(tiles)))
+    dealt = named.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
+    return dealt.groupBy("i", "j").applyInPandas(_bridges(threshold), _EDGES)
+
+
+def trees_for(threshold: float, bits: int, least_recall: float, least: int) -> int:
+    """Trees in which two vectors at the threshold share a block at least once with probability ``least_recall``; ``least`` at least."""
+    share = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    missed = max(1 - least_recall, 1e-3)
+    return least if share >= 1 else max(least, int(np.ceil(np.log(missed) / np.log(1 - share))))
+
+
+def audited_recall(truth: DataFrame, joined: DataFrame) -> float | None:
+    """Share of the true pairs whose ends are in one component: the mean over the components of the sampled ends, each counting once."""
+    pair = truth.join(joined.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    each = pair.groupBy(F.coalesce("ca", "a").alias("comp")).agg(F.avg(F.when(F.coalesce("ca", "a") == F.coalesce("cb", "b"), 1.0).otherwise(0.0)).alias("hit"))
+    return each.agg(F.avg("hit")).first()[0]
+
+
+def _bits(n: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
+
+
 def _tile_links(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -134,7 +177,7 @@ def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: Dat
     that list it. Two members, at least one of them new in the list, are compared unless they are of one component.
     """
     session = nodes.sparkSession
-    bits = max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
+    bits = _bits(n)
     coded = nodes.select("node", "v").mapInArrow(_codes(trees, bits, 7), "node long, v array<float>, tree int, code long")
     # a block that gathers far more than its share is dealt to random parts of about BLOCK; what they miss the rounds and the other trees find
     load = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("load"))
@@ -169,7 +212,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, least_recall: float
     component. Vectors of different lengths don't link. Others link at cosine >= ``threshold`` in double precision; labels
     are not read. n_links counts other rows, equal vectors and repeated rows included. component_id is the smallest vec_id
     reachable; kept where it is the row's own. A row with a null vec_id takes part, but names no component unless alone (then null). An
-    empty table gives no rows. Recall is audited on AUDIT nodes against all nodes; below ``least_recall`` further trees are added, up to four times.
+    empty table gives no rows. Recall is audited on AUDIT nodes against all nodes; the mean over
+    components; below ``least_recall`` further trees are added, up to three times, then all nodes are compared with all.
     """
     session = vectors.sparkSession
     fine = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)"
@@ -181,14 +225,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, least_recall: float
     picked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "v").collect()  # AUDIT rows at most
     sample = session.sparkContext.broadcast((np.array([p[0] for p in picked], np.int64), np.array([len(p[1]) for p in picked], np.int64), [p[1] for p in picked]))
     truth = checkpointed(nodes.select("node", "v").mapInArrow(_audit(sample, threshold), "a long, b long"))
-    total = truth.count()
+    trees = trees_for(threshold, _bits(n), least_recall, trees)
     for turn in range(4):
         edges = neighbour_graph(nodes, threshold, range(turn * trees, (turn + 1) * trees), edges, n)
         joined = components(edges.where(F.col("cosine") >= threshold), "a", "b")
         joined = checkpointed(joined)
-        pair = truth.join(joined.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(joined.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        if not total or pair.where("ca = cb").count() >= least_recall * total:
+        recall = audited_recall(truth, joined)
+        if recall is None or recall >= least_recall:
             break
+    else:
+        links = edges.where(F.col("cosine") >= threshold).unionByName(bridges(nodes, joined, threshold, n))
+        joined = checkpointed(components(checkpointed(links), "a", "b"))
     members = nodes.join(joined, "node").select("node", "v", "times", "comp")
     sized = members.join(members.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "comp").withColumn("t", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     tiled = sized.select("node", "v", "times", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("o")).withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))

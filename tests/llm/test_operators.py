@@ -175,6 +175,24 @@ def test_saturated_lists_are_enlarged(spark):
     assert got.count()
 
 
+def test_low_recall_ends_in_an_exact_comparison(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((20, 16))
+    vectors = [centres[0] + 0.02 * rng.standard_normal(16) for _ in range(60)] + [c + 0.02 * rng.standard_normal(16) for c in centres[1:] for _ in range(2)]
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    # only the large group's links are found: nearly all pairs, but one component of 20
+    found = spark.createDataFrame([(a, a + 1, 1.0) for a in range(59)], "a long, b long, cosine double")
+
+    def graph(nodes, *_):
+        at = {tuple(r["v"]): r["node"] for r in nodes.collect()}
+        ids = [at[tuple(v)] for _, v in data]
+        return spark.createDataFrame([(*sorted((ids[r["a"]], ids[r["b"]])), 1.0) for r in found.collect()], "a long, b long, cosine double")
+
+    monkeypatch.setattr(embedding_neighbours, "neighbour_graph", graph)
+    got = embedding_neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 59, 0) if i < 60 else (i, 1, i - i % 2) for i in range(98)}
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
