@@ -2,19 +2,25 @@
 
 Sets are the distinct 5-word shingles of texts. Sizes are cut into bands [l, r] with r about l / 0.75, so two sets
 that link lie in one band or in neighbouring ones. Instance i serves the pairs of band i and those of band i - 1 with
-band i; such sets differ in at most k_i elements. The feature domain is hashed into n_i > k_i partitions; sets that
-differ in at most k_i elements agree wholly on at least n_i - k_i partitions, so they share that many signatures (the
-instance, the partition, the set's projection on it). Empty projections are left out: a set with m > k_i non-empty
-partitions agrees with any partner on m - k_i of those at least; a set with m <= k_i emits its empty ones too.
-
-1. ``_summaries``: one row a text: set size, set key (a 128-bit hash of the set), signatures needed.
-2. ``_matches``: signatures of all sets, packed by hash into blobs (8 bytes a signature, not a row each); each part is
-   sorted and every set's shared signatures are counted. A set with fewer than m - k shared signatures in both of its
-   instances can't link with any other set; the rest are *survivors*. A common passage alone does not pass this.
-3. Signatures of the survivors give candidate pairs: each bucket links its members to its first and to their
-   neighbour by size. Pairs are verified on the whole sets. Then, per bucket, only pairs of members that are not yet in
-   one component are emitted, and those that agree on as many partitions as a link implies are verified. So every link between different texts is used or is
-   implied by others, and no bucket is expanded into all pairs of one group of copies.
+band i; such sets differ in at most k_i elements. The feature domain is hashed into about k_i + 1 partitions of two
+sub-partitions each, and of each partition the subsets of one sub-partition are enumerated (PartEnum's n2 = 2, k2 = 1): a
+signature is the instance, the sub-partition and the set's projection on it. At most h sub-partitions hold one of h
+differing elements, so a set with m non-empty ones shares at least m - h signatures with any set that it links with, where h
+follows from its own size; empty projections are left out (a set with m <= h emits its empty ones too). Requiring m - h
+shared signatures stands for enumerating the subsets of m - h sub-partitions. Subsets of two of three (n2 = 3) were
+measured: 1.2 to 1.4 signatures a shingle in place of 1.1, and half as many sets again that pass step 2.
+
+1. ``_summaries``: one row a text: set size, set key (a 64-bit hash of the set), signatures needed.
+2. ``_blobs``, ``_count_shared``: signatures of all sets, packed by hash into blobs (8 bytes a signature, not a row each);
+   each part is sorted and every set's shared signatures are counted. A set with fewer than it needs in both of its
+   instances can't link with any other set; the rest are *survivors*. A common passage alone seldom passes this.
+3. ``_hub_pairs``, ``_best``: in each bucket of survivors a few members that share most signatures are hubs, and
+   each other member is paired with them. A member's pairs with a hub are counted over all its buckets, and those that
+   share as many as a link implies, or most of all, are verified on the whole sets: a few pairs a member however large its group.
+4. ``_shared_of``, ``_prefix``, ``_cross_pairs``: what may still link two components. Buckets are ordered by how many components
+   they hold; sets that must share t of their signatures share one among all but the t - 1 last in that order, so very
+   common buckets are not expanded. Pairs there of different components are verified. So every link between different texts
+   is used or implied by others.
 """
 
 from __future__ import annotations
@@ -32,6 +38,12 @@ from .common import BYTE_HASH, LOWER, U64, binary_array, checkpointed, component
 WORDS = 5
 #: 64-bit packed signatures: the low NODE_BITS name the set and its instance, the rest is the signature within its part.
 NODE_BITS = 36
+#: Hubs of a bucket, and pairs that a member tries however few signatures they share.
+HUBS, BEST = 4, 3
+#: Bits of a set's bitmap.
+BITMAP = 512
+#: About so many bytes of signatures or sets make one part.
+PART_BYTES = 32 << 20
 _NODE = U64((1 << NODE_BITS) - 1)
 
 
@@ -55,7 +67,7 @@ def differ(i: np.ndarray) -> np.ndarray:
 
 
 def parts_of(i: np.ndarray) -> np.ndarray:
-    """How many partitions instance i cuts the domain into."""
+    """How many sub-partitions instance i cuts the domain into: two for each of about k + 1 partitions."""
     return 2 * (differ(i) + 1) + 1
 
 
@@ -81,11 +93,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, index of the set, instance role) of all signatures, and (set, role) -> shared signatures that a partner implies.
+    """(signature, index of the set, role) of all signatures, and (set, role) -> shared signatures that a partner implies.
 
-    Role 0 is the set's own band as the upper one, role 1 the next instance, where its band is the lower one.
+    Role 0 is the set's own band as the upper one, role 1 the next instance, where its band is the lower one. The result
+    is ordered by role and set.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(sizes)
     need = np.zeros((len(sets), 2), np.int64)
     if not len(full):
@@ -93,37 +106,37 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     flat = np.concatenate([sets[i] for i in full])
     owner = np.repeat(full, sizes[full])
     band = np.searchsorted(LOW, sizes, side="right") - 1
+    mixed = mix64(flat ^ U64(0xABCD))
     out = []
     for role in (0, 1):
         instance = band + role
-        k, n = differ(instance), parts_of(instance)
+        apart = (sizes + np.minimum(HIGH[instance], sizes * 4 // 3)) // 7  # the most elements by which a partner differs
+        n = parts_of(instance)
         part = ((flat >> U64(32)) * n[owner].astype(U64)) >> U64(32)  # sorted sets have ascending parts
-        slot = owner.astype(np.int64) * (int(n.max()) + 1) + part.astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1])
-        content = np.add.reduceat(mix64(flat ^ U64(0xABCD)), cuts)
+        cuts = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (owner[1:] != owner[:-1])) + 1])
+        content = np.add.reduceat(mixed, cuts)
         whose, which = owner[cuts], part[cuts]
         used = np.bincount(whose, minlength=len(sets))
-        need[:, role] = np.maximum(1, used - k)
-        poor = [i for i in full[used[full] <= k[full]].tolist()]
-        if poor:  # their empty partitions count as well
+        need[:, role] = np.maximum(1, used - apart)
+        poor = full[used[full] <= apart[full]].tolist()
+        if poor:  # their empty sub-partitions count as well
             more = [(i, p) for i in poor for p in sorted(set(range(int(n[i]))) - set(which[whose == i].tolist()))]
             whose = np.concatenate([whose, np.array([m[0] for m in more], dtype=whose.dtype)])
             which = np.concatenate([which, np.array([m[1] for m in more], dtype=which.dtype)])
             content = np.concatenate([content, np.zeros(len(more), U64)])
+            order = np.argsort(whose, kind="stable")
+            whose, which, content = whose[order], which[order], content[order]
         out.append((mix64(content ^ mix64(which + mix64(instance[whose].astype(U64)))), whose, np.full(len(whose), role)))
     return *(np.concatenate([o[j] for o in out]) for j in range(3)), need
 
 
-def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set's elements."""
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each set's elements."""
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, U64)
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    keys = []
-    for salt in (0x1357, 0x2468):
-        sums = np.concatenate([[U64(0)], np.cumsum(mix64(flat ^ U64(salt)), dtype=U64)])
-        keys.append(mix64(sums[edges[1:]] - sums[edges[:-1]] + sizes.astype(U64)))
-    return keys[0], keys[1]
+    sums = np.concatenate([[U64(0)], np.cumsum(mix64(flat ^ U64(0x1357)), dtype=U64)])
+    return mix64(sums[edges[1:]] - sums[edges[:-1]] + sizes.astype(U64))
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -138,37 +151,22 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in text_blocks(batch):
             sets = shingle_sets(data, offsets)
-            key, check = set_keys(sets)
             need = signatures(sets)[3]
             cols = [batch.column(i).slice(first, end - first) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(s) for s in sets], pa.int64()), _as_long(key), _as_long(check), pa.array(need[:, 0]), pa.array(need[:, 1])], [*batch.schema.names[:-1], "n_shingles", "key", "check", "need0", "need1"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(s) for s in sets], pa.int64()), _as_long(set_keys(sets)), pa.array(need[:, 0]), pa.array(need[:, 1])], [*batch.schema.names[:-1], "n_shingles", "key", "need0", "need1"])
 
 
-def _blobs(parts: int, wide: bool):
-    """Signatures by part: 8 bytes each (``wide``: 8 for the signature, 8 for the set's key)."""
+def _blobs(parts: int):
+    """Signatures by part, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in ([batch] if wide else text_blocks(batch)):
-                if wide:
-                    key = batch.column(0).to_numpy().view(U64)
-                    sets = [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
-                else:
-                    sets = shingle_sets(block[2], block[3])
-                    key, once = np.unique(set_keys(sets)[0], return_index=True)  # equal sets of a block go out once
-                    sets = [sets[i] for i in once]
-                sig, whose, role, _ = signatures(sets)
-                node = key[whose] if wide else _node(key[whose], role)
-                if wide:
-                    size = np.array([len(s) for s in sets], U64)[whose]
-                    columns = [sig, size, node]
-                else:
-                    columns = [(mix64(sig) << U64(NODE_BITS)) | node]
-                at, blobs = [], []
-                for p, values in pack(sig, columns, parts):
-                    at.append(p)
-                    blobs.append(np.stack(values, 1).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            for _, _, data, offsets in text_blocks(batch):
+                sets = shingle_sets(data, offsets)
+                key, once = np.unique(set_keys(sets), return_index=True)  # equal sets of a block go out once
+                sig, whose, role, _ = signatures([sets[i] for i in once])
+                got = list(pack(sig, [(mix64(sig) << U64(NODE_BITS)) | _node(key[whose], role)], parts))
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1][0].tobytes() for g in got], pa.binary())], ["part", "blob"])
 
     return run
 
@@ -197,82 +195,198 @@ def _sum_shared(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in text_blocks(batch):
+        for first, end, data, offsets in text_blocks(batch):
             sets = shingle_sets(data, offsets)
-            key, _ = set_keys(sets)
             flat = np.concatenate(sets).view(np.uint8)
             edges = np.concatenate([[0], np.cumsum([8 * len(s) for s in sets])])
-            yield pa.RecordBatch.from_arrays([_as_long(key), binary_array(flat, edges)], ["key", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), _as_long(set_keys(sets)), binary_array(flat, edges)], ["shared", "key", "hashes"])
+
+
+_PACKED = "part int, heads binary, counts binary, values binary"
+#: Columns of a head, which stands for one set in one instance: key, component, order as a hub, size << 32 | signatures needed << 1 | parity of the instance; then the set's bitmap.
+_KEY, _COMP, _ORDER, _META = range(4)
+_WIDE = 4 + BITMAP // 64
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """BITMAP bits a set: whether an odd number of its elements hash to each. Two sets differ in at least as many elements as bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, U64)
+    at = owner * BITMAP + (mix64(flat) % U64(BITMAP)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * BITMAP) & 1).astype(np.uint8).reshape(len(sets), BITMAP)
+    return np.packbits(odd, axis=1).view(U64)
 
 
-def _runs(sig: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]]) if len(sig) else np.zeros(1, np.int64)
+def _packed(at: np.ndarray, parts: int, heads: np.ndarray, owner: np.ndarray, values: np.ndarray) -> dict[str, list]:
+    """Rows by part ``at`` of values (n, c): a part's values, the heads that own them and how many each owns; ``owner`` ascends."""
+    rows: dict[str, list] = {c: [] for c in ("part", "heads", "counts", "values")}
+    for part, (own, *columns) in pack(at, [owner, *values.T], parts):
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        for name, value in (("part", part), ("heads", heads[own[first]].tobytes()), ("counts", np.diff(np.append(first, len(own))).astype(np.uint32).tobytes()), ("values", np.stack(columns, 1).tobytes())):
+            rows[name].append(value)
+    return rows
 
 
-def _named(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sets and each entry's place among them, so that a pair is one integer."""
-    return np.unique(node, return_inverse=True)
+def _as_frame(rows: dict[str, list]) -> pd.DataFrame:
+    return pd.DataFrame(rows).astype({"part": "int32"})
 
 
-def _as_pairs(names: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
-    a, b = names[codes // len(names)] if len(codes) else names[:0], names[codes % len(names)] if len(codes) else names[:0]
-    return pd.DataFrame({"a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)})
+def _unpacked(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(heads, index of each value's head, values) of a part."""
+    heads = np.frombuffer(b"".join(rows["heads"]), U64).reshape(-1, _WIDE)
+    counts = np.frombuffer(b"".join(rows["counts"]), np.uint32)
+    return heads, np.repeat(np.arange(len(heads)), counts), np.frombuffer(b"".join(rows["values"]), U64).reshape(-1, width)
 
 
-def _first_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each bucket, members sorted by size: pairs with its first and with the one before."""
-    x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 3)
-    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
-    sig, size = x[:, 0], x[:, 1]
-    names, who = _named(x[:, 2])
-    same = np.flatnonzero(sig[1:] == sig[:-1]) + 1
-    edges = _runs(sig)
-    head = np.repeat(edges[:-1], np.diff(edges))[same]
-    found = []
-    for other in (same - 1, head):
-        close = size[other] * U64(4) >= size[same] * U64(3)
-        i, j = who[other][close], who[same][close]
-        found.append(np.minimum(i, j) * len(names) + np.maximum(i, j))
-    return _as_pairs(names, np.unique(np.concatenate(found)))
+def _labelled(parts: int):
+    """Packed signatures of survivors: from key, hashes, comp and shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, comp = (batch.column(i).to_numpy().view(U64) for i in (0, 2))
+            central = np.minimum(batch.column(3).to_numpy(), (1 << 24) - 1).astype(U64)
+            sets = [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
+            sig, whose, role, need = signatures(sets)
+            size = np.array([len(s) for s in sets], np.int64)
+            band = np.searchsorted(LOW, size, side="right") - 1
+            order = (U64((1 << 24) - 1) - central) << U64(40) | mix64(key) >> U64(24)
+            meta = [size.astype(U64) << U64(32) | need[:, r].astype(U64) << U64(1) | ((band + r) & 1).astype(U64) for r in (0, 1)]
+            bits = bitmaps(sets)
+            heads = np.concatenate([np.concatenate([np.stack([key, comp, order, m], 1), bits], axis=1) for m in meta])
+            rows = _packed(sig, parts, heads, whose + role * len(sets), sig[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("heads", "counts", "values"))], ["part", "heads", "counts", "values"])
+
+    return run
+
+
+def _size(heads: np.ndarray) -> np.ndarray:
+    return (heads[:, _META] >> U64(32)).astype(np.int64)
+
+
+def _need(heads: np.ndarray) -> np.ndarray:
+    return (heads[:, _META] >> U64(1) & U64((1 << 31) - 1)).astype(np.int64)
+
+
+def _buckets(heads: np.ndarray, who: np.ndarray, sig: np.ndarray, by: int) -> tuple[np.ndarray, ...]:
+    """Head of each entry of the buckets that hold several components, ordered by signature and column ``by``; edges of the buckets; their signatures."""
+    order = np.lexsort((heads[who, by], sig))
+    who, sig = who[order], sig[order]
+    comp = heads[who, _COMP]
+    first = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1]) if len(sig) else np.zeros(0, np.int64)
+    if not len(first):
+        return who, np.zeros(1, np.int64), sig
+    sizes = np.diff(np.append(first, len(sig)))
+    several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+    keep = np.repeat(several, sizes)
+    return who[keep], np.concatenate([[0], np.cumsum(sizes[several])]), sig[first[several]]
+
+
+def _may_link(heads: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) of heads of different components that their sizes and bitmaps allow to link."""
+    size, comp = _size(heads), heads[:, _COMP]
+    at = np.flatnonzero((comp[i] != comp[j]) & (np.minimum(size[i], size[j]) * 4 >= np.maximum(size[i], size[j]) * 3))
+    apart = np.zeros(len(at), np.int64)
+    for c in range(4, _WIDE):
+        apart += np.bitwise_count(heads[i[at], c] ^ heads[j[at], c])
+    return at[7 * apart <= size[i[at]] + size[j[at]]]
+
+
+def _hub_pairs(parts: int):
+    """Of each bucket, its members with its first HUBS in hub order; how often the part has each pair, packed by member."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        heads, who, values = _unpacked(rows, 1)
+        who, edges, _ = _buckets(heads, who, values[:, 0], _ORDER)
+        begin, sizes = np.repeat(edges[:-1], np.diff(edges)), np.repeat(np.diff(edges), np.diff(edges))
+        codes, times, n = np.zeros(0, np.int64), np.zeros(0, np.int64), len(heads)
+        for t in range(HUBS):
+            at = np.flatnonzero((np.arange(len(who)) - begin > t) & (sizes > t))
+            i, j = who[at], who[begin[at] + t]
+            ok = _may_link(heads, i, j)
+            codes, where = np.unique(np.concatenate([codes, i[ok] * n + j[ok]]), return_inverse=True)
+            times = np.bincount(where, weights=np.concatenate([times, np.ones(len(ok), np.int64)]), minlength=len(codes)).astype(np.int64)
+        i, j = (codes // n, codes % n) if n else (codes, codes)
+        return _as_frame(_packed(mix64(heads[i, _KEY]), parts, heads, i, np.stack([heads[j, _KEY], times.astype(U64)], 1)))
+
+    return run
+
+
+def _best(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a member and a hub that share as many signatures as a link implies, and each member's BEST by how many they share."""
+    heads, who, values = _unpacked(rows, 2)
+    member, hub, times = heads[who, _KEY], values[:, 0], values[:, 1].astype(np.int64)
+    odd = (heads[who, _META] & U64(1)).astype(np.int64)
+    order = np.lexsort((odd, hub, member))
+    member, hub, times, odd, need = member[order], hub[order], times[order], odd[order], _need(heads)[who][order]
+    first = np.flatnonzero(np.concatenate([[True], (member[1:] != member[:-1]) | (hub[1:] != hub[:-1]) | (odd[1:] != odd[:-1])])) if len(member) else np.zeros(0, np.int64)
+    if not len(first):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    total = np.add.reduceat(times, first)
+    member, hub, need = member[first], hub[first], need[first]
+    order = np.lexsort((-total, member))
+    begin = np.flatnonzero(np.concatenate([[True], member[order][1:] != member[order][:-1]]))
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    take = order[(rank < BEST) | (total >= need)[order]]
+    return pd.DataFrame({"a": np.minimum(member[take], hub[take]).view(np.int64), "b": np.maximum(member[take], hub[take]).view(np.int64)}).drop_duplicates()
+
+
+def _shared_of(parts: int):
+    """Of each bucket with several components, to its sets: the signature and how many components it holds."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        heads, who, values = _unpacked(rows, 1)
+        who, edges, sig = _buckets(heads, who, values[:, 0], _COMP)
+        comp = heads[who, _COMP]
+        new = np.concatenate([[0], comp[1:] != comp[:-1]]).astype(np.int64) if len(comp) else np.zeros(0, np.int64)
+        new[edges[:-1][: len(sig)]] = 1
+        held = np.add.reduceat(new, edges[:-1]) if len(sig) else new
+        sizes = np.diff(edges)
+        order = np.argsort(who, kind="stable")
+        out = np.stack([np.repeat(sig, sizes), np.repeat(held, sizes).astype(U64)], 1)[order]
+        return _as_frame(_packed(mix64(heads[who[order], _KEY]), parts, heads, who[order], out))
+
+    return run
+
+
+def _prefix(parts: int):
+    """Of each set's shared signatures all but the last (needed - 1), the fewest components first; packed by signature."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        heads, who, values = _unpacked(rows, 2)
+        owner = np.unique(np.stack([heads[:, _KEY], heads[:, _META]], 1), axis=0, return_inverse=True)[1].ravel() if len(heads) else np.zeros(0, np.int64)
+        of = owner[who]
+        order = np.lexsort((values[:, 0], values[:, 1], of))
+        who, of, sig = who[order], of[order], values[order, 0]
+        shared = np.bincount(of, minlength=1)
+        begin = np.concatenate([[0], np.cumsum(shared)])[of]
+        keep = np.arange(len(of)) - begin < shared[of] - _need(heads)[who] + 1
+        who, sig = who[keep], sig[keep]
+        order = np.argsort(who, kind="stable")
+        return _as_frame(_packed(sig[order], parts, heads, who[order], sig[order][:, None]))
+
+    return run
 
 
 def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each bucket, pairs of members of different components whose sizes allow a link, with how often the part has each; buckets are taken in passes of bounded pairs."""
-    x = np.frombuffer(b"".join(rows["blob"]), U64).reshape(-1, 5)
-    x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
-    sig = x[:, 0]
-    edges = _runs(sig)
-    names, who = _named(x[:, 2])
-    codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    asked = np.zeros((len(names), 2), np.int64)
-    if len(sig):
-        odd = (x[:, 4] & U64(1)).astype(np.int64)
-        asked[who, odd] = (x[:, 4] >> U64(1)).astype(np.int64)
-        mixed = np.minimum.reduceat(x[:, 3], edges[:-1]) != np.maximum.reduceat(x[:, 3], edges[:-1])
-        keep = np.repeat(mixed, np.diff(edges))
-        x, who = x[keep], who[keep]
-        edges = _runs(x[:, 0])
-    size, comp, odd = x[:, 1].astype(np.int64), x[:, 3], (x[:, 4] & U64(1)).astype(np.int64)
-    run_end = np.repeat(edges[1:], np.diff(edges))
-    after = run_end - np.arange(len(size)) - 1  # later members of the own bucket
+    """Of each bucket, pairs of members of different components whose sizes allow a link; buckets are taken in passes of bounded pairs."""
+    heads, who, values = _unpacked(rows, 1)
+    names, name = np.unique(heads[:, _KEY], return_inverse=True)
+    who, edges, _ = _buckets(heads, who, values[:, 0], _KEY)
+    after = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(who)) - 1  # later members of the own bucket
     upto = np.concatenate([[0], np.cumsum(after)])
-    at = 0
-    while at < len(size):
+    codes, at = np.zeros(0, np.int64), 0
+    while at < len(who):
         end = max(at + 1, int(np.searchsorted(upto, upto[at] + 2_000_000, side="right")) - 1)
         n = after[at:end]
         i = np.repeat(np.arange(at, end), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        ok = (comp[i] != comp[j]) & (size[i] * 4 >= size[j] * 3)
-        i, j = i[ok], j[ok]
-        a, b = who[i], who[j]
-        got = (np.minimum(a, b) * len(names) + np.maximum(a, b)) * 2 + odd[i]
-        codes, where = np.unique(np.concatenate([codes, got]), return_inverse=True)
-        times = np.bincount(where, weights=np.concatenate([times, np.ones(len(got), np.int64)]), minlength=len(codes)).astype(np.int64)
+        i, j = who[i], who[j]
+        ok = _may_link(heads, i, j)
+        a, b = name[i[ok]], name[j[ok]]
+        codes = np.unique(np.concatenate([codes, np.minimum(a, b) * len(names) + np.maximum(a, b)]))
         at = end
-    odd, codes = codes & 1, codes >> 1
-    out = _as_pairs(names, codes)
-    first, second = (codes // len(names), codes % len(names)) if len(codes) else (codes, codes)
-    return out.assign(odd=odd.astype(np.int32), times=times, need=np.maximum(asked[first, odd], asked[second, odd]))
+    a, b = (names[codes // len(names)], names[codes % len(names)]) if len(codes) else (names[:0], names[:0])
+    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,23 +410,6 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, "a long, b long")
 
 
-def _with_component(parts: int):
-    """Blob of (signature, size, set, component, needed agreements and parity of the instance) by part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, comp = batch.column(0).to_numpy().view(U64), batch.column(2).to_numpy().view(U64)
-            sets = [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
-            sig, whose, role, need = signatures(sets)
-            size = np.array([len(s) for s in sets])[whose]
-            odd = (np.searchsorted(LOW, size, side="right") - 1 + role) & 1
-            asks = need[whose, role].astype(U64) << U64(1) | odd.astype(U64)
-            got = list(pack(sig, [sig, size.astype(U64), key[whose], comp[whose], asks], parts))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([np.stack(g[1], 1).tobytes() for g in got], pa.binary())], ["part", "blob"])
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text, any other columns).
 
@@ -320,44 +417,43 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     fewer words the whole sequence as one, with none empty and linked with nothing. Two sets link when
     100 * |A and B| >= 75 * |A or B|. component_id is the smallest doc_id reachable by links, own one included. Null texts
     count as empty. A null doc_id takes part as a text; its own row has the smallest other doc_id of its component or null.
-    Repeated rows are equal sets. Empty tables give no rows. Set elements and keys are 64-bit hashes. ``parts``: how many
-    parts signatures are dealt to; by default 4 for each shuffle partition.
+    Repeated rows are equal sets. Other columns are not read, so their names can't clash. Empty tables give no rows. Set
+    elements and keys are 64-bit hashes. ``parts``: how many parts signatures are dealt to; by default as their bytes ask for.
     """
     session = docs.sparkSession
-    parts = parts or 4 * partitions(session)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_summaries, f"doc_id {kind}, text_key long, n_shingles long, key long, check long, need0 long, need1 long"))
-    blobs = docs.select("text").mapInArrow(_blobs(parts, False), "part int, blob binary")
-    fewer = max(1, parts // 4)
-    counted = blobs.groupBy("part").applyInPandas(_count_shared(fewer), "part int, blob binary")
+    rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_summaries, f"doc_id {kind}, text_key long, n_shingles long, key long, need0 long, need1 long"))
+    parts = parts or max(partitions(session), 10 * int(rows.agg(F.sum("n_shingles")).first()[0] or 0) // PART_BYTES + 1)
+    blobs = docs.select("text").mapInArrow(_blobs(parts), "part int, blob binary")
+    counted = blobs.groupBy("part").applyInPandas(_count_shared(parts), "part int, blob binary")
     shared = checkpointed(counted.groupBy("part").applyInPandas(_sum_shared, "node long, shared long"))
     del blobs, counted
     release(session)
-    sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min("text_key").alias("text_key"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    # one row of each set fetches its text: by doc_id too, so that copies of one text do not meet in one task
+    sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("text_key", "doc_id")).alias("at"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
     mask = (1 << NODE_BITS) - 1
-    asked = sets.select("text_key", F.explode(F.array(*(F.struct((F.shiftleft("key", 1).bitwiseOR(F.lit(r).cast("long"))).bitwiseAND(F.lit(mask)).alias("node"), F.col(f"need{r}").alias("need")) for r in (0, 1)))).alias("x")).select("text_key", "x.*")
-    survivors = asked.join(shared, "node").where("shared >= need").select("text_key").distinct()
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(survivors, "text_key", "left_semi").select("text")
-    own = checkpointed(texts.mapInArrow(_sets, "key long, hashes binary").where("length(hashes) > 0").groupBy("key").agg(F.first("hashes").alias("hashes")))
-
+    asked = sets.select("at", F.explode(F.array(*(F.struct((F.shiftleft("key", 1).bitwiseOR(F.lit(r).cast("long"))).bitwiseAND(F.lit(mask)).alias("node"), F.col(f"need{r}").alias("need")) for r in (0, 1)))).alias("x")).select("at", "x.*")
+    survivors = asked.join(shared, "node").where("shared >= need").groupBy("at").agg(F.sum("shared").alias("shared")).select(F.col("at.text_key").alias("_key"), F.col("at.doc_id").alias("_id"), "shared")
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(survivors, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("shared", "text")
+    own = checkpointed(texts.mapInArrow(_sets, "shared long, key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"), F.max("shared").alias("shared")))
     del texts
     release(session)
-    pairs = own.mapInArrow(_blobs(fewer, True), "part int, blob binary").groupBy("part").applyInPandas(_first_pairs, "a long, b long").distinct()
-    tried = checkpointed(pairs)
-    del pairs
-    release(session)
+    size = int(own.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0)
+    dealt = max(min(partitions(session), 1 + (size >> 20)), size // PART_BYTES + 1)
+    alone = own.withColumn("comp", F.col("key")).select("key", "hashes", "comp", "shared")
+    found = alone.mapInArrow(_labelled(dealt), _PACKED).groupBy("part").applyInPandas(_hub_pairs(dealt), _PACKED)
+    tried = checkpointed(found.groupBy("part").applyInPandas(_best, "a long, b long").distinct())
     links = checkpointed(_verify(tried, own))
-    release(session)
     joined = components(links, "a", "b")
-    labelled = own.join(joined, own.key == joined.node, "left").select("key", "hashes", F.coalesce("comp", "key").alias("comp"))
-    cross = labelled.mapInArrow(_with_component(fewer), "part int, blob binary").groupBy("part").applyInPandas(_cross_pairs, "a long, b long, odd int, times long, need long")
-    # linked sets agree on at least as many partitions of one instance as either of them needs
-    cross = cross.groupBy("a", "b", "odd").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b").distinct()
+    labels = own.join(joined, own.key == joined.node, "left").select("key", "hashes", F.coalesce("comp", "key").alias("comp"), "shared")
+    del found
+    release(session)
+    sent = labels.mapInArrow(_labelled(dealt), _PACKED).groupBy("part").applyInPandas(_shared_of(dealt), _PACKED)
+    cross = sent.groupBy("part").applyInPandas(_prefix(dealt), _PACKED).groupBy("part").applyInPandas(_cross_pairs, "a long, b long").distinct()
     new = checkpointed(cross.join(tried, ["a", "b"], "left_anti"))
-    del cross, labelled
+    del cross, sent, labels
     release(session)
-    # components only grow, so every pair that still lies in two of them has been here: one pass is enough
     joined = components(links.unionByName(_verify(new, own)), "a", "b")
     least = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(joined, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("comp", "key").alias("comp"))
     whole = least.groupBy("comp").agg(F.min("first_id").alias("component_id"))
