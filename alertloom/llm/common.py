@@ -8,6 +8,7 @@ exist and memory does not follow the length of a batch.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -122,15 +123,35 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder that the cluster shares (spark.checkpoint.dir) and cut from their lineage."""
-    session = df.sparkSession
+def shared_folder(session: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode, else an error."""
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="alertloom-"))
+        path = session.conf.get("spark.checkpoint.dir", None)
+        if path is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="alertloom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the folder that the cluster shares (spark.checkpoint.dir) and cut from their lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened by underscores where a column has that name already (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(session: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages now: it does so when the driver's garbage is collected, which may be much later."""
     gc.collect()
@@ -139,13 +160,9 @@ def release(session: SparkSession) -> None:
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, for large tables: the rows as compressed Parquet files in the shared folder."""
-    session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="alertloom-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return session.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(session: SparkSession, least: int = 1) -> int:

@@ -108,5 +108,8 @@ def exact_duplicates(docs: DataFrame, width: int = 16) -> DataFrame:
     docs = docs.select("doc_id", "text")
     width = verified_width(docs, width)
     rows = checkpointed(docs.mapInArrow(_recipes(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, recipe binary, text_sha256 string"))
-    groups = rows.groupBy(F.col("recipe").alias("of")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, rows.recipe == groups.of).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # only groups of several rows are joined back; they are written, so that Spark can split a group that holds a third of all rows
+    groups = checkpointed(rows.groupBy(F.col("recipe").alias("of")).agg(F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    keep = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("most"))
+    joined = rows.join(groups, rows.recipe == groups.of, "left")
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")

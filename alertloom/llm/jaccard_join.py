@@ -411,13 +411,14 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text, any other columns).
+    """doc_id, n_shingles, component_id, text_key, kept for every row of ``docs`` (doc_id, text, any other columns).
 
     Texts are lower-cased (A-Z) and cut into words at space and 0x09-0x0D; a set is the distinct 5-word shingles, with
     fewer words the whole sequence as one, with none empty and linked with nothing. Two sets link when
     100 * |A and B| >= 75 * |A or B|. component_id is the smallest doc_id reachable by links, own one included. Null texts
     count as empty. A null doc_id takes part as a text; its own row has the smallest other doc_id of its component or null.
-    Repeated rows are equal sets. Other columns are not read, so their names can't clash. Empty tables give no rows. Set
+    Repeated rows are equal sets. ``kept``: the row with the smallest doc_id of its component stands for it (a null doc_id after
+    all others; then the smallest text_key, an xxhash64 of the text), and so does each row that repeats it. Other columns are not read, so their names can't clash. Empty tables give no rows. Set
     elements and keys are 64-bit hashes. ``parts``: how many parts signatures are dealt to; by default as their bytes ask for.
     """
     session = docs.sparkSession
@@ -455,7 +456,10 @@ def near_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
     del cross, sent, labels
     release(session)
     joined = components(links.unionByName(_verify(new, own)), "a", "b")
-    least = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id")).join(joined, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("comp", "key").alias("comp"))
-    whole = least.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = least.join(whole, "comp").select(F.col("key").alias("_key"), "component_id")
-    return rows.join(named, (rows.key == F.col("_key")) & (rows.n_shingles > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    least = rows.where("n_shingles > 0").groupBy("key").agg(stands.alias("first")).join(joined, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
+    whole = least.groupBy("comp").agg(F.min("first").alias("rep"))
+    named = least.join(whole, "comp").select(F.col("key").alias("_key"), "rep")
+    kept = F.col("rep").isNull() | (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & F.col("text_key").eqNullSafe(F.col("rep.text_key")))
+    out = rows.join(named, (rows.key == F.col("_key")) & (rows.n_shingles > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("rep.doc_id", "doc_id").alias("component_id"), "text_key", kept.alias("kept"))

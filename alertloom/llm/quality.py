@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, LOWER, U64, mix64, slice_hashes, text_blocks, words_of
+from .common import BYTE_HASH, LOWER, U64, fresh, mix64, slice_hashes, text_blocks, words_of
 
 SHAPES, WORDS = 1024, 1024
 
@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """
     marked = labels.where(f"{label} is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("quality"))
     marked = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("quality", "text")  # `sample` rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # `sample` rows are broadcast at most
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # one text a doc_id, however often it repeats
+    texts = texts.groupBy("doc_id", "quality").agg(least.alias("t")).select("quality", "t.text")
     got = texts.repartition(8).mapInArrow(_sampled, "quality int, f binary").toArrow()
     if not got.num_rows:
         return Voters(np.ones(SHAPES + WORDS, np.float32), np.zeros((SHAPES + WORDS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, 1, sharpness)
@@ -139,15 +141,16 @@ def _score(voters):
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, carry: bool = False, **options) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= threshold) of every row of ``docs``; with ``carry`` also all its columns.
 
-    Scores depend on texts alone. Empty and null texts have no direction: they score the labelled share of 1.
+    Scores depend on texts alone. Empty and null texts have no direction: they score the labelled share of 1. A null doc_id counts
+    as the empty text for ``held_out``. Repeated rows score alike; of a labelled doc_id with several texts one is learned from.
+    Empty tables give no rows. With ``carry`` a column of ``docs`` that is named as a result gives way to it.
     """
     voters = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
     folds, held = options.get("folds", 5), options.get("held", 0)
-    names = [c for c in docs.columns if c != "text"] if carry else ["doc_id"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), "text")
-    if carry:  # the text goes on beside its score
-        rows = rows.select(*(F.col(f"`{c}`") for c in names), F.col("text").alias("_kept"), "text")
+    names = [c for c in docs.columns if c.lower() not in ("text", "held_out", "score", "predicted")] if carry else ["doc_id"]
+    kept = fresh(docs.columns, "kept")[0]
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), *([F.col("text").alias(kept)] if carry else []), "text")  # the text goes on beside its score
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     scored = rows.mapInArrow(_score(voters), schema + ", score double")
-    more = [F.col(f"`{c}`") if c != "text" else F.col("_kept").alias("text") for c in docs.columns] if carry else [F.col("doc_id")]
-    return scored.select(*more, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    more = [F.col(f"`{c}`") if c != "text" else F.col(kept).alias("text") for c in docs.columns if c in names or c == "text"] if carry else [F.col("doc_id")]
+    return scored.select(*more, (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

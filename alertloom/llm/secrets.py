@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates of three kinds are found in every text. Their values are hashed, and the hashes are counted over the whole
-corpus by distinct owner and repository: a value that many owners hold is a widely copied example, one that few owners
-hold and that looks random is a live-looking credential of its owner.
+corpus by distinct owner and repository: a value that many owners hold, or many repositories of more than one owner, is a widely
+copied example; one that is its owner's own and looks random is a live-looking credential.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 KINDS = ("assign", "access", "hex")
 #: The three patterns and the least length of what counts.
@@ -54,37 +54,38 @@ _CAND_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
-        shas, counts, cands = [], ([], [], []), []
+        shas, counts, cands, own = [], ([], [], []), [], []
         for scalar in texts:
             text = scalar.as_py() or ""
             spans = base_spans(text)
+            own.append(hashlib.sha256(text.encode()).hexdigest())
             shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _, _ in spans).encode()).hexdigest())
             for k in range(3):
                 counts[k].append(sum(s[1] == k for s in spans))
             cands.append([{"kind": k, "start": a, "end": b, "value_start": c, "value_end": d, "bits": entropy(text[c:d]), "hash": hashlib.sha256(text[c:d].encode()).hexdigest()} for a, k, b, c, d in spans])
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "owner", "repository")), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(cands, _CAND_TYPE)],
-            ["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
+            [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "owner", "repository")), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(own, pa.string()), pa.array(cands, _CAND_TYPE)],
+            ["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "text_sha256", "found"],
         )
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), example_owners: int = 4, live_bits: float = 2.5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example and ``live`` (spans of live-looking values) for every row.
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), example_owners: int = 4, example_repositories: int = 8, live_bits: float = 2.5) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, text_sha256 and ``live`` (spans of live-looking values) for every row.
 
-    A value held by ``example_owners`` or more distinct owners is an example; any other whose own characters have
-    ``live_bits`` or more bits each is live-looking, and adds a span live:value start:value end. Offsets are in code
-    points. Counts of owners and repositories cover all rows; a null owner or repository counts as one of that name.
-    Null and empty texts have no spans. Repeated rows and doc_ids are scanned row by row. Of other columns only ``carry``
-    is kept, joined on nothing: not supported for scans, see ``mask_secrets``.
+    A value held by ``example_owners`` or more distinct owners, or by several owners in ``example_repositories`` or more
+    distinct repositories, is an example; any other whose own characters have ``live_bits`` or more bits each is
+    live-looking, and adds a span live:value start:value end. Offsets are in code points. Counts of owners and repositories
+    cover all rows; a null owner or repository counts as one of that name. Null and empty texts have no spans. Repeated rows
+    and doc_ids are scanned row by row. Empty tables give no rows; other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository)).alias("repository"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = checkpointed(rows.mapInArrow(_scan, f"doc_id {kind}, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found {_CANDIDATES}"))
+    scanned = checkpointed(rows.mapInArrow(_scan, f"doc_id {kind}, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, text_sha256 string, found {_CANDIDATES}"))
     scanned = scanned.withColumn("row", F.monotonically_increasing_id())  # stable: the rows are written
     each = scanned.where("size(found) > 0").select("row", "owner", "repository", F.explode("found").alias("c"))
     held = each.select(F.col("c.hash").alias("hash"), "owner", "repository").distinct()  # map-side combined, so a value in a third of all rows is one row a task
     held = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    judged = each.select("row", "c.*").join(held, "hash").select("row", "kind", "start", "end", "value_start", "value_end", (F.col("owners") >= example_owners).alias("example"), (F.col("bits") >= live_bits).alias("random"), "owners", "repositories")
+    judged = each.select("row", "c.*").join(held, "hash").select("row", "kind", "start", "end", "value_start", "value_end", ((F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories))).alias("example"), (F.col("bits") >= live_bits).alias("random"), "owners", "repositories")
     names = F.array(*(F.lit(k) for k in KINDS))
     span = lambda kind, name, a, b, live: F.struct(F.col(a).alias("start"), F.lit(kind).alias("kind") if isinstance(kind, int) else kind.alias("kind"), F.concat_ws(":", name, F.col(a), F.col(b)).alias("text"), live.alias("live"), F.col(b).alias("end"))
     base = span(F.col("kind"), F.element_at(names, F.col("kind") + 1), "start", "end", F.lit(False))
@@ -98,31 +99,33 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str,
         F.coalesce(F.array_join(F.transform("s", lambda x: x.text), ","), F.lit("")).alias("spans"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "most_owners", "most_repositories")),
         F.coalesce(F.transform(F.filter("s", lambda x: x.live), lambda x: F.struct(x.start, x.end)), none).alias("live"),
+        "text_sha256",
     )
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", **options) -> DataFrame:
     """``docs`` with the live-looking values of every text replaced by ``mask``; all rows and columns stay, n_chars follows.
 
-    Widely copied examples stay as they are. Rows are matched by their text's hash and doc_id, so a repeated row is masked alike.
+    Widely copied examples stay as they are. Rows are matched by doc_id (a null one too) and their text's SHA-256, so rows that repeat a
+    doc_id with another text are masked by their own spans, and a repeated row is masked alike. Null and empty texts and empty
+    tables stay as they are; helper columns take names that ``docs`` doesn't have.
     """
-    found = scan_secrets(docs, **options).where("n_live > 0").select(F.col("doc_id").alias("_id"), "live", F.col("base_sha256").alias("_b")).dropDuplicates(["_id", "_b"])
-    return _replace(docs, found, mask)
+    own, sha, live, key = fresh(docs.columns, "own", "sha", "live", "key")
+    found = scan_secrets(docs, **options).where("n_live > 0").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha), F.col("live").alias(live)).dropDuplicates([own, sha])
+    keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(sha)), "left")
+    return joined.select(*(_masked(c, live, mask) for c in docs.columns))
 
 
-def _replace(docs: DataFrame, found: DataFrame, mask: str) -> DataFrame:
-    joined = docs.join(found, docs.doc_id.eqNullSafe(found._id), "left")
-
-    def fold(spans, text):
+def _masked(column: str, live: str, mask: str) -> Column:
+    """A column of a row after masking the spans in ``live``: text and n_chars change, others stay. A span inside an earlier one is left out."""
+    spans, text = F.col(live), F.col("text")
+    if column == "text":
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         step = lambda acc, s: F.when(s.start < acc.at, acc).otherwise(F.struct(s.end.alias("at"), F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mask)).alias("out")))
-        return F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-
-    spans = F.col("live")
-    out = {c: docs[c] for c in docs.columns}
-    out["text"] = F.when(spans.isNotNull(), fold(spans, docs["text"])).otherwise(docs["text"]).alias("text")
-    if "n_chars" in out:  # what the spans take and the masks give; a span inside an earlier one takes nothing
+        return F.when(spans.isNotNull(), F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))).otherwise(text).alias("text")
+    if column == "n_chars":  # what the spans take and the masks give
         start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gone"))
         gone = F.aggregate(spans, start, lambda acc, s: F.when(s.start < acc.at, acc).otherwise(F.struct(s.end.alias("at"), (acc.gone + s.end - s.start - len(mask)).alias("gone"))), lambda acc: acc.gone)
-        out["n_chars"] = F.when(spans.isNotNull(), (F.length(docs["text"]) - gone).cast("long")).otherwise(docs["n_chars"]).alias("n_chars")
-    return joined.select(*(v if c in ("text", "n_chars") else v.alias(c) for c, v in out.items()))
+        return F.when(spans.isNotNull(), (F.length(text) - gone).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return F.col(f"`{column}`")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,7 +50,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     each other. Suffix sums run within buckets of BUCKET lengths, which spread over tasks; only one row a bucket meets
     in the window over buckets. An empty table gives no rows.
     """
-    sized = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    sized = checkpointed(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))  # texts are encoded once
+    sized = sized.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     buckets = sized.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -64,10 +67,15 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """context, total, kept and truncated docs for each context limit, from the histogram alone (any limit, not only lengths that occur)."""
-    return histogram.sparkSession.createDataFrame([(x,) for x in limits], "context long").crossJoin(
-        F.broadcast(histogram.agg(F.collect_list(F.struct("n_tokens", "n_docs")).alias("h")))  # a query set of a few limits against one row
-    ).select("context", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.least(x.n_tokens, F.col("context")) * x.n_docs).alias("truncated_total"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.when(x.n_tokens > F.col("context"), x.n_docs).otherwise(0)).alias("docs_cut"))
+    """context, truncated_total and docs_cut for each context limit, whether it occurs as a length or not; 0 for an empty table.
+
+    The suffix sums of the least length over a limit answer for it: one aggregation for all limits.
+    """
+    over = [F.min_by(F.struct("docs_from", "tokens_from"), F.when(F.col("n_tokens") > x, F.col("n_tokens"))).alias(f"over{i}") for i, x in enumerate(limits)]
+    row = histogram.agg(F.coalesce(F.max("tokens_from"), F.lit(0)).alias("all_tokens"), *over)
+    docs, tokens = (lambda i: F.coalesce(F.col(f"over{i}.docs_from"), F.lit(0))), (lambda i: F.coalesce(F.col(f"over{i}.tokens_from"), F.lit(0)))
+    answers = [F.struct(F.lit(x).cast("long").alias("context"), (F.col("all_tokens") - tokens(i) + x * docs(i)).alias("truncated_total"), docs(i).alias("docs_cut")) for i, x in enumerate(limits)]
+    return row.select(F.explode(F.array(*answers)).alias("a")).select("a.*")
 
 
 def length_quantiles(histogram: DataFrame, quantiles: list[float]) -> DataFrame:

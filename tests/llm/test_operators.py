@@ -103,7 +103,7 @@ def test_near_duplicates(spark, seed):
     sets = {i: shingles(t) for i, t in data}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = components(sets, links)
-    got = sorted(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()))
+    got = sorted(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == sorted((i, len(sets[i]), want[i]) for i, _ in data)
 
 
@@ -373,3 +373,90 @@ def test_null_ids(spark):
     assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect()) == [(-1, -1, True), (-1, 4, False), (4, 4, True)]
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard_join.near_duplicates(docs).collect()) == [(-1, -1), (-1, 4), (4, 4)]
     assert docs.count() == suffix_dedup.remove_repeats(docs).count() == attention_lm.score_texts(docs, rounds=0).count() == packing.pack_documents(docs.withColumn("source", F.lit(None).cast("string"))).count()
+
+
+def test_near_copies_of_one_base_and_rows_without_ids(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(400)}" for _ in range(70)]
+    data = []
+    for i in range(160):  # a loose group: most pairs do not link, but nearly all are in one component
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(70)] = f"e{rng.randrange(10_000)}"
+        data.append((i, " ".join(w)))
+    data += [(None, data[3][1]), (5, "other words altogether here now and then"), (5, data[4][1]), (200 + 1, " ".join(base[:35] + [f"x{k}" for k in range(35)]))]
+    sets = [shingles(t) for _, t in data]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = components(range(len(sets)), links)
+    least = {}
+    for k, (i, _) in enumerate(data):
+        if i is not None:
+            least[comp[k]] = min(least.get(comp[k], i), i)
+    docs = spark.createDataFrame([(i, t, 1, 2.0, "x") for i, t in data], "doc_id long, text string, key int, comp double, hashes string")
+    got = jaccard_join.near_duplicates(docs).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=order) == sorted(((i, len(sets[k]), least.get(comp[k], i)) for k, (i, _) in enumerate(data)), key=order)
+    assert sum(r["kept"] for r in got) == len(set(comp.values()))
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(40)]
+    bits = jaccard_join.bitmaps(sets)
+    for a in range(40):
+        for b in range(a):
+            assert np.bitwise_count(bits[a] ^ bits[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def test_masking_rows_that_share_ids(spark):
+    one, two = 'password = "q8Zr2LmX0vTn4KcB7dHy"', 'long text before: secret="Zx81LmQ0vTn4KcB7dHyW" after'
+    data = [(1, one), (1, two), (1, "plain"), (None, one), (None, two), (2, None)]
+    names = "doc_id long, text string, source string, lang string, live int, _id int, key int, sha int, own string, n_chars long"
+    df = spark.createDataFrame([(i, t, "s", "en", 1, 2, 3, 4, "o", len(t or "")) for i, t in data], names)
+    got = secrets.mask_secrets(df)
+    mask = lambda t: t and t.replace("q8Zr2LmX0vTn4KcB7dHy", "[secret]").replace("Zx81LmQ0vTn4KcB7dHyW", "[secret]")
+    assert got.columns == df.columns
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()), key=order) == sorted(((i, mask(t), len(mask(t) or "")) for i, t in data), key=order)
+
+
+def test_ownership_by_repositories(spark):
+    value = "q8Zr2LmX0vTn4KcB7dHy"
+    rows = [(i, f"token={value}", f"src{i % 2}", f"l{i}") for i in range(8)] + [(20 + i, "token=Zx81LmQ0vTn4KcB7dHyW", "src0", f"l{i}") for i in range(8)]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert all(got[i]["n_example"] == 1 and got[i]["n_live"] == 0 and got[20 + i]["n_live"] == 1 for i in range(8))
+
+
+def test_quality_votes(spark):
+    rng = random.Random(8)
+    words = ["house", "river", "WIN", "$$$", "green", "!!", "over", "the", "free###"]
+    data = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 50)))) for i in range(120)]
+    data += [(3, data[3][1]), (3, data[3][1]), (None, "river river"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 0.5, 1) for i, t in data], "doc_id long, text string, score double, kept int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    voters = quality.fit(docs, labels, neighbours=7)
+    assert len(voters.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(120))
+    got = quality.score_quality(docs, labels, carry=True, neighbours=7)
+    assert got.columns == ["doc_id", "text", "kept", "held_out", "score", "predicted"]
+
+    def vote(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        v = (quality.features(raw, np.array([0, len(raw)]))[0] * voters.weight) @ voters.projection
+        size = math.sqrt(float(v @ v))
+        if not size:
+            return voters.prior
+        near = sorted(((float(v @ x) / size, y) for x, y in zip(voters.vectors, voters.labels, strict=True)), reverse=True)[:7]
+        weights = [max(c, 0.0) ** voters.sharpness for c, _ in near]
+        return sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else voters.prior
+
+    for r in got.collect():
+        assert r["score"] == pytest.approx(vote(r["text"]), abs=1e-4) and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0)
+    assert quality.score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 7, 1, 2.0), (2, [2.0, 0.1], 7, 1, 2.0), (3, [0.0, 1.0], 7, 1, 2.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, comp int, cosine double")
+    assert sorted(map(tuple, embedding_neighbours.near_vectors(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

@@ -63,3 +63,32 @@ def test_stages(spark, tmp_path):
     for r in kept[4].collect():
         sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["size"]
     assert sizes == {i: len(r["text"].encode()) for i, r in masked.items()}
+
+
+def test_odd_rows(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["house", "river", "walks", "green", "over", "bright"]) for _ in range(40))
+    near = text().split()
+    rows = [(i, text()) for i in range(40)] + [(None, text()), (None, None), (None, ""), (7, text()), (50, " ".join(near)), (None, " ".join(near[:-1] + ["other"])), (None, None)]
+    full = [(i, t, "en", None if k % 3 else "s", len(t or ""), 1.0, "x") for k, (i, t) in enumerate(rows)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, live string"
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    for name, data in (("some", full), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(data, names).write.parquet(folder + "/documents.parquet")
+        labels.write.parquet(folder + "/labels.parquet")
+        docs = spark.read.parquet(folder + "/documents.parquet")
+        texts = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            texts.append(sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect()) if k < 4 else docs.count())
+        if not data:
+            assert texts == [[], [], [], [], 0]
+            continue
+        all_rows = sorted((i or -1, t or "") for i, t in rows)
+        assert texts[0] == all_rows
+        assert texts[1] == sorted(set(all_rows))
+        gone = set(texts[1]) - set(texts[2])
+        assert gone == {(-1, " ".join(near[:-1] + ["other"]))} and texts[3] == texts[2]
+        assert corpus_pipeline.run(spark, folder).count() == texts[4] > 0
