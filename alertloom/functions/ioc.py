@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import net
+from . import net, paths
 
 #: The indicator patterns.
 URL = r"(?i)\bhttps?://[^\s\"'<>]+"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-HASH = r"\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b"
+HASH = r"\b(?:[a-fA-F0-9]{32}|[a-fA-F0-9]{40}|[a-fA-F0-9]{64})\b"
 DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[A-Za-z]{2,63}\b"
 #: File names and local names that read like domains, and what marks risks.
 FILE_SUFFIXES = ("local", "bak", "bat", "cfg", "cmd", "conf", "dll", "evtx", "exe", "ini", "jar", "js", "json", "log", "msi", "pcap", "ps1", "py", "sqlite", "sys", "tmp", "txt", "xml", "yaml", "yml")
@@ -47,10 +47,12 @@ def false_domain(v: Column) -> Column:
 
 def dedupe(indicators: Column) -> Column:
     """The first of indicators with one type and value (case aside), in order, blanks dropped."""
-    kept = F.filter(indicators, lambda x: x.value.isNotNull() & (F.trim(x.value) != ""))
     key = lambda x: F.concat(F.lower(x.type), F.lit("\x1f"), F.lower(F.trim(x.value)))
-    keys = F.transform(kept, key)
-    return F.filter(kept, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    kept = F.filter(indicators, lambda x: x.value.isNotNull() & (F.trim(x.value) != ""))
+    # sorted by key and place, an indicator stays if the one before has another key; then in order again: no search for each
+    keyed = F.array_sort(F.transform(kept, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    once = paths.let(keyed, lambda a: F.filter(a, lambda y, i: (i == 0) | (F.get(a, F.greatest(i - 1, F.lit(0))).k != y.k)))
+    return F.transform(F.array_sort(F.transform(once, lambda y: F.struct(y.i.alias("i"), y.x.alias("x")))), lambda y: y.x)
 
 
 def from_text(text: Column) -> Column:

@@ -83,8 +83,8 @@ def alert_score(row) -> Column:
 
 def action(score: Column, page_at: int = PAGE_AT, queue_at: int = QUEUE_AT) -> Column:
     """The routing action: the score is the only authority."""
-    if not 1 <= queue_at < page_at <= 10:
-        raise ValueError("thresholds must satisfy 1 <= queue_at < page_at <= 10")
+    if not 1 <= queue_at <= page_at <= 10:
+        raise ValueError("thresholds must satisfy 1 <= queue_at <= page_at <= 10")
     return F.when(score >= page_at, "page_now").when(score >= queue_at, "queue_review").otherwise("mark_likely_benign")
 
 
@@ -105,6 +105,6 @@ def band_error(score: Column, low: Column, high: Column) -> Column:
 
 
 def age(seconds: Column) -> Column:
-    """An age as minutes, hours or days."""
-    minutes = F.floor(seconds / 60)
-    return F.when(minutes < 60, F.concat(minutes, F.lit("m"))).when(minutes < 1440, F.concat(F.floor(minutes / 60), F.lit("h"))).otherwise(F.concat(F.floor(minutes / 1440), F.lit("d")))
+    """An age as minutes, hours or days; 0m if it lies ahead, - if there is none."""
+    minutes = F.floor(F.greatest(seconds, F.lit(0)) / 60)
+    return F.when(seconds.isNull(), "-").when(minutes < 60, F.concat(minutes, F.lit("m"))).when(minutes < 1440, F.concat(F.floor(minutes / 60), F.lit("h"))).otherwise(F.concat(F.floor(minutes / 1440), F.lit("d")))

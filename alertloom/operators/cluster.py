@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import entity_components
+from .graph import entity_components, persisted
 
 WINDOW_MINUTES, CAP = 30, 50
 INCIDENT_MINUTES, INCIDENT_SCORE = 120, 8
@@ -88,24 +88,33 @@ def sessions(rows: DataFrame, by: list[str], minutes: int, ts: str = "event_ts",
 
 
 def candidates(alerts: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row a cluster: span, first host and user in time order, ordered distinct addresses, alert ids, and its candidate id.
+    """One row a cluster: span, first host and user in time order, ordered distinct addresses, agents, alert ids, and its candidate id.
 
-    The ordinal is the rank of the cluster's first alert; it is computed per day of the id with a window over days' clusters.
+    The ordinal is the rank of the cluster's first alert among all clusters.
     """
+    if "agent_id" not in alerts.columns:
+        alerts = alerts.withColumn("agent_id", F.lit(None).cast("string"))
     rows = alerts.join(clusters, "id").withColumn("at", F.struct(F.col("event_ts").isNotNull().alias("dated"), "event_ts", F.col("id").alias("k")))
     filled = lambda c: F.min_by(c, F.when(F.trim(F.col(c)) != "", F.col("at")))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "id", "src_ip", "dst_ip")))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "id", "src_ip", "dst_ip", "agent_id")))
     each = lambda f: F.array_distinct(F.array_compact(F.transform("members", lambda m: F.nullif(F.trim(m[f]), F.lit("")))))
     folded = rows.groupBy("cluster").agg(F.min("event_ts").alias("first_seen"), F.max("event_ts").alias("last_seen"), filled("hostname").alias("primary_host"), filled("user").alias("primary_user"), ordered.alias("members"), F.min("at").alias("first_at"), F.count(F.lit(1)).alias("alert_count"))
-    folded = folded.select("cluster", "first_seen", "last_seen", "primary_host", "primary_user", "alert_count", "first_at", F.transform("members", lambda m: m.id).alias("alert_ids"), each("src_ip").alias("src_ips"), each("dst_ip").alias("dst_ips"))
-    return numbered(folded, "CAND", F.col("first_seen"), F.concat_ws(":", F.array_sort("alert_ids")), Window.orderBy("first_at"), "candidate_id")
+    folded = folded.select("cluster", "first_seen", "last_seen", "primary_host", "primary_user", "alert_count", "first_at", F.transform("members", lambda m: m.id).alias("alert_ids"), each("src_ip").alias("src_ips"), each("dst_ip").alias("dst_ips"), each("agent_id").alias("agent_ids"))
+    return numbered(folded, "CAND", F.concat_ws(":", F.array_sort("alert_ids")), "candidate_id")
 
 
-def numbered(rows: DataFrame, prefix: str, day: Column, content: Column, order, name: str) -> DataFrame:
-    """<prefix>-<date or unknown>-<ordinal>-<hash>: the ordinal counts groups in order of creation; one row a group meets in that window."""
-    date = F.coalesce(F.date_format(day, "yyyyMMdd"), F.lit("unknown"))
-    number = F.row_number().over(order)
-    return rows.withColumn(name, F.concat_ws("-", F.lit(prefix), date, F.format_string("%03d", number), F.substring(F.sha2(content, 256), 1, 10)))
+def numbered(rows: DataFrame, prefix: str, content: Column, name: str) -> DataFrame:
+    """<prefix>-<date or unknown>-<ordinal>-<hash> for rows with first_seen and first_at: the ordinal counts all groups in order of first_at.
+
+    Groups are numbered within their hour and moved on by the groups of earlier hours: only one row an hour meets in one window.
+    """
+    rows = persisted(rows.withColumn("_hour", F.date_trunc("hour", "first_seen")))
+    before = F.sum("n").over(Window.orderBy(F.asc_nulls_first("_h")).rowsBetween(Window.unboundedPreceding, -1))
+    hours = rows.groupBy(F.col("_hour").alias("_h")).agg(F.count(F.lit(1)).alias("n")).select("_h", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.join(hours, F.col("_hour").eqNullSafe(F.col("_h")))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_hour").orderBy("first_at"))
+    date = F.coalesce(F.date_format("first_seen", "yyyyMMdd"), F.lit("unknown"))
+    return rows.withColumn("_number", number).drop("_h", "_hour", "_before").withColumn(name, F.concat_ws("-", F.lit(prefix), date, F.format_string("%03d", F.col("_number")), F.substring(F.sha2(content, 256), 1, 10))).drop("_number")
 
 
 def _greedy_candidates(window_us: int) -> Callable:
@@ -134,9 +143,11 @@ def _greedy_candidates(window_us: int) -> Callable:
     return run
 
 
-def incident_entities() -> Column:
+def incident_entities(scored: DataFrame) -> Column:
+    """Typed entities of a candidate: host, user, addresses, and the agents of its alerts."""
+    agents = F.transform("agent_ids", lambda x: F.concat(F.lit("agent:"), x)) if "agent_ids" in scored.columns else F.array().cast("array<string>")
     lower = lambda kind, c: F.when(F.trim(F.col(c)) != "", F.concat(F.lit(kind), F.lower(F.trim(F.col(c)))))
-    return F.array_distinct(F.array_compact(F.concat(F.array(lower("host:", "primary_host"), lower("user:", "primary_user")), F.transform("src_ips", lambda x: F.concat(F.lit("src:"), x)), F.transform("dst_ips", lambda x: F.concat(F.lit("dst:"), x)))))
+    return F.array_distinct(F.array_compact(F.concat(F.array(lower("host:", "primary_host"), lower("user:", "primary_user")), F.transform("src_ips", lambda x: F.concat(F.lit("src:"), x)), F.transform("dst_ips", lambda x: F.concat(F.lit("dst:"), x)), agents)))
 
 
 def promoted(scored: DataFrame, least: int = INCIDENT_SCORE, paged: bool = True) -> DataFrame:
@@ -149,7 +160,7 @@ def promoted(scored: DataFrame, least: int = INCIDENT_SCORE, paged: bool = True)
 def incidents(scored: DataFrame, minutes: int = INCIDENT_MINUTES) -> DataFrame:
     """Incidents of qualifying candidates (candidate_id, first_seen, last_seen, primary_host, primary_user, src_ips, dst_ips, score, alert_count)."""
     dated = F.coalesce("first_seen", "last_seen")
-    rows = scored.withColumn("entities", incident_entities()).select(F.col("candidate_id").alias("id"), F.coalesce(F.unix_micros(dated), F.lit(0)).alias("moment"), F.unix_micros(dated).alias("first"), F.unix_micros(F.coalesce("last_seen", "first_seen")).alias("last"), dated.isNotNull().alias("dated"), "entities")
+    rows = scored.withColumn("entities", incident_entities(scored)).select(F.col("candidate_id").alias("id"), F.coalesce(F.unix_micros(dated), F.lit(0)).alias("moment"), F.unix_micros(dated).alias("first"), F.unix_micros(F.coalesce("last_seen", "first_seen")).alias("last"), dated.isNotNull().alias("dated"), "entities")
     linked = rows.where("size(entities) > 0")
     comp = entity_components(linked.select("id", F.explode("entities").alias("entity")), "id", "entity")
     before = Window.partitionBy("component").orderBy("moment", "id").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,4 +176,10 @@ def incidents(scored: DataFrame, minutes: int = INCIDENT_MINUTES) -> DataFrame:
         F.array_sort(F.collect_list("candidate_id")).alias("candidate_ids"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), usual("primary_host").alias("primary_host"), usual("primary_user").alias("primary_user"), F.max("score").alias("max_score"),
         F.sum("alert_count").alias("alert_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("src_ips")))).alias("src_ips"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("dst_ips")))).alias("dst_ips"), F.min(F.struct("first_seen", "candidate_id")).alias("first_at"),
     )
-    return numbered(folded, "INC", F.col("first_seen"), F.concat_ws("|", "candidate_ids"), Window.orderBy("first_at"), "incident_id")
+    return numbered(folded, "INC", F.concat_ws("|", "candidate_ids"), "incident_id")
+
+
+def members(incidents: DataFrame, candidates: DataFrame, alerts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Alerts with the incident and the candidate that they belong to."""
+    of = incidents.select("incident_id", F.explode("candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id", "cluster"), "candidate_id")
+    return alerts.join(clusters, "id").join(of, "cluster").drop("cluster")

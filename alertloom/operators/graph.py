@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder (spark.checkpoint.dir where the cluster sets it) and cut from its lineage."""
+    """df written to the checkpoint folder and cut from its lineage; without spark.checkpoint.dir a temporary folder in local mode, else an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="alertloom-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="alertloom-"))
     return df.checkpoint()
 
 
@@ -26,6 +30,7 @@ def entity_components(members: DataFrame, own: str, entity: str) -> DataFrame:
     labels = persisted(pairs.select(own, F.col(own).alias("component")).distinct())
     while True:
         by_entity = pairs.join(labels, own).groupBy(entity).agg(F.min("component").alias("c"))
+        by_entity = persisted(by_entity)  # both sides of the next join are shuffles, so that Spark splits an entity that a third of all rows hold
         near = pairs.join(by_entity, entity).groupBy(own).agg(F.min("c").alias("component"))
         jump = near.join(labels.select(F.col(own).alias("_k"), F.col("component").alias("_c")), near["component"] == F.col("_k"), "left").select(own, F.least("component", F.coalesce("_c", "component")).alias("component"))
         after = persisted(jump)

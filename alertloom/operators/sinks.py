@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRIAGE_FIELDS = ("target_id", "target_type", "score", "action", "classification", "fp_likelihood", "analysis_source", "model", "prompt_version", "summary")
-INCIDENT_FIELDS = ("incident_id", "primary_host", "primary_user", "max_score", "alert_count", "candidate_count", "first_seen", "last_seen")
+INCIDENT_FIELDS = ("id", "candidate_count", "alert_count", "max_score", "primary_host", "primary_user", "first_seen", "last_seen")
 
 
 def append(rows: DataFrame, path: str, sequence: Column) -> None:
@@ -39,51 +39,33 @@ def links(rows: DataFrame, parent: str, children: str, child: str) -> DataFrame:
 
 
 def hec_batches(rows: DataFrame, fields: tuple[str, ...], ts: str, order: list[str], per: int = 100, shard: Column | None = None) -> DataFrame:
-    """Envelopes of allowlisted fields, numbered in batches of ``per``; with ``shard`` batches are numbered within it, so no task sees all."""
+    """Envelopes of allowlisted fields (event, sourcetype, time in epoch seconds), numbered in batches of ``per``; with ``shard`` batches are numbered within it, so no task sees all: a hash of the key deals evenly."""
     have = [F.col(f) for f in fields if f in rows.columns]
-    envelope = F.to_json(F.struct(F.unix_micros(ts).cast("double").alias("us"), F.struct(*have).alias("event"), F.lit("ai_triage").alias("sourcetype")))
+    envelope = F.to_json(F.struct(F.struct(*have).alias("event"), F.lit("ai_triage").alias("sourcetype"), (F.unix_micros(ts) / 1_000_000).alias("time")))
     by = Window.partitionBy(shard) if shard is not None else Window
     number = F.floor((F.row_number().over(by.orderBy(*order)) - 1) / per)
     return rows.select(*order, *([shard.alias("shard")] if shard is not None else []), number.cast("bigint").alias("batch"), envelope.alias("envelope"))
 
 
+def incident_events(incidents: DataFrame) -> DataFrame:
+    """Incidents with the field names of their exported events."""
+    return incidents.withColumn("id", F.col("incident_id")).withColumn("candidate_count", F.size("candidate_ids"))
+
+
 def write_ndjson(rows: DataFrame, column: str, path: str) -> None:
     rows.select(F.col(column).alias("value")).write.mode("append").text(path)
 
 
 def notifications(triage: DataFrame) -> DataFrame:
     """Subject and body of a notification for each paged result; nothing is sent."""
-    level = F.when(F.col("score") >= 9, "critical").when(F.col("score") >= 7, "high").when(F.col("score") >= 4, "medium").otherwise("low")
+    level = F.when(F.col("score") >= 8, "critical").when(F.col("score") >= 4, "warning").otherwise("info")
     return triage.where("routed_action = 'page_now'").select("triage_id", level.alias("level"), F.concat(F.lit("["), F.upper(level), F.lit("] "), "message").alias("subject"), F.col("message").alias("body"))
 
 
-def reports(incidents: DataFrame, members: DataFrame, triage: DataFrame) -> DataFrame:
-    """(incident_id, markdown): summary, timeline, addresses and assessment of each incident, in a fixed order of sections."""
-    line = F.concat(F.lit("- "), F.coalesce(F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("unknown time")), F.lit(" "), F.coalesce("severity", F.lit("unknown")), F.lit(" "), F.coalesce("rule_name", F.lit("unnamed detection")))
-    head = Window.partitionBy("incident_id").orderBy(F.coalesce(F.unix_micros("event_ts"), F.lit(0)), "id")
-    numbered = members.withColumn("line", line).withColumn("p", F.row_number().over(head))
-    times = numbered.groupBy("incident_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("p") <= 12, F.struct("p", "line")))), lambda x: x.line).alias("lines"), F.count(F.lit(1)).alias("alerts"))
-    marks = triage.groupBy("incident_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "candidate_id", F.lit(": "), "score", F.lit("/10 "), "classification"))), "\n").alias("marks"))
-    rows = incidents.join(times, "incident_id", "left").join(marks, "incident_id", "left")
-    more = F.when(F.col("alerts") > 12, F.concat(F.lit("\n- and "), F.col("alerts") - 12, F.lit(" further"))).otherwise("")
-    text = F.concat(
-        F.lit("# Incident "), "incident_id", F.lit("\n\n## Summary\n\nHost "), F.coalesce("primary_host", F.lit("unknown")), F.lit(", user "), F.coalesce("primary_user", F.lit("unknown")), F.lit(", worst score "), F.col("max_score").cast("string"), F.lit("/10, "), F.coalesce(F.col("alerts").cast("string"), F.lit("0")), F.lit(" alert(s).\n\n## Timeline\n\n"),
-        F.coalesce(F.array_join("lines", "\n"), F.lit("")), more, F.lit("\n\n## Addresses\n\n"), F.array_join(F.array_union("src_ips", "dst_ips"), ", "), F.lit("\n\n## Assessment\n\n"), F.coalesce("marks", F.lit("")), F.lit("\n"),
-    )
-    return rows.select("incident_id", text.alias("markdown"))
-
-
 def write_reports(markdown: DataFrame, path: str, own: str = "incident_id") -> None:
     """One folder of text for each report."""
     markdown.select(own, F.col("markdown").alias("value")).write.mode("overwrite").partitionBy(own).text(path)
 
 
-def promoted_reviews(reviews: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labelled cases with the events to replay, reviews that can't be recovered) of reviews (review_id, raw_event_id, ...) and raw events."""
-    events = raw.select(F.col("id").alias("raw_event_id"), F.struct("id", "source", "event_ts", "payload_json").alias("event"))
-    cases = reviews.join(events, "raw_event_id").groupBy("review_id").agg(F.array_sort(F.collect_list("event")).alias("events"))
-    return reviews.drop("raw_event_id").distinct().join(cases, "review_id"), reviews.join(events, "raw_event_id", "left_anti")
-
-
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

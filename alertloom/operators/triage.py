@@ -83,7 +83,12 @@ def score_alerts(alerts: DataFrame, added: DataFrame | None = None) -> DataFrame
     have = set(rows.columns)
     get = lambda c: F.col(c) if c in have else F.lit(None)
     score = scoring.alert_score(get)
-    return judged(rows.withColumn("score", score), "alert", "id")
+    return with_summary(judged(rows.withColumn("score", score), "alert", "id"), F.concat(F.lit("Local triage scored alert "), "id", F.lit(" as "), "score", F.lit("/10 ("), "action", F.lit("): "), F.coalesce(get("rule_name"), F.lit("Unknown rule")), F.lit(" on "), F.coalesce(get("hostname"), F.lit("unknown host")), F.lit(".")))
+
+
+def with_summary(rows: DataFrame, text: Column) -> DataFrame:
+    """Local triage with its one-line summary."""
+    return rows.withColumn("summary", text)
 
 
 def judged(rows: DataFrame, kind: str, own: str) -> DataFrame:
@@ -105,20 +110,29 @@ def score_candidates(candidates: DataFrame, alerts: DataFrame, clusters: DataFra
         extra = extra + F.coalesce("enrichment", F.lit(0))
     if "asset_criticality" in rows.columns:
         extra = extra + scoring.asset_boost(F.col("asset_criticality"), F.col("asset_internet_facing"))
-    return judged(rows.withColumn("score", scoring.clamp(F.col("best") + extra)), "candidate", "candidate_id")
+    out = judged(rows.withColumn("score", scoring.clamp(F.col("best") + extra)), "incident_candidate", "candidate_id")
+    return with_summary(out, F.concat(F.lit("Local triage scored candidate "), "candidate_id", F.lit(" as "), "score", F.lit("/10 ("), "action", F.lit(") with "), "alert_count", F.lit(" alert(s) on "), F.coalesce("primary_host", F.lit("unknown host")), F.lit(".")))
+
+
+#: Where each action goes, and the first status there.
+DESTINATIONS = {"page_now": "page_now", "queue_review": "analyst_queue", "mark_likely_benign": "likely_benign"}
+STATUSES = {"page_now": "created", "queue_review": "queued", "mark_likely_benign": "marked_likely_benign"}
 
 
-DESTINATIONS = {"page_now": "pager", "queue_review": "review_queue", "mark_likely_benign": "archive"}
+def chosen(by: dict[str, str], key: Column) -> Column:
+    """The value of a small fixed map."""
+    return F.create_map(*(F.lit(x) for kv in by.items() for x in kv))[key]
 
 
 def routed(triage: DataFrame, target: str, page_at: int = 8, queue_at: int = 4, destinations: dict[str, str] | None = None) -> DataFrame:
     """Routing decisions by score alone; a differing suggestion is named in the message."""
     act = scoring.action(F.col("score"), page_at, queue_at)
-    where = F.create_map(*(F.lit(x) for kv in (destinations or DESTINATIONS).items() for x in kv))[act]
+    where = chosen(destinations or DESTINATIONS, act)
+    summary = F.coalesce("summary", F.lit("")) if "summary" in triage.columns else F.lit("")
     differs = F.when(F.col("action") != act, F.concat(F.lit(" (triage suggested "), F.col("action"), F.lit("; score policy applied "), act, F.lit(")"))).otherwise("")
-    message = F.concat(F.lit("Routed target "), F.col(target), F.lit(" with score "), F.col("score"), F.lit("/10 as "), act, F.lit(" to "), where, differs)
-    own = F.concat(F.lit("route-"), F.substring(F.sha2(F.concat_ws(":", "triage_id", act, where), 256), 1, 12))
-    return triage.withColumn("routed_action", act).withColumn("destination", where).withColumn("status", F.when(act == "queue_review", "queued").otherwise("routed")).withColumn("message", message).withColumn("routing_id", own)
+    message = F.concat(F.lit("Routed target "), F.col(target), F.lit(" with score "), F.col("score"), F.lit("/10 as "), act, F.lit(" to "), where, differs, F.lit(": "), summary)
+    own = F.concat(F.lit("route-"), F.substring(F.sha2(F.concat_ws(":", "triage_id", target, act), 256), 1, 12))
+    return triage.withColumn("routed_action", act).withColumn("destination", where).withColumn("status", chosen(STATUSES, act)).withColumn("message", message).withColumn("routing_id", own)
 
 
 def proposals(triage: DataFrame, playbooks: DataFrame, enabled: tuple[str, ...] = (), need_model: bool = True) -> DataFrame:
@@ -181,24 +195,77 @@ def verdict_band(verdict: Column, score: Column, analyst_score: Column) -> tuple
     return F.least(low, high), F.greatest(low, high)
 
 
+#: What recorded answers may call each action.
+ACTION_NAMES = {"page_now": ("page_now", "page", "urgent", "notify"), "queue_review": ("queue_review", "queue", "review", "analyst_review"), "mark_likely_benign": ("mark_likely_benign", "likely_benign", "benign", "close")}
+
+
 def parsed_responses(recorded: DataFrame) -> DataFrame:
-    """(target_id, score, action, classification, iocs, evidence) of recorded model answers (target_id, response); answers that are no JSON object give null scores.
+    """Recorded model answers (target_id, response) as triage: score, action, classification, fp_likelihood, summary, iocs, evidence, recommended_actions.
 
-    A Markdown fence is stripped; an action's synonyms are folded; evidence without a field name is dropped; scores are clamped to 1..10.
+    A Markdown fence is stripped. An answer that is no JSON object or has no whole score gives null scores. Scores are clamped to 1..10;
+    an action by another name, or none, follows the answer's own score, as does a missing classification; an fp_likelihood
+    other than low, medium and high is unknown. The first three reasons join the summary. iocs: a map of lists by kind (a plain list is kind
+    ``iocs``). Evidence without a field name is dropped.
     """
     text = F.regexp_replace(F.trim("response"), r"(?s)^```[A-Za-z]*\s*(.*?)\s*```$", "$1")
-    doc = F.try_parse_json(text)
-    ok = doc.isNotNull() & F.schema_of_variant(doc).startswith("OBJECT")
-    get = lambda p, t: F.when(ok, F.try_variant_get(doc, p, t))
-    act = F.regexp_replace(F.lower(F.trim(get("$.action", "string"))), r"[\s-]+", "_")
-    act = F.when(act.isin("page", "page_now", "escalate"), "page_now").when(act.isin("queue", "queue_review", "review"), "queue_review").when(act.isin("benign", "mark_likely_benign", "close", "ignore"), "mark_likely_benign")
-    score = get("$.score", "double").cast("int")
+    rows = recorded.select("target_id", F.try_parse_json(text).alias("doc"))
+    ok = F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT")
+    get = lambda p, t: F.when(ok, F.try_variant_get("doc", p, t))
+    clean = lambda p: F.nullif(F.trim(get(p, "string")), F.lit(""))
+    rows = rows.withColumn("score", scoring.clamp(get("$.score", "double").cast("int"))).withColumn("score", F.when(get("$.score", "double").isNotNull(), F.col("score")))
+    s, named, likelihood = F.col("score"), F.lower(clean("$.action")), F.lower(clean("$.fp_likelihood"))
+    act = F.when(s.isNull(), None)
+    for name, words in ACTION_NAMES.items():
+        act = act.when(named.isin(*words), name)
+    empty = F.array().cast("array<string>")
+    reasons = F.coalesce(get("$.reasoning", "array<string>"), empty)
+    summary = F.coalesce(clean("$.summary"), F.lit("LLM triage completed without summary."))
     evidence = F.filter(F.coalesce(get("$.evidence", "array<struct<field:string,value:string>>"), F.array().cast("array<struct<field:string,value:string>>")), lambda e: F.trim(e.field) != "")
-    return recorded.select("target_id", F.when(score.isNotNull(), scoring.clamp(score)).alias("score"), act.alias("action"), get("$.classification", "string").alias("classification"), F.coalesce(get("$.iocs", "array<string>"), F.array().cast("array<string>")).alias("iocs"), evidence.alias("evidence"))
+    iocs = F.coalesce(get("$.iocs", "map<string,array<string>>"), F.when(F.size(F.coalesce(get("$.iocs", "array<string>"), empty)) > 0, F.create_map(F.lit("iocs"), get("$.iocs", "array<string>"))), F.create_map().cast("map<string,array<string>>"))
+    return rows.select(
+        "target_id", "score", act.otherwise(scoring.action(s)).alias("action"), F.when(s.isNotNull(), F.coalesce(clean("$.classification"), scoring.classification(s))).alias("classification"),
+        F.when(likelihood.isin("low", "medium", "high"), likelihood).otherwise("unknown").alias("fp_likelihood"),
+        F.when(F.size(reasons) > 0, F.concat(summary, F.lit(" Reasons: "), F.array_join(F.slice(reasons, 1, 3), "; "))).otherwise(summary).alias("summary"),
+        iocs.alias("iocs"), evidence.alias("evidence"), F.coalesce(get("$.recommended_actions", "array<string>"), empty).alias("recommended_actions"),
+    )
+
+
+def with_recorded(local: DataFrame, recorded: DataFrame, own: str, kind: str = "incident_candidate") -> DataFrame:
+    """Local triage replaced by the recorded model answer where one parsed; of several answers the one whose text sorts first. analysis_source tells which."""
+    one = recorded.groupBy("target_id").agg(F.min_by("response", F.struct(F.try_parse_json("response").isNull(), "response")).alias("response"))
+    fields = ("score", "action", "classification", "fp_likelihood", "summary")
+    answers = parsed_responses(one).where("score is not null").select(F.col("target_id").alias(own), F.struct(*fields).alias("_m"))
+    rows = local.join(answers, own, "left")
+    there = F.col("_m").isNotNull()
+    rows = rows.withColumn("analysis_source", F.when(there, "llm").otherwise(F.col("analysis_source"))).withColumn("triage_id", F.when(there, scoring.triage_id(F.lit(kind), F.col(own), F.col("_m.score"), F.col("_m.classification"))).otherwise(F.col("triage_id")))
+    for f in fields:
+        rows = rows.withColumn(f, F.when(there, F.col(f"_m.{f}")).otherwise(F.col(f) if f in local.columns else F.lit(None)))
+    return rows.drop("_m")
 
 
-def with_recorded(local: DataFrame, recorded: DataFrame, own: str) -> DataFrame:
-    """Local triage replaced by the recorded model answer where one parsed; analysis_source tells which."""
-    answers = parsed_responses(recorded).where("score is not null").dropDuplicates(["target_id"]).select(F.col("target_id").alias(own), F.col("score").alias("_s"), F.col("action").alias("_a"), F.col("classification").alias("_c"))
-    rows = local.join(answers, own, "left")
-    return rows.withColumn("analysis_source", F.when(F.col("_s").isNotNull(), "llm").otherwise(F.col("analysis_source"))).withColumn("action", F.coalesce("_a", "action")).withColumn("classification", F.coalesce("_c", "classification")).withColumn("score", F.coalesce("_s", "score")).drop("_s", "_a", "_c")
+def provenance(enrichments: DataFrame, own: str = "target_id") -> DataFrame:
+    """(target, enrichment_providers, enrichment_looked_up_at): the sorted distinct providers and the latest lookup behind each decision."""
+    return enrichments.groupBy(own).agg(F.array_sort(F.collect_set(F.nullif(F.trim("provider"), F.lit("")))).alias("enrichment_providers"), F.max("looked_up_at").alias("enrichment_looked_up_at"))
+
+
+def all_enrichments(local: DataFrame, answered: DataFrame) -> DataFrame:
+    """Local enrichments and those answered by providers as one bag (nothing is merged); unanswered questions stay out."""
+    columns = ("target_id", "type", "value", "provider", "risk_factors", "severity_hint", "summary")
+    have = local if "provider" in local.columns else local.withColumn("provider", F.lit("local"))
+    verdict = F.concat_ws(" ", "provider", F.lit("says"), "value", F.lit("is"), "verdict")
+    return have.select(*columns).unionByName(answered.where("verdict is not null").withColumn("summary", verdict).select(*columns))
+
+
+def cache_after(snapshot: DataFrame, fetched: DataFrame, now: datetime, hours: int = 24) -> DataFrame:
+    """The provider cache after a run: live answers, and each fetched one (provider, type, value, verdict, factors) with a new expiry; failed lookups (null verdict) are never cached."""
+    new = fetched.where("verdict is not null").withColumn("expires_at", F.lit(now) + F.expr(f"interval {int(hours)} hours"))
+    old = snapshot.where(F.col("expires_at") > F.lit(now)).join(new.select("provider", "type", "value"), ["provider", "type", "value"], "left_anti")
+    return old.unionByName(new.select(*snapshot.columns))
+
+
+def described(triage: DataFrame, candidates: DataFrame, own: str = "candidate_id") -> DataFrame:
+    """triage as it is; a row whose ``own`` is no candidate's raises when it is read."""
+    there = candidates.select(F.col(own).alias("_own")).distinct()
+    bad = F.raise_error(F.concat(F.lit("triage result "), "triage_id", F.lit(" does not describe a candidate")))
+    rows = triage.join(there, F.col(own) == F.col("_own"), "left")
+    return rows.withColumn("triage_id", F.when(F.col("_own").isNull(), bad).otherwise(F.col("triage_id"))).drop("_own")

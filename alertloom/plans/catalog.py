@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ioc, net, paths, scoring, severity
-from ..operators import cluster, dedup, queries, sinks, triage
+from ..operators import cluster, dedup, evaluate, queries, review, sinks, triage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,7 +73,12 @@ def alert_triage(spark, d):
     return scored(spark, d).select("id", "score", "action", "classification", "fp_likelihood", "triage_id")
 
 
-@register(SCORED_SQL + ", r AS (SELECT *, 'triage-' || substr(sha256('alert:' || id || ':' || score || ':' || classification), 1, 12) AS triage_id, CASE action WHEN 'page_now' THEN 'pager' WHEN 'queue_review' THEN 'review_queue' ELSE 'archive' END AS destination FROM t) SELECT 'route-' || substr(sha256(triage_id || ':' || action || ':' || destination), 1, 12) AS routing_id, destination, CASE WHEN action = 'queue_review' THEN 'queued' ELSE 'routed' END AS status, 'Routed target ' || id || ' with score ' || score || '/10 as ' || action || ' to ' || destination AS message FROM r")
+_ROUTED_SQL = SCORED_SQL + """, r AS (SELECT *, 'triage-' || substr(sha256('alert:' || id || ':' || score || ':' || classification), 1, 12) AS triage_id,
+    CASE action WHEN 'page_now' THEN 'page_now' WHEN 'queue_review' THEN 'analyst_queue' ELSE 'likely_benign' END AS destination,
+    'Local triage scored alert ' || id || ' as ' || score || '/10 (' || action || '): ' || coalesce(event_type, 'Unknown rule') || ' on unknown host.' AS summary FROM t) """
+
+
+@register(_ROUTED_SQL + "SELECT 'route-' || substr(sha256(triage_id || ':' || id || ':' || action), 1, 12) AS routing_id, destination, CASE action WHEN 'page_now' THEN 'created' WHEN 'queue_review' THEN 'queued' ELSE 'marked_likely_benign' END AS status, 'Routed target ' || id || ' with score ' || score || '/10 as ' || action || ' to ' || destination || ': ' || summary AS message FROM r")
 def routing_decisions(spark, d):
     return triage.routed(scored(spark, d), "id").select("routing_id", "destination", "status", "message")
 
@@ -472,10 +477,60 @@ def entity_profile(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"), F.expr("mode() WITHIN GROUP (ORDER BY event_type)").alias("usual"))
 
 
-@register("SELECT event_id, 10 * score AS s FROM (SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::INT % 4 = 0 THEN NULL ELSE 1 + json_extract_string(props, '$.k')::INT % 10 END AS score FROM events) WHERE score IS NOT NULL")
+@register("""WITH m AS (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events), p AS (SELECT event_id, k, 1 + k % 10 AS score FROM m WHERE k % 4 != 0)
+    SELECT event_id, 10 * score AS s, CASE WHEN k % 4 = 1 THEN 'page_now' WHEN k % 4 = 2 THEN 'mark_likely_benign' WHEN score >= 8 THEN 'page_now' WHEN score >= 4 THEN 'queue_review' ELSE 'mark_likely_benign' END AS action,
+    CASE WHEN k % 4 = 1 THEN 'medium' ELSE 'unknown' END AS fp_likelihood, CASE WHEN k % 4 = 2 THEN 'beacon' WHEN score >= 8 THEN 'likely_true_positive_high_priority' WHEN score >= 4 THEN 'needs_analyst_review' ELSE 'likely_false_positive_or_low_priority' END AS classification FROM p""")
 def model_response_parse(spark, d):
     k = paths.first_int(F.parse_json("props"), ["k"])
-    text = F.when(k % 4 == 0, "no json here").when(k % 4 == 1, F.concat(F.lit('```json\n{"score": '), 1 + k % 10, F.lit(', "action": "Page Now"}\n```'))).otherwise(F.concat(F.lit('{"score": '), 1 + k % 10, F.lit("}")))
+    fenced = F.concat(F.lit('```json\n{"score": '), 1 + k % 10, F.lit(', "action": "Urgent", "fp_likelihood": "Medium"}\n```'))
+    plain = F.concat(F.lit('{"score": '), 1 + k % 10, F.lit(', "action": "likely_benign", "classification": " beacon "}'))
+    text = F.when(k % 4 == 0, "no json here").when(k % 4 == 1, fenced).when(k % 4 == 2, plain).otherwise(F.concat(F.lit('{"score": '), 1 + k % 10, F.lit(', "action": "escalate", "fp_likelihood": "none"}')))
     recorded = table(spark, d, "events").select(F.col("event_id").alias("target_id"), text.alias("response"))
-    return triage.parsed_responses(recorded).where("score is not null").select(F.col("target_id").alias("event_id"), (F.col("score") * 10).alias("s"))
+    return triage.parsed_responses(recorded).where("score is not null").select(F.col("target_id").alias("event_id"), (F.col("score") * 10).alias("s"), "action", "fp_likelihood", "classification")
+
+
+_QUEUED_SQL = SCORED_SQL + """, v AS (SELECT event_id, id, ts, score, action, CASE event_id % 3 WHEN 0 THEN 'agree' WHEN 1 THEN 'too_high' ELSE 'too_low' END AS verdict, CASE WHEN event_id % 4 = 0 THEN 1 + event_id % 10 END AS analyst_score, ts + INTERVAL 1 HOUR AS reviewed_at FROM t WHERE action = 'queue_review' AND event_id % 2 = 0) """
+
+
+def _reviewed(spark, d):
+    rows = scored(spark, d).where("action = 'queue_review'")
+    queue = rows.select(F.col("id").alias("triage_result_id"), F.col("id").alias("target_id"), F.lit("alert").alias("target_type"), "score", "action", "analysis_source", F.col("event_ts").alias("queued_at"), "event_id")
+    n = F.col("event_id")
+    said = queue.where(n % 2 == 0).select("triage_result_id", F.when(n % 3 == 0, "agree").when(n % 3 == 1, "too_high").otherwise("too_low").alias("verdict"), F.when(n % 4 == 0, 1 + n % 10).cast("int").alias("analyst_score"), F.lit(None).cast("string").alias("notes"), (F.col("queued_at") + F.expr("interval 1 hour")).alias("reviewed_at"))
+    return review.with_verdicts(queue.drop("event_id"), said)
+
+
+@register(_QUEUED_SQL + "SELECT id, verdict, analyst_score::INT AS analyst_score FROM v ORDER BY reviewed_at DESC, id LIMIT 50")
+def reviewed_newest(spark, d):
+    return review.reviewed(_reviewed(spark, d), 50).select(F.col("triage_result_id").alias("id"), F.col("analyst_verdict").alias("verdict"), "analyst_score")
+
+
+@register(_QUEUED_SQL + """, b AS (SELECT id, CASE WHEN analyst_score IS NOT NULL THEN greatest(1, analyst_score - 1) WHEN verdict = 'too_high' THEN 1 WHEN verdict = 'too_low' THEN least(10, score + 1) ELSE greatest(1, score - 1) END AS lo,
+    CASE WHEN analyst_score IS NOT NULL THEN least(10, analyst_score + 1) WHEN verdict = 'too_high' THEN greatest(1, score - 1) WHEN verdict = 'too_low' THEN 10 ELSE least(10, score + 1) END AS hi FROM v),
+    c AS (SELECT *, CASE WHEN lo >= 8 THEN 'page_now' WHEN lo >= 4 THEN 'queue_review' ELSE 'mark_likely_benign' END AS a, CASE WHEN hi >= 8 THEN 'page_now' WHEN hi >= 4 THEN 'queue_review' ELSE 'mark_likely_benign' END AS z FROM b)
+    SELECT 'review-' || replace(id, ':', '-') AS case_id, lo::INT AS score_min, hi::INT AS score_max, CASE WHEN a = z THEN a WHEN a < z THEN a || ',' || z ELSE z || ',' || a END AS actions FROM c""")
+def reviews_to_labels(spark, d):
+    raw = alerts(spark, d).select(F.col("id").alias("target_id"), "id", "source", "event_ts", "payload_json")
+    cases, _ = review.labels(_reviewed(spark, d), raw)
+    return cases.select("case_id", "score_min", "score_max", F.array_join("expected_actions", ",").alias("actions"))
+
+
+@register(f"""WITH a AS (SELECT user_id, event_id, ts, event_type, {SEVERITY_SQL} AS severity FROM events), g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, 'replay:' || event_id)),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, 'replay:' || event_id) AS part, count(*) OVER (PARTITION BY user_id) AS n FROM g),
+    f AS (SELECT user_id, part, any_value(n) AS n, max(CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 6 WHEN 'medium' THEN 4 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 3 END) + CASE WHEN any_value(n) > 1 THEN 1 + CASE WHEN count(DISTINCT lower(trim(event_type))) >= 3 THEN 1 ELSE 0 END ELSE 0 END AS s FROM c GROUP BY 1, 2)
+    SELECT user_id::VARCHAR AS case_id, least(10, max(s))::INT AS score, count(*) AS candidates_scored FROM f GROUP BY 1""")
+def case_scores(spark, d):
+    a = alerts(spark, d)
+    rows = a.select("*", F.col("user").alias("case_id"), *(F.lit(None).cast("string").alias(c) for c in ("hostname", "src_ip", "dst_ip", "command_line", "process_name")))
+    return evaluate.case_scores(rows, enrich=None, cap=1_000_000).select("case_id", "score", "candidates_scored")
+
+
+@register("SELECT event_id FROM (SELECT event_id, " + SEVERITY_SQL + " AS s FROM events) WHERE s IN ('high', 'critical')")
+def high_only(spark, d):
+    return queries.high_only(alerts(spark, d)).select("event_id")
+
 
+@register("SELECT o_custkey AS target, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS providers, max(o_orderdate) AS looked_up_at FROM orders GROUP BY 1")
+def enrichment_provenance(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("target_id"), F.col("o_orderpriority").alias("provider"), F.col("o_orderdate").alias("looked_up_at"))
+    return triage.provenance(rows).select(F.col("target_id").alias("target"), F.array_join("enrichment_providers", ",").alias("providers"), F.col("enrichment_looked_up_at").alias("looked_up_at"))

@@ -35,31 +35,47 @@ class Config:
     destinations: dict[str, str] = field(default_factory=lambda: dict(triage.DESTINATIONS))
 
 
-def run(raw: DataFrame, assets: DataFrame | None = None, recorded: DataFrame | None = None, seen: DataFrame | None = None, now=None, stages: Stages | None = None, config: Config | None = None) -> dict[str, DataFrame]:
-    """alerts, clusters, candidates, enrichments, triage (with routes), queue, incidents of raw events."""
+def run(raw: DataFrame, assets: DataFrame | None = None, recorded: DataFrame | None = None, seen: DataFrame | None = None, now=None, intel: DataFrame | None = None, stages: Stages | None = None, config: Config | None = None) -> dict[str, DataFrame]:
+    """alerts, clusters, candidates, enrichments, triage (with routes), queue, incidents, members and marks (dedup keys to add, with ``now``) of raw events.
+
+    ``intel``: answered provider enrichments of alerts (see ``triage.intel``), which count beside the local ones.
+    """
     stages, config = stages or Stages(), config or Config()
     raw = raw.withColumn("dedup_key", dedup.key("raw", F.col("source"), F.col("id")))
-    raw = dedup.first_wins(raw.withColumn("_key_only", F.col("dedup_key")), ["_key_only"], ["event_ts", "payload_json"]).drop("_key_only")
+    arrival = [c for c in ("file", "pos") if c in raw.columns]  # readers say where an event came from; what arrived first stays
+    raw = dedup.first_wins(raw.withColumn("_key_only", F.col("dedup_key")), ["_key_only"], [*arrival, "event_ts", "payload_json"]).drop("_key_only")
+    arrived = raw.select(F.col("id").alias("raw_event_id"), F.struct(*arrival, "event_ts", "payload_json").alias("_arrived")).groupBy("raw_event_id").agg(F.min("_arrived").alias("_arrived"))
     if seen is not None:
         raw = dedup.unseen(raw, seen, now)
     alerts = stages.normalize(raw)
-    alerts = dedup.first_wins(alerts.withColumn("_k", F.col("id")), ["_k"], ["event_ts", "payload_json"]).drop("_k")
+    if "raw_event_id" in alerts.columns:
+        alerts = alerts.join(arrived, "raw_event_id", "left")
+        alerts = dedup.first_wins(alerts.withColumn("_k", F.col("id")), ["_k"], ["_arrived", "event_ts", "payload_json"]).drop("_k", "_arrived")
+    else:
+        alerts = dedup.first_wins(alerts.withColumn("_k", F.col("id")), ["_k"], ["event_ts", "payload_json"]).drop("_k")
     alerts = persisted(alerts.withColumn("entities", clustering.entities(alerts)))
     clusters = persisted(stages.cluster(alerts))
     candidates = persisted(clustering.candidates(alerts, clusters))
     if assets is not None:
         candidates = triage.with_assets(candidates, assets, "primary_host", F.get("src_ips", F.lit(0)), ("hostname", "owner", "criticality", "internet_facing"))
     enrichments = stages.enrich(alerts)
+    if intel is not None:
+        enrichments = triage.all_enrichments(enrichments, intel).withColumn("pos", F.when(F.col("provider") == "local", 0).otherwise(1))
     of = clusters.join(candidates.select("cluster", "candidate_id"), "cluster").select(F.col("id").alias("target_id"), "candidate_id")
-    once = enrichments.join(of, "target_id").groupBy("candidate_id", "type", F.lower("value").alias("_v")).agg(F.min_by(F.struct("value", "risk_factors", "severity_hint", "summary"), F.struct("target_id", "pos")).alias("e"))
+    provider = [F.col("provider")] if "provider" in enrichments.columns else []
+    once = enrichments.join(of, "target_id").groupBy("candidate_id", "type", F.lower("value").alias("_v"), *provider).agg(F.min_by(F.struct("value", "risk_factors", "severity_hint", "summary"), F.struct("target_id", "pos")).alias("e"))
     added = triage.boosts(once.select(F.col("candidate_id").alias("target_id"), "e.*"))
-    scored = stages.score(candidates, alerts, clusters, added)
+    scored = triage.described(stages.score(candidates, alerts, clusters, added), candidates)
     if recorded is not None:
         scored = triage.with_recorded(scored, recorded, "candidate_id")
     routes = persisted(triage.routed(scored, "candidate_id", config.page_at, config.queue_at, config.destinations))
     queue = routes.where("routed_action = 'queue_review'").select(F.col("candidate_id").alias("id"), "score", F.col("last_seen").alias("queued_at"), F.lit("open").alias("status"))
     incidents = stages.incidents(clustering.promoted(routes, config.incident_score, config.promote_paged))
-    return {"alerts": alerts, "clusters": clusters, "candidates": candidates, "enrichments": enrichments, "triage": routes, "queue": queue, "incidents": incidents}
+    out = {"alerts": alerts, "clusters": clusters, "candidates": candidates, "enrichments": enrichments, "triage": routes, "queue": queue, "incidents": incidents}
+    out["members"] = clustering.members(incidents, candidates, alerts, clusters)
+    if now is not None:
+        out["marks"] = dedup.marked(raw, now)
+    return out
 
 
 def summary(results: dict[str, DataFrame]) -> DataFrame:

@@ -187,7 +187,7 @@ CRITICALITIES = ("critical", "high", "medium", "low")
 
 
 def assets(spark: SparkSession, path: str) -> DataFrame:
-    """The asset inventory of a CSV file: header names in any case, only hostname needed, unknown columns and blank hosts dropped; ``row`` is the order of rows."""
+    """The asset inventory of a CSV file: header names in any case, only hostname needed, unknown columns and blank hosts dropped; ``row`` is the order of rows: file, block, line in it."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
     names = {c.lstrip("﻿").strip().lower(): c for c in raw.columns}
     if "hostname" not in names:
@@ -195,7 +195,7 @@ def assets(spark: SparkSession, path: str) -> DataFrame:
     cell = lambda c: F.nullif(F.trim(F.col(f"`{names[c]}`")), F.lit("")) if c in names else F.lit(None).cast("string")
     level = F.lower(cell("criticality"))
     facing = F.coalesce(F.lower(cell("internet_facing")).isin("true", "yes", "y", "1"), F.lit(False))
-    out = raw.select(cell("hostname").alias("hostname"), cell("ip").alias("ip"), cell("owner").alias("owner"), F.when(level.isin(*CRITICALITIES), level).otherwise("unknown").alias("criticality"), facing.alias("internet_facing"), cell("department").alias("department"), F.monotonically_increasing_id().alias("row"))
+    out = raw.select(cell("hostname").alias("hostname"), cell("ip").alias("ip"), cell("owner").alias("owner"), F.when(level.isin(*CRITICALITIES), level).otherwise("unknown").alias("criticality"), facing.alias("internet_facing"), cell("department").alias("department"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("row"))
     return out.where("hostname is not null")
 
 

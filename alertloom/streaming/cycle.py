@@ -31,20 +31,29 @@ def run_cycles(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
 
 
 def dedup_with_ttl(stream: DataFrame, key: str, hours: int = 24) -> DataFrame:
-    """The first row of each key; a key is forgotten ``hours`` of processing time after it was last seen, and may pass again then."""
+    """The first row of each key; a key is forgotten ``hours`` of processing time after the row that passed, and may pass again then.
+
+    The time of each micro-batch is the event time of the state: it advances only with new rows, so the query idles, and ends
+    when all that is available has been read. A forgotten key's state goes with a later batch.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    at, life = "_arrived_at", hours * 3_600_000
+    columns = [f.name for f in stream.schema.fields]
+
     def first(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         for rows in batches:
-            if not state.exists:
-                state.update((1,))
-                yield rows.head(1)
-        state.setTimeoutDuration(hours * 3_600_000)
-
-    return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            now = int(rows[at].iloc[0].timestamp() * 1000)
+            if not state.exists or state.get[0] <= now:
+                state.update((now + life,))
+                yield rows[columns].head(1)
+            state.setTimeoutTimestamp(max(state.get[0], state.getCurrentWatermarkMs() + 1))
+
+    arriving = stream.withColumn(at, F.current_timestamp()).withWatermark(at, "0 seconds")
+    return arriving.groupBy(key).applyInPandasWithState(first, stream.schema, "expires bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_by_event_time(stream: DataFrame, key: str, ts: str = "event_ts", hours: int = 24) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,14 @@ def test_risk(spark, kind, value, factors, hint):
     assert one(spark, ioc.severity_hint(F.lit(got).cast("array<string>"))) == hint
 
 
+def test_many_indicators_in_one_text(spark):
+    text = " ".join(f"http://h{i}.example.net/a{i}" for i in range(800))
+    rows = spark.createDataFrame([(text,)], "t string").select(ioc.from_text(F.col("t")).alias("v"))
+    rows.collect()
+    began = time.time()
+    assert len(rows.first()["v"]) == 1600 and time.time() - began < 3
+
+
 def test_paths(spark):
     payload = F.parse_json(F.lit('{"a": {"b": " x "}, "a.c": "flat", "n": {"m": "12", "neg": -3, "t": true, "f": "1.5", "k": 7}, "l": ["p", "", " q "], "e": "", "z": null, "o": {"w": 1}}'))
     assert one(spark, paths.first_string(payload, ["e", "z", "a.b"])) == "x"
@@ -82,11 +91,12 @@ def test_actions(spark, score, action):
     assert one(spark, scoring.action(F.lit(score))) == action
 
 
-def test_bad_thresholds():
+def test_bad_thresholds(spark):
+    assert one(spark, scoring.action(F.lit(5), 5, 5)) == "page_now"
     with pytest.raises(ValueError):
         scoring.action(F.lit(1), 4, 8)
 
 
-@pytest.mark.parametrize(("seconds", "text"), [(0, "0m"), (3599, "59m"), (3600, "1h"), (86399, "23h"), (86400, "1d")])
+@pytest.mark.parametrize(("seconds", "text"), [(None, "-"), (-120, "0m"), (0, "0m"), (3599, "59m"), (3600, "1h"), (86399, "23h"), (86400, "1d")])
 def test_age(spark, seconds, text):
-    assert one(spark, scoring.age(F.lit(seconds))) == text
+    assert one(spark, scoring.age(F.lit(seconds).cast("bigint"))) == text

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.operators import cluster, dedup, normalize, queries, sinks, triage
+from alertloom.operators import cluster, dedup, evaluate, normalize, queries, reports, review, sinks, triage
 from alertloom.plans import pipeline
 from alertloom.sources import readers
 
@@ -40,9 +40,18 @@ def test_replay_to_incident(spark, replay_file):
     assert triaged[0]["candidate_id"].startswith("CAND-20260610-001-")
     incident = out["incidents"].collect()
     assert len(incident) == 1 and incident[0]["incident_id"].startswith("INC-20260610-001-") and incident[0]["alert_count"] == 3
-    members = out["alerts"].join(out["clusters"], "id").withColumn("incident_id", F.lit(incident[0]["incident_id"]))
-    text = sinks.reports(out["incidents"], members, out["triage"].withColumn("incident_id", F.lit(incident[0]["incident_id"]))).first()["markdown"]
-    assert text.index("## Summary") < text.index("## Timeline") < text.index("## Addresses") < text.index("## Assessment")
+    members = out["members"]
+    assert members.count() == 3 and {r["candidate_id"] for r in members.collect()} == {triaged[0]["candidate_id"]}
+    text = reports.incident_reports(out["incidents"], members, out["triage"]).first()["markdown"]
+    names = ["Report Provenance", "Executive Summary", "Timeline", "Affected Assets", "IOCs", "Attack Narrative", "Remediation", "Detection Gaps", "Triage Decisions", "Enrichment Summary"]
+    places = [text.index(f"## {n}\n") for n in names]
+    assert places == sorted(places) and "Agent IDs: `007`" in text and "3 alert(s)" in text
+    of = out["enrichments"].withColumn("candidate_id", F.lit(triaged[0]["candidate_id"]))
+    assert "## Alerts" in reports.candidate_reports(out["triage"], members, of).first()["markdown"]
+    assert reports.alert_reports(triage.score_alerts(out["alerts"]), out["enrichments"]).count() == 3
+    assert {r["kind"]: r["count"] for r in reports.evidence(members, of).groupBy("kind").count().collect()}["alert"] == 3
+    assert queries.incident_context(members).first()["agent_ids"] == ["007"]
+    assert queries.reach(out["alerts"], "10.0.1.42", out["incidents"], spark.createDataFrame([("ws-12", "10.0.1.42", "ann", "high", True, 1)], "hostname string, ip string, owner string, criticality string, internet_facing boolean, row int")).first()["asset_criticality"] == "high"
     assert {r["table"]: r["n"] for r in pipeline.summary(out).collect()}["candidates"] == 1
 
 
@@ -156,6 +165,7 @@ def test_provider_verdicts(spark):
 
 def test_assistant(spark):
     assert queries.topic("what is the blast radius of 10.0.0.1?") == ("blast_radius", "10.0.0.1")
+    assert queries.topic("what is at fe80::1 from?") == ("entity_alerts", "fe80::1") and queries.topic("is anything affected?")[0] == "capabilities"
     assert queries.topic("show the review queue")[0] == "queue" and queries.topic("alerts for ws-12") == ("entity_alerts", "ws-12") and queries.topic("hello")[0] == "capabilities"
 
 
@@ -164,3 +174,73 @@ def test_upsert_and_batches(spark):
     assert {tuple(r) for r in sinks.merged(old, new, "id", ["n"]).collect()} == {("a", 1, "x"), ("b", 9, "y"), ("c", 3, "w")}
     rows = spark.range(250).select(F.col("id"), F.lit(T0).alias("event_ts"), F.lit(5).alias("score"))
     assert [r["count"] for r in sinks.hec_batches(rows, sinks.TRIAGE_FIELDS, "event_ts", ["id"]).groupBy("batch").count().orderBy("batch").collect()] == [100, 100, 50]
+
+
+def test_routes(spark):
+    rows = spark.createDataFrame([("t1", "a", 9, "page_now", "s"), ("t2", "b", 5, "page_now", "s"), ("t3", "c", 1, "mark_likely_benign", "s")], "triage_id string, id string, score int, action string, summary string")
+    got = {r["id"]: (r["destination"], r["status"], r["message"]) for r in triage.routed(rows, "id").collect()}
+    assert got["a"] == ("page_now", "created", "Routed target a with score 9/10 as page_now to page_now: s")
+    assert got["b"] == ("analyst_queue", "queued", "Routed target b with score 5/10 as queue_review to analyst_queue (triage suggested page_now; score policy applied queue_review): s")
+    assert got["c"][:2] == ("likely_benign", "marked_likely_benign")
+    levels = sinks.notifications(triage.routed(rows, "id")).collect()
+    assert [r["level"] for r in levels] == ["critical"]
+
+
+def test_recorded_answers(spark):
+    answers = [("a", '{"score": 2, "action": "escalate", "reasoning": ["x", "y", "z", "w"], "iocs": {"ip": ["1.2.3.4"]}}'), ("b", "nothing"), ("c", '```json\n{"score": 99, "action": " Notify "}\n```'), ("a", "also nothing")]
+    local = spark.createDataFrame([(k, 5, "queue_review", "needs_analyst_review", "medium", "local", f"old-{k}") for k in "abc"], "candidate_id string, score int, action string, classification string, fp_likelihood string, analysis_source string, triage_id string")
+    got = {r["candidate_id"]: r for r in triage.with_recorded(local, spark.createDataFrame(answers, "target_id string, response string"), "candidate_id").collect()}
+    assert (got["a"]["score"], got["a"]["action"], got["a"]["fp_likelihood"], got["a"]["analysis_source"]) == (2, "mark_likely_benign", "unknown", "llm") and got["a"]["summary"].endswith("Reasons: x; y; z")
+    assert got["a"]["triage_id"].startswith("triage-") and got["b"]["triage_id"] == "old-b" and got["b"]["analysis_source"] == "local"
+    assert (got["c"]["score"], got["c"]["action"]) == (10, "page_now")
+
+
+def test_agents_relate_candidates(spark):
+    row = lambda i, host, agents: (i, T0 + timedelta(minutes=i), T0 + timedelta(minutes=i), host, None, [], [], agents, 9, 1, "page_now")
+    names = "candidate_id int, first_seen timestamp, last_seen timestamp, primary_host string, primary_user string, src_ips array<string>, dst_ips array<string>, agent_ids array<string>, score int, alert_count int, action string"
+    df = spark.createDataFrame([row(1, "a", ["007"]), row(2, "b", ["007"]), row(3, "c", [])], names).withColumn("candidate_id", F.concat(F.lit("c"), "candidate_id"))
+    assert sorted(r["candidate_ids"] for r in cluster.incidents(df).collect()) == [["c1", "c2"], ["c3"]]
+
+
+def test_ordinals_count_all_groups(spark):
+    rows = [(f"g{i}", T0 + timedelta(minutes=37 * (i * 7 % 50)) if i else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, first_seen timestamp").withColumn("first_at", F.struct("first_seen", "g"))
+    got = {r["g"]: int(r["n"].split("-")[2]) for r in cluster.numbered(df, "X", F.col("g"), "n").collect()}
+    order = [g for g, t in sorted(rows, key=lambda x: (x[1] or datetime.min, x[0]))]
+    assert got == {g: i + 1 for i, g in enumerate(order)}
+
+
+def test_cases_are_scored_from_their_events(spark):
+    names = "case_id string, id string, source string, event_ts timestamp, severity string, rule_name string, hostname string, user string, src_ip string, dst_ip string, command_line string, process_name string, payload_json string, agent_id string"
+    row = lambda case, i, minutes, severity: (case, i, "replay", T0 + timedelta(minutes=minutes), severity, "r", "h", "u", None, None, None, None, "{}", None)
+    alerts = spark.createDataFrame([row("one", "x", 0, "medium"), row("two", "x", 0, "low"), row("two", "y", 5, "high"), row("split", "x", 0, "low"), row("split", "y", 300, "critical")], names)
+    cases = spark.createDataFrame([("one", 3, 5, ["queue_review"], "synthetic"), ("two", 6, 8, ["queue_review"], "synthetic"), ("split", 8, 10, ["page_now"], "synthetic")], "case_id string, score_min int, score_max int, expected_actions array<string>, provenance string")
+    got = {r["case_id"]: r for r in evaluate.evaluated_cases(cases, alerts).collect()}
+    assert (got["one"]["score"], got["one"]["candidates_scored"]) == (4, 1) and got["two"]["candidates_scored"] == 1 and got["split"]["candidates_scored"] == 2
+    assert got["two"]["score"] == 7 and got["split"]["score"] == 9 and all(r["in_band"] and r["agrees"] for r in got.values())
+    fixed = lambda a: a.select("case_id").distinct().selectExpr("case_id", "1 as score", "'mark_likely_benign' as action", "1 as candidates_scored")
+    assert {r["score"] for r in evaluate.evaluated_cases(cases, alerts, fixed).collect()} == {1}
+    with pytest.raises(Exception, match="no events"):
+        evaluate.evaluated_cases(cases, alerts.where("case_id != 'one'")).collect()
+
+
+def test_verdicts(spark):
+    queue = spark.createDataFrame([("q1", "a1", "alert", 5, "queue_review", "local", T0), ("q2", "a2", "alert", 6, "queue_review", "local", T0)], "triage_result_id string, target_id string, target_type string, score int, action string, analysis_source string, queued_at timestamp")
+    said = lambda own, score: spark.createDataFrame([(own, "too_low", score, None, T0)], "triage_result_id string, verdict string, analyst_score int, notes string, reviewed_at timestamp")
+    judged = review.with_verdicts(queue, said("q1", None))
+    assert [r["triage_result_id"] for r in review.reviewed(judged).collect()] == ["q1"] and queries.open_queue(judged.withColumnRenamed("triage_result_id", "id")).count() == 1
+    assert review.export_records(judged).first()["label_provenance"] == "analyst_reviewed"
+    cases, gone = review.labels(judged, spark.createDataFrame([("a1", "r1", "replay", T0, "{}")], "target_id string, id string, source string, event_ts timestamp, payload_json string"))
+    case = cases.first()
+    assert (case["score_min"], case["score_max"], case["expected_actions"], len(case["events"])) == (6, 10, ["page_now", "queue_review"], 1) and gone.count() == 0
+    for own, score in (("q9", None), ("q1", 11)):
+        with pytest.raises(Exception, match="queue|between"):
+            review.with_verdicts(queue, said(own, score)).collect()
+
+
+def test_provider_cache(spark):
+    snapshot = spark.createDataFrame([("vt", "ip", "8.8.8.8", "benign", [], T0 + timedelta(hours=1)), ("vt", "ip", "1.1.1.1", "benign", [], T0 - timedelta(hours=1))], "provider string, type string, value string, verdict string, factors array<string>, expires_at timestamp")
+    fetched = spark.createDataFrame([("vt", "ip", "9.9.9.9", "malicious", ["x"]), ("vt", "ip", "7.7.7.7", None, [])], "provider string, type string, value string, verdict string, factors array<string>")
+    assert sorted(r["value"] for r in triage.cache_after(snapshot, fetched, T0).collect()) == ["8.8.8.8", "9.9.9.9"]
+    with pytest.raises(Exception, match="does not describe"):
+        triage.described(spark.createDataFrame([("t", "c9")], "triage_id string, candidate_id string"), spark.createDataFrame([("c1",)], "candidate_id string")).collect()

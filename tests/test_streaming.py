@@ -23,10 +23,12 @@ def test_cycles_go_on_after_a_failure(spark, tmp_path):
 def test_first_of_each_key(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, v int").parquet(str(tmp_path / "in"))
-    query = cycle.dedup_with_ttl(stream, "k").writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(r["k"] for r in spark.table("firsts").collect()) == ["a", "b"]
+    start = lambda: cycle.dedup_with_ttl(stream, "k").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert start().awaitTermination(90)
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    spark.createDataFrame([("a", 4), ("c", 5)], "k string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert start().awaitTermination(90)
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
 def test_tail_resumes_and_resets(tmp_path):
