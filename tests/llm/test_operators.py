@@ -460,3 +460,17 @@ def test_vectors_with_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], 7, 1, 2.0), (2, [2.0, 0.1], 7, 1, 2.0), (3, [0.0, 1.0], 7, 1, 2.0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, comp int, cosine double")
     assert sorted(map(tuple, embedding_neighbours.near_vectors(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_closed_words_share_one():
+    rng = np.random.default_rng(2)
+    p = {k: (v + 0.1 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in attention_lm.initial().items()}
+    encode = attention_lm._subwords(attention_lm.VOCABULARY)
+    ids = np.array([*encode(" house"), *encode(" x"), attention_lm.END])
+    assert all((i < attention_lm.OPENING * attention_lm.MEMBERS) == (k in (0, len(encode(" house")), len(ids) - 1)) for k, i in enumerate(ids))
+    opens = np.zeros(len(ids), np.float32)
+    attention_lm.sequence_scores(p, ids, np.array([0, len(ids)]), opens=opens)
+    for at in range(len(ids)):  # all ids that may stand at a place, scored one by one
+        u = np.maximum(attention_lm.hidden(p, np.array([[attention_lm.START, *ids[:at], *[0] * (attention_lm.WINDOW - at - 1)]]), np.array([[attention_lm.START, attention_lm.START, *ids][k] if k <= at else 0 for k in range(attention_lm.WINDOW)])[None], None)[0][0, at], 0)
+        every = np.exp(attention_lm.log_probs(p, np.repeat(u[None], attention_lm.IDS, axis=0), np.arange(attention_lm.IDS))[0])
+        assert every.sum() == pytest.approx(1, abs=1e-4) and np.log(every[: attention_lm.OPENING * attention_lm.MEMBERS].sum()) == pytest.approx(opens[at], abs=1e-3)
