@@ -55,7 +55,7 @@ def labels(queue: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     low, high = verdict_band(F.col("analyst_verdict"), F.col("score"), F.col("analyst_score"))
     verdict = F.coalesce("analyst_verdict", F.lit("unknown"))
     note = F.concat(F.lit("Analyst recorded '"), verdict, F.lit("' for a triage score of "), F.col("score"), F.lit(" without further notes."))
-    slug = F.coalesce(F.nullif(F.trim(F.lit("-"), F.regexp_replace("triage_result_id", r"[^\p{L}\p{N}_-]", "-")), F.lit("")), F.lit("unknown"))
+    slug = F.coalesce(F.nullif(F.trim(F.regexp_replace("triage_result_id", r"[^\p{L}\p{N}_-]", "-"), F.lit("-")), F.lit("")), F.lit("unknown"))
     cases = items.join(events, "target_id").withColumn("score_min", low.cast("int")).withColumn("score_max", high.cast("int"))
     actions = F.array_sort(F.array_distinct(F.array(scoring.action(F.col("score_min")), scoring.action(F.col("score_max")))))
     cases = cases.select(
