@@ -37,7 +37,7 @@ def _items(df: DataFrame, text: str, envelopes: tuple[str, ...]) -> DataFrame:
 
 
 def replay(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Raw events of a replay file or of all *.json files of a folder, in name order.
+    """Raw events of a replay file or of all *.json files of a folder; ``file`` and ``pos`` give their order of arrival.
 
     A file is a list, {"events": [...]} or one event. An event without id gets replay-<source>-<stem>-<number>. Unknown sources,
     payloads that are no objects and malformed timestamps raise when ``strict``, else give a row with an ``error``.
