@@ -331,10 +331,9 @@ def short_name_asset_join(spark, d):
     return triage.with_assets(hosts, assets, "host", F.lit(None).cast("string"), ("criticality",)).select("page_id", "asset_criticality")
 
 
-@register("SELECT l_orderkey, l_linenumber, o_orderstatus, p_brand, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity < 3")
+@register("SELECT l_orderkey, l_linenumber, o_orderstatus, p_brand, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey")
 def recover_raw_events(spark, d):
-    lines = table(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01' and l_quantity < 3")
-    rows = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", "p_brand", "c_name")
 
 
