@@ -1,7 +1,8 @@
 """Embedding near-dedup by NN-descent.
 
 Equal vectors are one node with a multiplicity. A neighbour graph starts from blocks of random hyperplanes that are
-compared exactly, and is refined by neighbours-of-neighbours joins until a round adds almost nothing. A node's list holds
+compared exactly: of a component's links in a block the nearest of each node and spanning ones are kept, never all pairs. It
+is refined by neighbours-of-neighbours joins until a round adds nothing that passes the threshold. A node's list holds
 its LIST nearest neighbours; a list whose neighbours all pass the threshold is saturated and is enlarged past them, until
 LIST neighbours of other components are in it, and the joins pair members of different components only: at the end the
 members of each component of threshold edges are compared with each other exactly, in tiles, so links in it are
@@ -60,23 +61,41 @@ def _codes(trees: range, bits: int, seed: int):
     return run
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, parent): the least index each row reaches over the links ``near``, and the row that it got it from (-1 for the least itself)."""
+    size = len(near)
+    label, parent = np.arange(size), np.full(size, -1)
+    while True:
+        told = np.where(near, label[None, :], size)
+        source = told.argmin(axis=1)
+        least = told[np.arange(size), source]
+        lower = least < label
+        if not lower.any():
+            return label, parent
+        parent[lower], label[lower] = source[lower], least[lower]
+
+
 def _block_edges(threshold: float):
-    """Each node's LIST nearest of the block, all that pass the threshold and the LIST nearest that don't, each pair once."""
+    """Each node's LIST nearest of its own component in the block and of others, and links that span each component: each pair once."""
     follow = min(FOLLOW, threshold)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x, node = _same_dim(rows), rows["node"].to_numpy()
         c = x @ x.T
         np.fill_diagonal(c, -2)
+        label, parent = _forest(c >= threshold)
         keep = c >= follow
         if len(node) > LIST + 1:
-            kth = np.partition(c, len(node) - LIST, axis=1)[:, len(node) - LIST]
-            far = np.where(c < threshold, c, -2)
-            beyond = np.partition(far, len(node) - LIST, axis=1)[:, len(node) - LIST]
-            keep &= (c >= kth[:, None]) | (c >= threshold) | (far >= beyond[:, None])
-        i, j = np.nonzero(keep | keep.T)
-        up = node[i] < node[j]
-        return pd.DataFrame({"a": node[i][up], "b": node[j][up], "cosine": c[i, j][up]})
+            same = label[:, None] == label[None, :]
+            listed = np.zeros_like(same)
+            for among in (same, ~same):
+                np.put_along_axis(listed, np.argpartition(np.where(among, c, -2), -LIST, axis=1)[:, -LIST:], True, axis=1)
+            keep &= listed
+            child = np.flatnonzero(parent >= 0)
+            keep[child, parent[child]] = True
+        i, j = np.nonzero(keep)
+        once = pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "cosine": c[i, j]})
+        return once.drop_duplicates(["a", "b"])
 
     return run
 
@@ -178,7 +197,7 @@ def neighbour_graph(nodes: DataFrame, threshold: float, trees: range, edges: Dat
     """
     session = nodes.sparkSession
     bits = _bits(n)
-    coded = nodes.select("node", "v").mapInArrow(_codes(trees, bits, 7), "node long, v array<float>, tree int, code long")
+    coded = nodes.select("node", "v").mapInArrow(_codes(trees, bits, 7), f"node long, v {nodes.schema['v'].dataType.simpleString()}, tree int, code long")
     # a block that gathers far more than its share is dealt to random parts of about BLOCK; what they miss the rounds and the other trees find
     load = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("load"))
     block = coded.join(load, ["tree", "code"]).withColumn("salt", F.pmod(F.xxhash64("node", "tree"), F.greatest(F.lit(1), F.ceil(F.col("load") / (4 * BLOCK)))))
@@ -217,7 +236,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, least_recall: float
     """
     session = vectors.sparkSession
     fine = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)"
-    rows = vectors.select("vec_id", F.expr("transform(embedding, x -> cast(x as float))").alias("embedding"), F.coalesce(F.expr(fine), F.lit(False)).alias("fine"))
+    element = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select("vec_id", F.expr(f"transform(embedding, x -> cast(x as {element}))").alias("embedding"), F.coalesce(F.expr(fine), F.lit(False)).alias("fine"))
     nodes = checkpointed(rows.where("fine").groupBy(F.col("embedding").alias("v")).agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("first_id")))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,26 @@ def test_neighbours(spark):
     assert sorted(map(tuple, got)) == sorted((i, degree[i], want[i], want[i] == i) for i, _, _ in data)
 
 
+def test_blocks_keep_spanning_links_and_no_more_than_lists():
+    rng = np.random.default_rng(8)
+    steps = np.linspace(0, 3, 120)  # a chain, and a group of which all link
+    chain = np.stack([np.cos(steps), np.sin(steps), 0 * steps, 0 * steps], axis=1)
+    vectors = np.concatenate([chain, np.array([0, 0, 1, 0]) + 0.05 * rng.standard_normal((200, 4)), np.array([[0, 0, 0, 1.0]])])[rng.permutation(321)]
+    unit = embedding_neighbours.unit_rows(vectors)
+    got = embedding_neighbours._block_edges(0.95)(pd.DataFrame({"node": np.arange(321), "v": list(vectors)}))
+    links = [(a, b) for a in range(321) for b in range(a) if unit[a] @ unit[b] >= 0.95]
+    kept = got[got["cosine"] >= 0.95]
+    assert components(range(321), list(zip(kept["a"], kept["b"], strict=True))) == components(range(321), links)
+    assert len(links) > 20_000 and len(got) <= 321 * (2 * embedding_neighbours.LIST + 1)
+    assert (got["a"] < got["b"]).all() and not got.duplicated(["a", "b"]).any()
+
+
+def test_vectors_of_doubles_stay_doubles(spark):
+    data = [(1, [1e300, 0.0]), (2, [1e300, 1e290]), (3, [1.0, 1e-12]), (4, [0.0, 1e-300])]
+    got = embedding_neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
 def test_low_thresholds_keep_their_edges(spark):
     rng = np.random.default_rng(5)
     first = np.linalg.qr(rng.standard_normal((64, 24)))[0].T
