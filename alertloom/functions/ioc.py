@@ -90,8 +90,7 @@ def process_factors(v: Column) -> Column:
 
 
 def ip_factors(v: Column) -> Column:
-    n = net.number(v)
-    return _factors((net.is_global(v), "public_ip"), (net.is_private(v), "private_ip"), (net.within(n, net.LOOPBACK), "loopback_ip"), (net.within(n, net.LINK_LOCAL), "link_local_ip"), (net.within(n, net.RESERVED), "reserved_ip"))
+    return _factors((net.is_global(v), "public_ip"), (net.is_private(v), "private_ip"), (net.is_loopback(v), "loopback_ip"), (net.is_link_local(v), "link_local_ip"), (net.is_reserved(v), "reserved_ip"))
 
 
 def risk_factors(kind: Column, value: Column) -> Column:

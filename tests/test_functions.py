@@ -40,6 +40,26 @@ def test_addresses_against_the_standard_library(spark):
         assert (got.is_private, got.is_global, got.is_loopback, got.is_link_local, got.is_multicast, got.is_reserved, got.is_unspecified) == (a.is_private, a.is_global, a.is_loopback, a.is_link_local, a.is_multicast, a.is_reserved, a.is_unspecified), r["ip"]
 
 
+def test_ipv6_against_the_standard_library(spark):
+    rng = random.Random(5)
+    texts = ["::", "::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::ffff:127.0.0.1", "::FFFF:0808:0808", "::1.2.3.4", "fe80::1%eth0", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::8", "64:ff9b::1.2.3.4"]
+    for block in net.PRIVATE_6 + net.NOT_PRIVATE_6 + net.RESERVED_6 + ("ff00::/8", "2000::/3"):
+        low, high = (int(x, 16) for x in net._range_6(block))
+        for n in (low, high, max(0, low - 1), min(2**128 - 1, high + 1), rng.randint(low, high)):
+            a = ipaddress.IPv6Address(n)
+            texts += [str(a), a.exploded.upper()]
+    bad = ["1:2:3:4:5:6:7:8:9", "1::2::3", ":::", "1:2:3:4:5:6:7", "1::2:3:4:5:6:7:8", "12345::", "g::1", "::1.2.3", "::1.2.3.400", "::01.2.3.4", "1.2.3.4::", "fe80::1%", "::%a%b", ":1", "1:", "::1\n", "host:80"]
+    rows = spark.createDataFrame([(x,) for x in texts + bad], "ip string").withColumn("c", net.classify(F.col("ip"))).withColumn("factors", ioc.risk_factors(F.lit("ip"), F.col("ip"))).collect()
+    for r in rows[: len(texts)]:
+        a = ipaddress.ip_address(r["ip"])
+        assert tuple(r["c"]) == (6, a.is_private, a.is_global, a.is_loopback, a.is_link_local, a.is_multicast, a.is_reserved, a.is_unspecified), r["ip"]
+        assert r["factors"] == [name for name, on in (("public_ip", a.is_global), ("private_ip", a.is_private), ("loopback_ip", a.is_loopback), ("link_local_ip", a.is_link_local), ("reserved_ip", a.is_reserved)) if on]
+    for r in rows[len(texts) :]:
+        with pytest.raises(ValueError):
+            ipaddress.ip_address(r["ip"])
+        assert r["c"] is None and r["factors"] == [], r["ip"]
+
+
 @pytest.mark.parametrize("text", ["256.1.1.1", "01.2.3.4", "1.2.3", "", "a.b.c.d", None])
 def test_no_address(spark, text):
     value = F.lit(text).cast("string")
