@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,6 +157,41 @@ def splunk_results(df: DataFrame) -> DataFrame:
     return df.select(json.alias("payload_json"), source.alias("source"), ts.alias("event_ts")).select(F.concat(F.lit("splunk-"), content_hash(F.col("payload_json"))).alias("id"), "source", "event_ts", F.parse_json("payload_json").alias("payload"), "payload_json")
 
 
+#: Fields and states that tell that a search job is done or failed.
+JOB_DONE_FIELDS, JOB_DONE, JOB_FAILED = ("isDone", "is_done", "done"), "DONE", "FAILED"
+
+
+def search_job(spark: SparkSession, status: str, results: str, limit: int | None = None) -> DataFrame:
+    """Result rows (pos, row VARIANT, usable) of a saved search job: its status response and its results response, a JSON file or folder each.
+
+    A job that failed, that is not done or whose status is missing raises: partial results look like a quiet period. Rows that
+    are no objects are kept as not ``usable``, so that they can be counted; ``limit`` is the job's own result count.
+    """
+    doc = F.try_parse_json("text")
+    content = F.coalesce(F.try_variant_get("doc", "$.entry[0].content", "variant"), F.try_variant_get("doc", "$.content", "variant"))
+    get = lambda k: F.lower(F.trim(F.try_variant_get("content", f"$.{k}", "string")))
+    state = F.upper(F.coalesce(get("dispatchState"), F.lit("")))
+    done = reduce(or_, (F.coalesce(get(k), F.lit("")).isin("true", "1") for k in JOB_DONE_FIELDS)) | (state == JOB_DONE)
+    bad = F.when(state == JOB_FAILED, "the search job failed").when(~done, "the search job is not done; no partial results are read")
+    jobs = _whole_files(spark, status).withColumn("doc", doc).withColumn("content", content).agg(F.max(bad).alias("bad"), F.count(F.lit(1)).alias("jobs"))
+    told = jobs.select(F.when(F.col("jobs") == 0, "the search job has no status").otherwise(F.col("bad")).alias("bad"), F.lit(1).alias("one"))
+    rows = _items(_whole_files(spark, results), "text", ("$.results",)).select("file", "pos", F.col("item").alias("row"), F.schema_of_variant("item").startswith("OBJECT").alias("usable"), F.lit(1).alias("one"))
+    if limit is not None:
+        rows = rows.orderBy("file", "pos").limit(limit)
+    # one row by construction
+    checked = told.select("one", F.when(F.col("bad").isNotNull(), F.raise_error(F.col("bad"))).otherwise(F.lit(True)).cast("boolean").alias("_good"))
+    return rows.join(F.broadcast(checked), "one").where("_good").select("pos", "row", "usable")
+
+
+def agents(spark: SparkSession, path: str) -> DataFrame:
+    """The agent inventory of saved manager responses, a row an agent_id: agents without an id are dropped, of repeated ids the last one stays."""
+    rows = _items(_whole_files(spark, path), "text", ("$.data.affected_items", "$.affected_items")).where(F.schema_of_variant("item").startswith("OBJECT"))
+    get = lambda *ps: F.coalesce(*(F.nullif(F.trim(F.try_variant_get("item", p, "string")), F.lit("")) for p in ps))
+    fields = {"hostname": get("$.name", "$.hostname"), "ip": get("$.ip"), "os_name": get("$.os.name"), "os_version": get("$.os.version"), "status": get("$.status"), "last_seen": get("$.lastKeepAlive").try_cast("timestamp"), "groups": F.coalesce(F.try_variant_get("item", "$.group", "array<string>"), F.array().cast("array<string>")), "raw_json": F.to_json("item")}
+    named = rows.select("file", "pos", get("$.id").alias("agent_id"), *(v.alias(k) for k, v in fields.items())).where("agent_id is not null")
+    return named.groupBy("agent_id").agg(F.max_by(F.struct(*fields), F.struct("file", "pos")).alias("a")).select("agent_id", "a.*")
+
+
 def _endpoint(token: Column) -> tuple[Column, Column]:
     """Address and port of a packet endpoint: four dotted numbers and maybe a fifth, else what precedes a last dot and digits."""
     four = r"^(\d{1,3}(?:\.\d{1,3}){3})(?:\.(\d+))?$"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def run_cycles(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, fail_fast: bool = False, failed: list | None = None) -> StreamingQuery:
@@ -30,6 +31,50 @@ def run_cycles(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def with_pushes(step: Callable[[DataFrame, int], dict[str, DataFrame] | None], pushes: dict[str, Callable[[DataFrame], int | None]], sent: list, errors: list) -> Callable[[DataFrame, int], None]:
+    """``step``, then each push of the result that it names: rows sent go to ``sent``, a failure to ``errors``, and neither stops the others or the cycles.
+
+    Pushes come after the step, so what they send is written already.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        results = step(batch, number) or {}
+        for name, push in pushes.items():
+            try:
+                if name in results:
+                    sent.append((number, name, int(push(results[name]) or 0)))
+            except Exception as error:
+                errors.append((number, name, str(error)[:500]))
+
+    return run
+
+
+class CycleLog(StreamingQueryListener):
+    """Totals of the queries of a session, and one line of JSON a cycle to ``write`` (such as a file's write): add it with ``spark.streams.addListener``."""
+
+    def __init__(self, write: Callable[[str], object] | None = None) -> None:
+        self.write, self.cycles, self.rows, self.failed = write, 0, 0, 0
+
+    def _log(self, event: str, **fields) -> None:
+        if self.write is not None:
+            self.write(json.dumps({"event": event, **fields}, sort_keys=True) + "\n")
+
+    def onQueryStarted(self, event) -> None:
+        self._log("started", query=str(event.id))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.cycles, self.rows = self.cycles + 1, self.rows + p.numInputRows
+        self._log("cycle_completed", query=str(p.id), cycle=p.batchId, raw_events=p.numInputRows, at=p.timestamp, milliseconds=p.batchDuration)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.failed += event.exception is not None
+        self._log("terminated", query=str(event.id), error=event.exception and event.exception[:500])
+
+
 def dedup_with_ttl(stream: DataFrame, key: str, hours: int = 24) -> DataFrame:
     """The first row of each key; a key is forgotten ``hours`` of processing time after the row that passed, and may pass again then.
 

@@ -244,3 +244,25 @@ def test_provider_cache(spark):
     assert sorted(r["value"] for r in triage.cache_after(snapshot, fetched, T0).collect()) == ["8.8.8.8", "9.9.9.9"]
     with pytest.raises(Exception, match="does not describe"):
         triage.described(spark.createDataFrame([("t", "c9")], "triage_id string, candidate_id string"), spark.createDataFrame([("c1",)], "candidate_id string")).collect()
+
+
+def test_saved_search_jobs(spark, tmp_path):
+    def saved(name, status):
+        (tmp_path / f"{name}.json").write_text(json.dumps(status))
+        return str(tmp_path / f"{name}.json")
+
+    results = saved("results", {"results": [{"a": 1}, "x", {"a": 2}]})
+    done = saved("done", {"entry": [{"content": {"dispatchState": "DONE", "isDone": True}}]})
+    rows = readers.search_job(spark, done, results).orderBy("pos").collect()
+    assert [r["usable"] for r in rows] == [True, False, True]
+    assert readers.search_job(spark, saved("flag", {"content": {"is_done": "1"}}), results, limit=2).count() == 2
+    for name, status in (("failed", {"entry": [{"content": {"dispatchState": "FAILED", "isDone": True}}]}), ("running", {"entry": [{"content": {"dispatchState": "RUNNING", "isDone": False}}]}), ("blank", {})):
+        with pytest.raises(Exception, match="search job"):
+            readers.search_job(spark, saved(name, status), results).collect()
+
+
+def test_agent_inventory(spark, tmp_path):
+    items = [{"id": "001", "name": "web-1", "ip": "10.0.0.1", "os": {"name": "Debian", "version": "12"}, "status": "active", "group": ["default"]}, {"id": " ", "name": "none"}, "x", {"id": "002"}, {"id": "001", "name": "web-1b"}]
+    (tmp_path / "agents.json").write_text(json.dumps({"data": {"affected_items": items}}))
+    rows = {r["agent_id"]: r for r in readers.agents(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"001", "002"} and rows["001"]["hostname"] == "web-1b" and rows["001"]["ip"] is None and rows["002"]["groups"] == []

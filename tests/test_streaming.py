@@ -1,6 +1,8 @@
 """Micro-batches, keyed dedup and the tailing source."""
 
+import json
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -20,6 +22,30 @@ def test_cycles_go_on_after_a_failure(spark, tmp_path):
     assert sum(seen) == 10 and failed and "bad batch" in failed[0][1]
 
 
+def test_pushes_that_fail_are_counted_and_cycles_logged(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    sent, errors, lines = [], [], []
+
+    def refuse(rows):
+        raise ConnectionError("no dashboard")
+
+    step = cycle.with_pushes(lambda batch, number: {"triage": batch, "incidents": batch}, {"triage": refuse, "incidents": lambda rows: rows.count()}, sent, errors)
+    log = cycle.CycleLog(lines.append)
+    spark.streams.addListener(log)
+    try:
+        cycle.run_cycles(stream, step, str(tmp_path / "cp"), fail_fast=True).awaitTermination(60)
+        for _ in range(100):  # the listener hears of it a little later
+            if any("terminated" in x for x in lines):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert sum(n for _, name, n in sent if name == "incidents") == 10 and errors[0][1:] == ("triage", "no dashboard")
+    assert log.rows == 10 and log.cycles >= 1 and log.failed == 0
+    assert sum(json.loads(x)["raw_events"] for x in lines if "cycle_completed" in x) == 10
+
+
 def test_first_of_each_key(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, v int").parquet(str(tmp_path / "in"))
