@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ioc, net, paths, scoring, severity
-from ..operators import cluster, dedup, evaluate, queries, review, sinks, triage
+from ..operators import cluster, dedup, evaluate, normalize, queries, review, sinks, triage
+from ..sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -533,3 +534,58 @@ def high_only(spark, d):
 def enrichment_provenance(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("target_id"), F.col("o_orderpriority").alias("provider"), F.col("o_orderdate").alias("looked_up_at"))
     return triage.provenance(rows).select(F.col("target_id").alias("target"), F.array_join("enrichment_providers", ",").alias("providers"), F.col("enrichment_looked_up_at").alias("looked_up_at"))
+
+
+def _telemetry(spark, d):
+    """Events as raw events of four sources, by event type, with the payload that each source sends."""
+    k, own, user = F.get_json_object("props", "$.k").cast("int"), F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    ip = F.concat(F.lit("10.0.0."), F.col("user_id") % 250)
+    said = lambda **fields: F.struct(*(v.alias(n) for n, v in fields.items()))
+    wazuh = said(id=own, rule=said(level=k % 15, description=F.concat(F.lit("rule "), k), groups=F.array(F.lit("auth"), F.lit(" "), F.lit("ssh"))), agent=said(id=user, name=F.concat(F.lit("ws-"), user)), data=said(srcip=ip, dstuser=F.concat(F.lit(" u"), user)))
+    onion = said(event=said(id=own, severity=k % 5, category=F.lit("network")), source=said(ip=ip), host=said(name=F.concat(F.lit("so-"), user)), message=F.lit("beacon"))
+    firewall = said(id=own, action=F.when(k < 50, "BLOCK").otherwise("pass"), direction=F.lit("in"), interface=F.lit("em0"), src_ip=ip, firewall_hostname=F.lit("fw"))
+    plain = said(severity=k, message=F.col("event_type"), user=user, tags=F.lit("one"))
+    source = F.expr("CASE event_type WHEN 'error' THEN 'wazuh' WHEN 'view' THEN 'security_onion' WHEN 'click' THEN 'openbsd_pf' ELSE 'replay' END")
+    json = F.when(source == "wazuh", F.to_json(wazuh)).when(source == "security_onion", F.to_json(onion)).when(source == "openbsd_pf", F.to_json(firewall)).otherwise(F.to_json(plain))
+    rows = table(spark, d, "events").select(own.alias("id"), source.alias("source"), F.col("ts").cast("timestamp").alias("event_ts"), json.alias("payload_json"))
+    return rows.withColumn("payload", F.parse_json("payload_json"))
+
+
+@register("""
+    WITH e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k, '10.0.0.' || (user_id % 250) AS ip, user_id::VARCHAR AS u FROM events)
+    SELECT event_id::VARCHAR AS raw_event_id, ts AS event_ts,
+        CASE event_type WHEN 'error' THEN 'wazuh' WHEN 'view' THEN 'security_onion' WHEN 'click' THEN 'openbsd_pf' ELSE 'replay' END AS source,
+        CASE event_type WHEN 'error' THEN 'wazuh:' || event_id WHEN 'view' THEN 'security_onion:' || event_id WHEN 'click' THEN 'openbsd_pf:' || event_id END AS own_id,
+        CASE event_type
+            WHEN 'error' THEN CASE WHEN k % 15 <= 2 THEN 'info' WHEN k % 15 <= 5 THEN 'low' WHEN k % 15 <= 8 THEN 'medium' WHEN k % 15 <= 11 THEN 'high' ELSE 'critical' END
+            WHEN 'view' THEN CASE WHEN k % 5 <= 1 THEN 'high' WHEN k % 5 = 2 THEN 'medium' WHEN k % 5 = 3 THEN 'low' ELSE 'info' END
+            WHEN 'click' THEN CASE WHEN k < 50 THEN 'low' ELSE 'info' END
+            ELSE CASE WHEN k >= 90 THEN 'critical' WHEN k >= 70 THEN 'high' WHEN k >= 40 THEN 'medium' WHEN k >= 10 THEN 'low' ELSE 'info' END END AS severity,
+        CASE event_type WHEN 'error' THEN (k % 15)::VARCHAR WHEN 'view' THEN (k % 5)::VARCHAR WHEN 'click' THEN CASE WHEN k < 50 THEN 'BLOCK' ELSE 'pass' END ELSE k::VARCHAR END AS source_severity,
+        CASE event_type WHEN 'error' THEN 'rule ' || k WHEN 'view' THEN 'beacon' WHEN 'click' THEN 'pf ' || CASE WHEN k < 50 THEN 'block' ELSE 'pass' END || ' in on em0' ELSE event_type END AS rule_name,
+        CASE event_type WHEN 'error' THEN 'auth,ssh' WHEN 'view' THEN 'network' WHEN 'click' THEN 'firewall,pf,' || CASE WHEN k < 50 THEN 'block' ELSE 'pass' END ELSE 'one' END AS rule_groups,
+        CASE event_type WHEN 'error' THEN 'ws-' || u WHEN 'view' THEN 'so-' || u WHEN 'click' THEN 'fw' END AS hostname,
+        CASE event_type WHEN 'error' THEN u END AS agent_id,
+        CASE WHEN event_type IN ('error', 'view', 'click') THEN ip END AS src_ip,
+        CASE event_type WHEN 'error' THEN 'u' || u WHEN 'view' THEN NULL WHEN 'click' THEN NULL ELSE u END AS usr
+    FROM e""")
+def normalized_alerts(spark, d):
+    rows = normalize.normalize(_telemetry(spark, d))
+    own = F.when(F.col("source") != "replay", F.col("id"))  # the others' ids hash the payload's text
+    return rows.select("raw_event_id", "event_ts", "source", own.alias("own_id"), "severity", "source_severity", "rule_name", F.array_join("rule_groups", ",").alias("rule_groups"), "hostname", "agent_id", "src_ip", F.col("user").alias("usr"))
+
+
+@register("""
+    WITH e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events WHERE event_type != 'signup')
+    SELECT date_trunc('second', ts) AS event_ts, CASE WHEN k < 50 THEN 'block' ELSE 'pass' END AS action, k::VARCHAR AS rule_number, '10.0.0.' || (user_id % 250) AS src_ip, 1024 + k AS src_port,
+        CASE event_type WHEN 'view' THEN '2001:db8::1' ELSE '192.0.2.1' END AS dst_ip, 443 AS dst_port, CASE event_type WHEN 'view' THEN 'udp' ELSE 'tcp' END AS protocol
+    FROM e""")
+def firewall_lines(spark, d):
+    """Events as lines of a firewall log, sign-ups as lines that don't match, and the fields read back."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    detail = F.expr("CASE event_type WHEN 'view' THEN ' udp 40' WHEN 'click' THEN ' S 1:1(0) win 5' ELSE '' END")
+    to = F.when(F.col("event_type") == "view", "2001:db8::1.443").otherwise("192.0.2.1.443")
+    line = F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" rule "), k, F.lit("/(match) "), F.when(k < 50, "block").otherwise("pass"), F.lit(" in on em0: 10.0.0."), F.col("user_id") % 250, F.lit("."), 1024 + k, F.lit(" > "), to, F.lit(":"), detail)
+    rows = readers.pf_lines(table(spark, d, "events").select(F.when(F.col("event_type") == "signup", "no such line").otherwise(line).alias("value")), 2024, "fw")
+    read = lambda p, kind: F.try_variant_get("payload", f"$.{p}", kind).alias(p)
+    return rows.select("event_ts", read("action", "string"), read("rule_number", "string"), read("src_ip", "string"), read("src_port", "int"), read("dst_ip", "string"), read("dst_port", "int"), read("protocol", "string"))
