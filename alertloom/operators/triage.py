@@ -45,6 +45,32 @@ def provider_verdict(provider: str, d: Column, malicious_at: int = 3, suspicious
     raise ValueError(f"unknown provider: {provider}")
 
 
+def provider_factors(provider: str, d: Column) -> Column:
+    """The short factors behind an escalating verdict of ``provider_verdict``, an empty list for any other."""
+    verdict, none = provider_verdict(provider, d), F.array().cast("array<string>")
+    escalates = F.coalesce(verdict.isin("malicious", "suspicious"), F.lit(False))
+    if provider == "virustotal":
+        counted = lambda c: F.when(d[c] > 0, F.concat(F.lit(f"virustotal_{c}_engines_"), d[c]))
+        slug = lambda t: F.concat(F.lit("virustotal_tag_"), F.substring(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "_"), "^_|_$", ""), 1, 32))
+        tags = F.transform(F.slice(F.coalesce(d["tags"], none), 1, 3), slug)
+        said = F.concat(F.array_compact(F.array(F.concat(F.lit("virustotal_"), verdict), counted("malicious"), counted("suspicious"))), tags)
+    elif provider == "abuseipdb":
+        said = F.array(F.when(verdict == "malicious", "abuseipdb_high_confidence").otherwise("abuseipdb_reported_abuse"))
+    else:
+        said = F.array(F.lit("shodan_known_vulns"))
+    return F.when(escalates, said).otherwise(none)
+
+
+#: How many items of each list a host record keeps.
+HOST_LISTS = {"ports": 20, "vulns": 20, "hostnames": 10}
+
+
+def host_details(d: Column) -> Column:
+    """A host record's lists, sorted, each value once and bounded, beside their whole counts."""
+    whole = {c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(d[c], F.array())))) for c in HOST_LISTS}
+    return F.struct(*(x for c, n in HOST_LISTS.items() for x in (F.slice(whole[c], 1, n).alias(c), F.size(whole[c]).alias(c[:-1] + "_count"))))
+
+
 def intel(found: DataFrame, capabilities: DataFrame, snapshot: DataFrame, now: datetime) -> DataFrame:
     """Provider enrichments: indicator x provider that takes its type, answered from a recorded snapshot (provider, type, value, verdict, factors, expires_at).
 

@@ -266,3 +266,12 @@ def test_agent_inventory(spark, tmp_path):
     (tmp_path / "agents.json").write_text(json.dumps({"data": {"affected_items": items}}))
     rows = {r["agent_id"]: r for r in readers.agents(spark, str(tmp_path)).collect()}
     assert set(rows) == {"001", "002"} and rows["001"]["hostname"] == "web-1b" and rows["001"]["ip"] is None and rows["002"]["groups"] == []
+
+
+def test_provider_factors_and_host_lists(spark):
+    vt = spark.createDataFrame([(5, 2, 0, ["Cobalt Strike!", "b", "c", "d"]), (0, 1, 0, None), (0, 0, 4, ["x"])], "malicious int, suspicious int, harmless int, tags array<string>").select(triage.provider_factors("virustotal", F.struct("*")).alias("f"))
+    assert [r["f"] for r in vt.collect()] == [["virustotal_malicious", "virustotal_malicious_engines_5", "virustotal_suspicious_engines_2", "virustotal_tag_cobalt_strike", "virustotal_tag_b", "virustotal_tag_c"], ["virustotal_suspicious", "virustotal_suspicious_engines_1"], []]
+    ab = spark.createDataFrame([(80, 3, False), (30, 1, False), (0, 0, False)], "score int, reports int, whitelisted boolean").select(triage.provider_factors("abuseipdb", F.struct("*")).alias("f"))
+    assert [r["f"] for r in ab.collect()] == [["abuseipdb_high_confidence"], ["abuseipdb_reported_abuse"], []]
+    host = spark.createDataFrame([(list(range(40, 10, -1)) + [11], ["CVE-2", "CVE-1", "CVE-2"], None)], "ports array<int>, vulns array<string>, hostnames array<string>").select(triage.host_details(F.struct("*")).alias("h"), triage.provider_factors("shodan", F.struct("*")).alias("f")).first()
+    assert tuple(host["h"]) == (list(range(11, 31)), 30, ["CVE-1", "CVE-2"], 2, [], 0) and host["f"] == ["shodan_known_vulns"]
