@@ -61,6 +61,7 @@ def run(raw: DataFrame, assets: DataFrame | None = None, recorded: DataFrame | N
     enrichments = stages.enrich(alerts)
     if intel is not None:
         enrichments = triage.all_enrichments(enrichments, intel).withColumn("pos", F.when(F.col("provider") == "local", 0).otherwise(1))
+    enrichments = persisted(enrichments)  # the texts are searched once for the scores and for the result
     of = clusters.join(candidates.select("cluster", "candidate_id"), "cluster").select(F.col("id").alias("target_id"), "candidate_id")
     provider = [F.col("provider")] if "provider" in enrichments.columns else []
     once = enrichments.join(of, "target_id").groupBy("candidate_id", "type", F.lower("value").alias("_v"), *provider).agg(F.min_by(F.struct("value", "risk_factors", "severity_hint", "summary"), F.struct("target_id", "pos")).alias("e"))
