@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,6 +17,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKET = 512
+#: Long runs of the pattern's white space (the Unicode property), which its engine cannot match by backtracking.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @cache
@@ -28,18 +31,28 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(encoding, text: str | None) -> int:
+    """Tokens of a text of any content: a long run of white space is one piece by the pattern, less its last character where a word follows, and is encoded as that piece."""
+    n = at = 0
+    for run in LONG_SPACE.finditer(text or ""):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:])) if text else 0
+
+
 def _lengths(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = encoder(vocabulary)
         for batch in batches:
-            counts = [len(encode(t)) if (t := x.as_py()) else 0 for x in batch.column(batch.schema.get_field_index("text"))]
+            counts = [count_tokens(encoding, x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return run
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and n_tokens (0 for a null or empty text) of every row; special tokens' strings count as ordinary text."""
+    """doc_id and n_tokens (0 for a null or empty text) of every row; special tokens' strings count as ordinary text, white space in runs of any length too."""
     return docs.select("doc_id", "text").mapInArrow(_lengths(vocabulary), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 

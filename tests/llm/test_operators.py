@@ -273,6 +273,24 @@ def test_tightest_compatible_bin():
     assert packing.pack(sizes, sources, clusters, 100)[0] == want
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u3000", "\r\n", "\x1c"])
+def test_token_counts_of_long_white_space(space):
+    encoding = token_counts.encoder(token_counts.VOCABULARY)
+    for n in (1, 2, 4095, 4096, 4097, 20_000, 100_000):
+        for text in (space * n, space * n + "x", "x" + space * n, "a " + space * n + " b" + space * n, "." + space * n + "'s" + space * (n + 1) + "1"):
+            assert token_counts.count_tokens(encoding, text) == len(encoding.encode_ordinary(text)), (n, text[:3])
+
+
+def test_token_counts_do_not_crash(spark):
+    texts = [f"{a}{space * n}{b}" for n in (1_000_000, 5_000_000) for space in " \t\n" for a, b in (("", ""), ("x", "x"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_lengths(df).collect()}
+    piece = token_counts.encoder(token_counts.VOCABULARY)._encode_single_piece
+    for i, t in enumerate(texts):
+        bare = len(piece(t)) if t[0] != "x" else 1 + len(piece(t[1:-2])) + (1 if t[-2] == " " else 2)
+        assert got[i] == bare
+
+
 def test_token_histogram(table):
     df, data = table
     encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
