@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, embedding_neighbours, exact_dedup, jaccard_join, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
+from . import attention_lm, collocations, embedding_neighbours, exact_dedup, jaccard_join, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -79,6 +83,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, vec_id = c AS kept
             FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = vec_id
             LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = vec_id""",
+        "op11_collocations": r"""
+            WITH p AS (
+                SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+            ), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+            g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, range(1, 5) r(k)),
+            f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+            c AS MATERIALIZED (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM f WHERE k > 1),
+            pair AS MATERIALIZED (SELECT lang, g, f, k, j, array_to_string(w[1:j], ' ') AS lg, array_to_string(w[j + 1:k], ' ') AS rg FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+            cut AS MATERIALIZED (
+                SELECT p.lang, p.g, p.f AS a, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * p.f) // (l.f + r.f))::BIGINT AS score
+                FROM pair p JOIN f l ON l.lang = p.lang AND l.g = p.lg JOIN f r ON r.lang = p.lang AND r.g = p.rg
+            ), best AS MATERIALIZED (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+            inner_ AS MATERIALIZED (
+                SELECT lang, f, array_to_string(w[s:s + m - 1], ' ') AS g
+                FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM c))
+            ), part AS MATERIALIZED (SELECT DISTINCT i.lang, i.g FROM inner_ i JOIN c ON c.lang = i.lang AND c.g = i.g WHERE 100 * i.f >= 80 * c.f),
+            ranked AS (
+                SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, n, score
+                FROM (SELECT * FROM best ANTI JOIN part USING (lang, g)) JOIN n USING (lang)
+            ) SELECT * FROM ranked WHERE rank <= 2000""",
         "op1_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
