@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, collocations, embedding_neighbours, exact_dedup, fill_in_middle, jaccard_join, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts
+from . import attention_lm, collocations, embedding_neighbours, exact_dedup, fill_in_middle, jaccard_join, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprint_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digests(_table(spark, sf_dir, "documents"))
 
