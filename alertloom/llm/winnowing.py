@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from ..operators.ordinal import ranked
 
 K, WIDTH = 16, 64
-CHUNK = 256
-#: A packed hash is 52 bits of hash over 10 bits that count down from the chunk's start.
-PLACES = 1 << 10
-_BITS = (1 << 62) - PLACES
+CHUNK = 512
+#: A packed hash has its low bits, in place of its own, count down from the chunk's start in steps of 4.
+PLACES = 1 << 12
 #: Bits of a hash that a fingerprint keeps.
 HASH = 31
 
@@ -35,32 +34,33 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _packed(chunk: Column, k: int) -> Column:
-    """The hash of every run of ``k`` code points, over its place; a shorter chunk is one run."""
+def _packed(chunk: Column, k: int, half: int) -> Column:
+    """Blocks of ``half`` packed hashes, one for every run of ``k`` code points; a shorter chunk is one run."""
     wide = F.encode(chunk, "UTF-32")  # four bytes a code point, so that a run is found without a walk from the start
-    one = lambda bytes_: lambda i: F.xxhash64(F.substring(bytes_, i * 4 + 1, F.lit(4 * k))).bitwiseAND(F.lit(_BITS)).bitwiseOR(F.lit(PLACES - 1) - i)
-    runs = F.greatest(F.char_length(chunk) - F.lit(k), F.lit(0))
-    return _let(wide, lambda b: F.transform(F.sequence(F.lit(0), runs), one(b)))
-
-
-def _selected(packed: Column, width: int) -> Column:
-    """The window minima among packed hashes: those with room for a window between their nearest smaller neighbours."""
-    half = width // 2
-    lows = F.transform(F.sequence(F.lit(0), F.floor((F.size(packed) - 1) / half).cast("int")), lambda r: F.array_min(F.slice(packed, r * half + 1, F.lit(half))))
-    near = lambda m: F.transform(m, lambda x, r: F.greatest(x, F.get(m, r - 1), F.get(m, r + 1)))
-    bounds = _let(lows, near)
-    few = _let(bounds, lambda b: F.filter(packed, lambda p, i: p <= F.get(b, F.shiftright(i, half.bit_length() - 1))))
-    place = lambda p: p.bitwiseAND(F.lit(PLACES - 1))
-    past = F.lit(PLACES - 1) - F.size(packed)
-
-    def room(c: Column) -> Callable[[Column], Column]:
-        def fits(x: Column) -> Column:
-            smaller = F.sort_array(F.transform(F.array_append(F.filter(c, lambda y: y < x), x), place))
-            return _let(smaller, lambda s: _let(F.array_position(s, place(x)).cast("int"), lambda j: F.coalesce(F.get(s, j), F.lit(PLACES)) - F.coalesce(F.get(s, j - 2), past) > width))
+    last = F.greatest(F.char_length(chunk) - F.lit(k), F.lit(0)) * 4 + 1
+    one = lambda b: lambda x: F.xxhash64(F.substring(b, x, F.lit(4 * k))).bitwiseOR(F.lit(PLACES - 1)) - x  # noqa: E731  the low bits are PLACES - 1 - x
+    return _let(wide, lambda b: F.transform(F.sequence(F.lit(1), last, F.lit(4 * half)), lambda x: F.transform(F.sequence(x, F.least(x + 4 * (half - 1), last), F.lit(4)), one(b))))
+
+
+def _place(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(PLACES - 1))
+
+
+def _selected(blocks: Column, runs: Column, width: int) -> Column:
+    """The window minima among ``runs`` packed hashes: those with room for a window between their nearest smaller neighbours."""
+    lows = F.transform(blocks, F.array_min)
+    few = _let(lows, lambda m: F.flatten(F.transform(blocks, lambda x, r: _let(F.greatest(F.get(m, r), F.get(m, r - 1), F.get(m, r + 1)), lambda bound: F.filter(x, lambda p: p <= bound)))))
+    before, after = F.lit(PLACES + 2), F.lit(PLACES - 2) - runs * 4  # places beside the first and the last run
+
+    def room(places: Column) -> Callable[[Column, Column], Column]:
+        # places are in order of hashes, so the first j + 1 are those of run j and of all smaller ones
+        def fits(x: Column, j: Column) -> Column:
+            return _let(F.sort_array(F.slice(places, F.lit(1), j + 1)), lambda s: _let(F.array_position(s, _place(x)).cast("int"), lambda i: F.coalesce(F.get(s, i), before) - F.coalesce(F.get(s, i - 2), after) > 4 * width))
 
         return fits
 
-    return F.when(F.size(packed) <= width, F.array(F.array_min(packed))).otherwise(_let(few, lambda c: F.filter(c, room(c))))
+    found = _let(F.sort_array(few), lambda c: _let(F.transform(c, _place), lambda q: F.filter(c, room(q))))
+    return F.when(runs <= width, F.array(F.array_min(lows))).otherwise(found)
 
 
 def fingerprint(text: Column, k: int = K, width: int = WIDTH, chunk: int = CHUNK, start: Column | None = None) -> Column:
@@ -69,20 +69,19 @@ def fingerprint(text: Column, k: int = K, width: int = WIDTH, chunk: int = CHUNK
     A text with no more than ``width`` runs is one window, one shorter than ``k`` one run. ``start`` (0 or more): only the
     windows from this position on, of which there may be none unless it is 0.
     """
-    if width & (width - 1) or width < 4 or chunk + width > PLACES:
-        raise ValueError("width must be a power of two from 4 on, and chunk + width at most 1024")
+    if width < 4 or width % 2 or 4 * (chunk + width) >= PLACES:
+        raise ValueError("width must be even and 4 or more, and chunk + width under 1024")
     rest = text if start is None else F.substring(text, start + 1, F.lit(2**31 - 1))
     at = F.lit(0) if start is None else start
     chunks = F.regexp_extract_all(rest, F.lit(f"(?s)(?=(.{{1,{chunk + width + k - 2}}})).{{1,{chunk}}}"), F.lit(1))
-    whole = F.char_length  # of a chunk after the first only whole windows count
 
-    def of(c: Column, j: Column) -> Column:
+    def of(c: Column, j: Column) -> Column:  # of a chunk after the first only whole windows count
         first = at + j * chunk
-        own = _let(_packed(c, k), lambda p: _selected(p, width))
-        found = F.transform(own, lambda p: F.shiftleft((first + F.lit(PLACES - 1) - p.bitwiseAND(F.lit(PLACES - 1))).cast("long"), HASH).bitwiseOR(F.shiftright(p, 62 - HASH)))
-        return F.when((first == 0) | (whole(c) >= width + k - 1), found).otherwise(F.array().cast("array<bigint>"))
+        own = _let(_packed(c, k, width // 2), lambda p: _selected(p, F.greatest(F.char_length(c) - F.lit(k - 1), F.lit(1)), width))
+        found = F.transform(own, lambda p: F.shiftleft(first + F.shiftright(F.lit(PLACES - 2) - _place(p), 2), HASH).bitwiseOR(F.shiftrightunsigned(p, 64 - HASH)))
+        return F.when((first == 0) | (F.char_length(c) >= width + k - 1), found).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_distinct(F.flatten(F.transform(chunks, of)))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(chunks, of))))
 
 
 def text_of(fingerprints: Column) -> Column:
@@ -129,9 +128,11 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH, chunk:
     Rows that share a doc_id share the next document (see ``followers``); with one id in all, the next document is the longest
     text of it. An empty table gives no rows; further columns are not read.
     """
-    own = fingerprints(docs, k, width, chunk).withColumn("h", F.xxhash64("text"))
+    own = fingerprints(docs, k, width, chunk)
     after = followers(docs)
-    taken = own.join(after, own.doc_id.eqNullSafe(after.next_id)).where("n_chars = rep.n and h = rep.h").select("for_id", F.struct(F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(F.col("marks")).alias("next_hashes")).alias("next"))
+    # the two joins of ``own`` share a shuffle by doc_id alone, so fingerprints are made once; so these are no keys of a join
+    is_rep = (F.col("n_chars") - F.col("rep.n") == 0) & (F.xxhash64("text").bitwiseXOR(F.col("rep.h")) == 0)
+    taken = own.join(after, own.doc_id.eqNullSafe(after.next_id)).where(is_rep).select("for_id", F.struct(F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(F.col("marks")).alias("next_hashes")).alias("next"))
     taken = taken.groupBy("for_id").agg(F.max("next").alias("next"))  # one text, though it may be in several rows
     third = F.floor(F.col("n_chars") / 3).cast("int")
     stays = F.col("n_chars") - third

@@ -30,7 +30,7 @@ def nothing(spark):
 def run_hashes(spark, texts, k):
     """The hash of every run of k code points, by Spark's own function on each run."""
     runs = sorted({t[i : i + k] for t in texts if t for i in range(max(len(t) - k, 0) + 1)})
-    made = spark.createDataFrame([(x,) for x in runs], "t string").select("t", F.xxhash64(F.encode("t", "UTF-32")).bitwiseAND(F.lit((1 << 62) - 1024)).alias("h"))
+    made = spark.createDataFrame([(x,) for x in runs], "t string").select("t", F.xxhash64(F.encode("t", "UTF-32")).bitwiseOR(F.lit(4095)).alias("h"))
     return {r["t"]: r["h"] for r in made.collect()}
 
 
@@ -41,7 +41,7 @@ def winnow(text, known, k, width):
         window = h[s : s + width]
         least = min(window)
         picked.add(s + max(i for i, x in enumerate(window) if x == least))
-    return [i << 31 | h[i] >> 31 for i in sorted(picked)]
+    return [i << 31 | (h[i] & (1 << 64) - 1) >> 33 for i in sorted(picked)]
 
 
 @pytest.mark.parametrize(("k", "width", "chunk"), [(16, 64, 256), (5, 8, 16), (3, 4, 20)])
