@@ -107,6 +107,11 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH, chunk: int = C
     return docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.char_length("text").alias("n_chars"), fingerprint(F.col("text"), k, width, chunk).alias("marks"))
 
 
+def _keys(docs: DataFrame, own: str, prefix: str = "") -> list[Column]:
+    """An id without nulls and whether it was one: keys that a join and an aggregation can share a shuffle by."""
+    return [F.coalesce(F.col(own), F.lit("0").cast(docs.schema["doc_id"].dataType)).alias(f"{prefix}id"), F.col(own).isNull().alias(f"{prefix}none")]
+
+
 def followers(docs: DataFrame) -> DataFrame:
     """for_id, next_id, rep and take: for each different doc_id the next smaller one, after the last the largest, and of how many code points its third is.
 
@@ -128,17 +133,17 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH, chunk:
     Rows that share a doc_id share the next document (see ``followers``); with one id in all, the next document is the longest
     text of it. An empty table gives no rows; further columns are not read.
     """
-    own = fingerprints(docs, k, width, chunk)
-    after = followers(docs)
+    own = fingerprints(docs, k, width, chunk).select(*_keys(docs, "doc_id"), "text", "n_chars", "marks")
+    after = followers(docs).select(*_keys(docs, "for_id", "for_"), *_keys(docs, "next_id"), "rep", "take")
     # the two joins of ``own`` share a shuffle by doc_id alone, so fingerprints are made once; so these are no keys of a join
     is_rep = (F.col("n_chars") - F.col("rep.n") == 0) & (F.xxhash64("text").bitwiseXOR(F.col("rep.h")) == 0)
-    taken = own.join(after, own.doc_id.eqNullSafe(after.next_id)).where(is_rep).select("for_id", F.struct(F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(F.col("marks")).alias("next_hashes")).alias("next"))
-    taken = taken.groupBy("for_id").agg(F.max("next").alias("next"))  # one text, though it may be in several rows
+    taken = own.join(after, ["id", "none"]).where(is_rep).select("for_id", "for_none", F.struct(F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(F.col("marks")).alias("next_hashes")).alias("next"))
+    taken = taken.groupBy(F.col("for_id").alias("id"), F.col("for_none").alias("none")).agg(F.max("next").alias("next"))  # one text, though it may be in several rows
     third = F.floor(F.col("n_chars") / 3).cast("int")
     stays = F.col("n_chars") - third
     limit = stays - (k + width - 1)  # the last window that the text and the edited text share, if it is 0 or more
-    rows = own.join(taken, own.doc_id.eqNullSafe(taken.for_id))
-    rows = rows.select("doc_id", "n_chars", "marks", limit.alias("limit"), F.col("next.next_hashes").alias("next_hashes"), F.concat(F.substring("text", F.lit(1), stays), F.substring("next.head", F.lit(1), third)).alias("edited"))
+    rows = own.join(taken, ["id", "none"])
+    rows = rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", "marks", limit.alias("limit"), F.col("next.next_hashes").alias("next_hashes"), F.concat(F.substring("text", F.lit(1), stays), F.substring("next.head", F.lit(1), third)).alias("edited"))
     start = F.greatest(F.col("limit") - (width - 2), F.lit(0))
     kept = F.filter("marks", lambda e: F.shiftright(e, HASH) <= F.col("limit"))  # windows that hold these positions start at or before them
     late = fingerprint(F.col("edited"), k, width, chunk, start)
