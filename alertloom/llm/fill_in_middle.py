@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = "(?s:.)"
-RUN = 256
+RUN = 128
 SENTINELS = ("<P>", "<S>", "<M>")
 PLAIN_FROM, SPM_BELOW, SEED = 90, 20, 1
 KEY = ["k1", "k2"]
@@ -42,32 +42,38 @@ def draws(doc_id: Column, seed: int = SEED) -> list[Column]:
 
 
 def cut_offsets(texts: DataFrame, unit: str = UNIT, run: int = RUN, seed: int = SEED) -> DataFrame:
-    """For each different (k1, k2) of ``texts`` (doc_id, text, k1, k2): n units, and the code points before the first and the second cut.
+    """For each different (k1, k2) of ``texts`` (doc_id, text, k1, k2) that has a text: n units, and the code points before the first and the second cut.
 
     Cuts come before unit min and max of two draws modulo n + 1; a cut at n is the text's end. The pattern's matches must
     cover the text, or the query fails.
     """
     h1, h2, _, _ = draws(F.col("doc_id"), seed)
+    uncovered = F.raise_error(F.lit("units do not cover the text"))
     runs = F.regexp_extract_all("text", F.lit(f"(?:{unit}){{1,{run}}}"), F.lit(0))
-    many = texts.select(*KEY, h1.alias("h1"), h2.alias("h2"), F.char_length("text").alias("size"), runs.alias("runs")).withColumn("last", F.regexp_count(F.element_at("runs", -1), F.lit(unit)))
-    n = (F.size("runs") - 1) * F.lit(run) + F.col("last")
-    cuts = many.where("size > 0").withColumn("n", n.cast("long")).withColumn("c1", F.least(F.expr("h1 % (n + 1)"), F.expr("h2 % (n + 1)"))).withColumn("c2", F.greatest(F.expr("h1 % (n + 1)"), F.expr("h2 % (n + 1)")))
-    held = (F.col("r") == F.floor(F.col("c1") / run)) | (F.col("r") == F.floor(F.col("c2") / run))
-    exploded = cuts.select(*KEY, "n", "c1", "c2", "size", F.posexplode("runs").alias("r", "piece")).select(*KEY, "n", "c1", "c2", "size", "r", F.char_length("piece").alias("length"), F.when(held, F.col("piece")).alias("piece"))
-    # rows that repeat agree in everything, so the first of each run stands for them, and they combine before they are shuffled
-    once = exploded.groupBy(*KEY, "r").agg(F.max(F.struct("length", "n", "c1", "c2", "size", "piece")).alias("x")).select(*KEY, "r", "x.*")
-    starts = _starts(once, KEY, "r")
-    whole = F.sum("length").over(Window.partitionBy(*KEY))
-    starts = starts.withColumn("n", F.when(whole == F.col("size"), F.col("n")).otherwise(F.raise_error(F.lit("units do not cover the text")).cast("long")))
-    asked = starts.select(*KEY, "r", "n", "size", "start", "piece", F.explode(F.array(F.struct(F.lit(1).alias("cut"), F.col("c1").alias("ordinal")), F.struct(F.lit(2).alias("cut"), F.col("c2").alias("ordinal")))).alias("q")).select("*", "q.cut", "q.ordinal").drop("q")
-    asked = asked.where(F.floor(F.col("ordinal") / run) == F.col("r"))
-    units = asked.select(*KEY, "r", "piece").dropDuplicates([*KEY, "r"]).select(*KEY, "r", F.posexplode(F.regexp_extract_all("piece", F.lit(unit), F.lit(0))).alias("i", "u")).select(*KEY, "r", "i", F.char_length("u").alias("length"))
-    places = _starts(units, [*KEY, "r"], "i").select(*KEY, "r", (F.col("r") * F.lit(run) + F.col("i")).cast("long").alias("ordinal"), F.col("start").alias("inside"))
-    found = asked.select(*KEY, "r", "cut", "ordinal", "start").join(places, [*KEY, "r", "ordinal"]).select(*KEY, "cut", (F.col("start") + F.col("inside")).alias("offset"))
-    # a cut at n has no unit and so no offset: the text's end
-    ends = starts.where("r = 0").select(*KEY, "n", "size", F.lit(0).alias("cut"), F.lit(None).cast("long").alias("offset"))
-    both = ends.unionByName(found, allowMissingColumns=True).groupBy(*KEY).agg(F.max("n").alias("n"), F.max("size").cast("long").alias("size"), *(F.max(F.when(F.col("cut") == c, F.col("offset"))).alias(f"o{c}") for c in (1, 2)))
-    return both.select(*KEY, "n", F.coalesce("o1", "size").alias("first_cut"), F.coalesce("o2", "size").alias("second_cut"))
+    found = texts.select(*KEY, h1.alias("h1"), h2.alias("h2"), F.char_length("text").alias("size"), runs.alias("runs")).where("size > 0")
+    n = (F.size("runs") - 1).cast("long") * run + F.regexp_count(F.try_element_at("runs", F.lit(-1)), F.lit(unit))
+    n = F.when(F.size("runs") > 0, n).otherwise(uncovered.cast("long"))
+    counted = found.withColumn("n", n).withColumn("a", F.expr("h1 % (n + 1)")).withColumn("b", F.expr("h2 % (n + 1)"))
+    cuts = F.array(F.least("a", "b"), F.greatest("a", "b"))
+    pieces = F.transform("cuts", lambda c: F.get("runs", F.floor(c / run).cast("int")))  # the runs that are cut, with their text
+    one = counted.withColumn("cuts", cuts).select(*KEY, F.struct("n", "size", "cuts", F.transform("runs", F.char_length).alias("lengths"), pieces.alias("pieces")).alias("x"))
+    # rows that repeat agree in everything; they combine before they are shuffled, and all that follows stays where its key is
+    once = one.groupBy(*KEY).agg(F.max("x").alias("x")).select(*KEY, "x.*")
+    requests = once.select(*KEY, "n", "size", F.posexplode("cuts").alias("cut", "ordinal"))
+    cut_in = lambda i: F.floor(F.col("cuts")[i] / run) == F.col("r")
+    rows = once.select(*KEY, "size", "cuts", "pieces", F.posexplode("lengths").alias("r", "length"))
+    rows = rows.select(*KEY, "size", "r", "length", F.when(cut_in(0), F.col("pieces")[0]).when(cut_in(1), F.col("pieces")[1]).alias("piece"), "cuts")
+    covered = F.when(F.sum("length").over(Window.partitionBy(*KEY)) == F.col("size"), F.col("r")).otherwise(uncovered.cast("int"))
+    starts = _starts(rows, KEY, "r").withColumn("r", covered)
+    held = starts.where("piece is not null or r = 0")  # a text's first run stays for the check of its cover
+    units = held.select(*KEY, "r", "start", "cuts", F.posexplode(F.regexp_extract_all(F.coalesce("piece", F.lit("")), F.lit(unit), F.lit(0))).alias("i", "u"))
+    units = units.select(*KEY, "r", "start", "cuts", "i", F.char_length("u").alias("length")).withColumnRenamed("start", "before")
+    places = _starts(units, [*KEY, "r"], "i").withColumn("unit", F.col("r").cast("long") * run + F.col("i")).where("array_contains(cuts, unit)")
+    places = places.select(*KEY, "unit", (F.col("before") + F.col("start")).alias("offset"))
+    # joined where they are, by key and then by ordinal; a cut at n has no unit and ends the text
+    asked = requests.join(places, [*(requests[k] == places[k] for k in KEY), requests.ordinal - places.unit == 0], "left").select(*(requests[k] for k in KEY), "n", "size", "cut", "offset")
+    offset = lambda c: F.coalesce(F.max(F.when(F.col("cut") == c, F.col("offset"))), F.max("size")).cast("int")
+    return asked.groupBy(*KEY).agg(F.max("n").alias("n"), offset(0).alias("first_cut"), offset(1).alias("second_cut"))
 
 
 def fill_in_middle(docs: DataFrame, unit: str = UNIT, run: int = RUN, seed: int = SEED, plain_from: int = PLAIN_FROM, spm_below: int = SPM_BELOW) -> DataFrame:
@@ -76,7 +82,7 @@ def fill_in_middle(docs: DataFrame, unit: str = UNIT, run: int = RUN, seed: int
     A null text counts as empty; empty texts and those that hold a sentinel are plain, as is a share of the others; rows that
     repeat give equal rows, a null doc_id draws as an empty one; an empty table gives no rows, further columns are not read.
     """
-    texts = _keyed(docs)
+    texts = _keyed(docs.select("doc_id", "text"))
     offsets = cut_offsets(texts, unit, run, seed)
     _, _, h3, h4 = draws(F.col("doc_id"), seed)
     sentinel = F.contains("text", F.lit(SENTINELS[0])) | F.contains("text", F.lit(SENTINELS[1])) | F.contains("text", F.lit(SENTINELS[2]))
