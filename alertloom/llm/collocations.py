@@ -119,10 +119,10 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, n
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     starts = np.flatnonzero(begins)
     held = data[inside]
-    before = np.concatenate([[0], np.cumsum(inside)])
+    before = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(inside, dtype=np.int32)])
     at = np.append(before[starts], len(held))
     row = np.searchsorted(offsets, starts, side="right") - 1
-    ends = np.concatenate([[0], np.cumsum(end)])[starts]
+    ends = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(end, dtype=np.int32)])[starts]
     fresh_piece = np.ones(len(starts), dtype=bool)
     fresh_piece[1:] = (ends[1:] != ends[:-1]) | (row[1:] != row[:-1])
     return binary_array(LOWER[held], at).dictionary_encode(), row, fresh_piece
@@ -136,7 +136,7 @@ def _langs(batch: pa.RecordBatch, first: int, end: int) -> tuple[np.ndarray, lis
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, word and its count, of each block."""
     for batch in batches:
-        for first, end, data, offsets in text_blocks(batch, limit=1 << 24):
+        for first, end, data, offsets in text_blocks(batch, limit=1 << 22):
             lang, names = _langs(batch, first, end)
             words, row, _ = _words(data, offsets)
             if not len(words):
@@ -210,15 +210,8 @@ def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _counters(lower: list[Slots], least: int, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int32)
-        held, n = [], 0
         for keys in _streams(batches, lower, least):
-            held.append((mix64(keys) & U64(size - 1)).astype(np.int32))
-            n += len(keys)
-            if n > size >> 1:
-                counts += np.bincount(np.concatenate(held), minlength=size)
-                held, n = [], 0
-        if n:
-            counts += np.bincount(np.concatenate(held), minlength=size)
+            np.add.at(counts, (mix64(keys) & U64(size - 1)).astype(np.int64), np.int32(1))
         yield from _chunks(counts)
 
     return run
@@ -253,7 +246,7 @@ def _slot_counts(lower: list[Slots], least: int, own: Broadcast, deal: Callable[
         counts = np.zeros(len(hashed.keys), dtype=np.int64)
         for keys in _streams(batches, lower, least):
             slots = hashed.find(keys[deal(keys) == number])
-            counts += np.bincount(slots[slots >= 0], minlength=len(counts))
+            counts += np.bincount(slots[slots >= 0], minlength=len(counts))  # ``most`` bounds it
         yield from _chunks(counts)
 
     return run
