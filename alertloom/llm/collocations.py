@@ -252,36 +252,37 @@ def _slot_counts(lower: list[Slots], least: int, own: Broadcast, deal: Callable[
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x.as_buffer(), dtype="<i8") for x in table.column("counts")], axis=0)
-    return pa.table({"part": table.column("part").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+def _sum(least: int | None = None) -> Callable:
+    """The sum of a group's chunks; with ``least`` the bits of the sums that reach it."""
 
+    def run(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_buffer(), dtype="<i8") for x in table.column("counts")], axis=0)
+        if least is not None:
+            total = np.packbits(total >= least, bitorder="little")
+        return pa.table({"part": table.column("part").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-def tree_sum(chunks: DataFrame, mappers: int) -> DataFrame:
-    """The sums of the mappers' chunks: FAN mappers' at a time meet in a group, until one is left of each chunk."""
-    while mappers > 1:
-        chunks = chunks.select(F.floor(F.col("part") / FAN).cast("int").alias("part"), "chunk", "counts").groupBy("part", "chunk").applyInArrow(_sum, "part int, chunk int, counts binary")
+    return run
+
+
+def tree_sum(chunks: DataFrame, mappers: int, least: int | None = None) -> DataFrame:
+    """The sums of the mappers' chunks, or the bits of those that reach ``least``: FAN mappers' chunks at a time meet in a group, until one is left of each chunk."""
+    last = False
+    while not last:
+        last = mappers <= FAN
+        up = chunks.select(F.floor(F.col("part") / FAN).cast("int").alias("part"), "chunk", "counts")
+        chunks = up.groupBy("part", "chunk").applyInArrow(_sum(least if last else None), "part int, chunk int, counts binary")
         mappers = -(-mappers // FAN)
     return chunks
 
 
-def _collected(chunks: DataFrame, column: str, out: np.ndarray, width: int) -> np.ndarray:
+def _collected(chunks: DataFrame, out: np.ndarray, width: int) -> np.ndarray:
     """The chunks' arrays in ``out``, whose length bounds what reaches the driver."""
-    for row in chunks.select("chunk", column).toLocalIterator():
-        part = np.frombuffer(bytes(row[column]), dtype=out.dtype.newbyteorder("<"))
+    for row in chunks.select("chunk", "counts").toLocalIterator():
+        part = np.frombuffer(bytes(row["counts"]), dtype=out.dtype.newbyteorder("<"))
         out[row["chunk"] * width :][: len(part)] = part
     return out
 
 
-def _heavy(least: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(np.frombuffer(x.as_buffer(), dtype="<i8") >= least, bitorder="little").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
-
-    return run
-
-
 def _keys(rows: DataFrame) -> np.ndarray:
     return rows.toArrow().column(0).to_numpy().view(U64)  # bounded by the caller
 
@@ -290,9 +291,8 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
     """The counted candidates of the next level."""
     session = streams.sparkSession
     mappers = streams.rdd.getNumPartitions()
-    sizes = tree_sum(streams.mapInArrow(_counters(lower, least, counters), "part int, chunk int, counts binary"), mappers)
-    bits = sizes.select("chunk", "counts").mapInArrow(_heavy(least), "chunk int, bits binary")
-    heavy = session.sparkContext.broadcast(_collected(bits, "bits", np.zeros(counters // 8, dtype=np.uint8), CHUNK // 8))
+    bits = tree_sum(streams.mapInArrow(_counters(lower, least, counters), "part int, chunk int, counts binary"), mappers, least)
+    heavy = session.sparkContext.broadcast(_collected(bits, np.zeros(counters // 8, dtype=np.uint8), CHUNK // 8))
     found = checkpointed(streams.mapInArrow(_candidates(lower, least, heavy), "key long").distinct())
     heavy.destroy()
     n = found.count()
@@ -304,11 +304,14 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
         hashed = PerfectHash(np.sort(_keys(mine)))
         own = session.sparkContext.broadcast(hashed)
         counted = streams.mapInArrow(_slot_counts(lower, least, own, deal, i), "part int, chunk int, counts binary")
-        hashed.counts = _collected(tree_sum(counted, mappers), "counts", hashed.counts, CHUNK)
+        counts = _collected(tree_sum(counted, mappers), hashed.counts, CHUNK)
         own.destroy()
-        parts.append(session.sparkContext.broadcast(hashed))
+        often = counts >= least
+        kept = PerfectHash(hashed.keys[often])  # later levels and cuts only read frequent phrases
+        kept.counts[kept.find(hashed.keys[often])] = counts[often]
+        parts.append(session.sparkContext.broadcast(kept))
         starts.append(base)
-        base += len(hashed.keys)
+        base += len(kept.keys)
     return Slots(parts, starts)
 
 
