@@ -2,8 +2,8 @@
 
 The rules are greedy and order-dependent: rows in time order join the newest group that accepts them. They split exactly
 into islands within entity components: a row after a gap longer than the window can join no earlier group of its component,
-and groups never hold members of two components. Islands are found with window functions over a component; the rule itself
-runs per island in one Arrow-backed function.
+and groups never hold members of two components. Islands are found by a scan of range partitions, so that a component that holds
+most rows is no single task; the rule itself runs per island in one Arrow-backed function.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import entity_components, persisted
+from .graph import entity_components
+from .ordinal import islands, ranked
 
 WINDOW_MINUTES, CAP = 30, 50
 INCIDENT_MINUTES, INCIDENT_SCORE = 120, 8
@@ -70,12 +71,8 @@ def cluster(alerts: DataFrame, minutes: int = WINDOW_MINUTES, cap: int = CAP) ->
     rows = alerts.select("id", F.unix_micros("event_ts").alias("ts"), "entities")
     linked = rows.where("size(entities) > 0")
     comp = entity_components(linked.select("id", F.explode("entities").alias("entity")), "id", "entity")
-    order = Window.partitionBy("component").orderBy("ts", "id")
-    whole = Window.partitionBy("component")
-    joined = linked.join(comp, "id").withColumn("loose", F.max(F.col("ts").isNull()).over(whole))
-    gap = F.when(~F.col("loose") & ((F.col("ts") - F.lag("ts").over(order)) > minutes * 60_000_000), 1).otherwise(0)
-    islands = joined.withColumn("gap", gap).withColumn("island", F.sum("gap").over(order))
-    grouped = islands.select("id", "ts", "entities", "component", "island").groupBy(_bucket(linked)).applyInPandas(_greedy_alerts(minutes * 60_000_000, cap), "id string, cluster string")
+    found = islands(linked.join(comp, "id"), "component", "ts", "ts", F.col("ts").isNull(), minutes * 60_000_000)
+    grouped = found.select("id", "ts", "entities", "component", "island").groupBy(_bucket(linked)).applyInPandas(_greedy_alerts(minutes * 60_000_000, cap), "id string, cluster string")
     return grouped.unionByName(rows.where("size(entities) = 0").select("id", F.col("id").alias("cluster")))
 
 
@@ -104,17 +101,10 @@ def candidates(alerts: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, content: Column, name: str) -> DataFrame:
-    """<prefix>-<date or unknown>-<ordinal>-<hash> for rows with first_seen and first_at: the ordinal counts all groups in order of first_at.
-
-    Groups are numbered within their hour and moved on by the groups of earlier hours: only one row an hour meets in one window.
-    """
-    rows = persisted(rows.withColumn("_hour", F.date_trunc("hour", "first_seen")))
-    before = F.sum("n").over(Window.orderBy(F.asc_nulls_first("_h")).rowsBetween(Window.unboundedPreceding, -1))
-    hours = rows.groupBy(F.col("_hour").alias("_h")).agg(F.count(F.lit(1)).alias("n")).select("_h", F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = rows.join(hours, F.col("_hour").eqNullSafe(F.col("_h")))
-    number = F.col("_before") + F.row_number().over(Window.partitionBy("_hour").orderBy("first_at"))
+    """<prefix>-<date or unknown>-<ordinal>-<hash> for rows with first_seen and first_at: the ordinal counts all groups in order of hour, then of first_at."""
+    rows = ranked(rows.withColumn("_hour", F.date_trunc("hour", "first_seen")), [F.asc_nulls_first("_hour"), F.asc("first_at")], "_number")
     date = F.coalesce(F.date_format("first_seen", "yyyyMMdd"), F.lit("unknown"))
-    return rows.withColumn("_number", number).drop("_h", "_hour", "_before").withColumn(name, F.concat_ws("-", F.lit(prefix), date, F.format_string("%03d", F.col("_number")), F.substring(F.sha2(content, 256), 1, 10))).drop("_number")
+    return rows.drop("_hour").withColumn(name, F.concat_ws("-", F.lit(prefix), date, F.format_string("%03d", F.col("_number")), F.substring(F.sha2(content, 256), 1, 10))).drop("_number")
 
 
 def _greedy_candidates(window_us: int) -> Callable:
@@ -163,12 +153,8 @@ def incidents(scored: DataFrame, minutes: int = INCIDENT_MINUTES) -> DataFrame:
     rows = scored.withColumn("entities", incident_entities(scored)).select(F.col("candidate_id").alias("id"), F.coalesce(F.unix_micros(dated), F.lit(0)).alias("moment"), F.unix_micros(dated).alias("first"), F.unix_micros(F.coalesce("last_seen", "first_seen")).alias("last"), dated.isNotNull().alias("dated"), "entities")
     linked = rows.where("size(entities) > 0")
     comp = entity_components(linked.select("id", F.explode("entities").alias("entity")), "id", "entity")
-    before = Window.partitionBy("component").orderBy("moment", "id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("component").orderBy("moment", "id")
-    joined = linked.join(comp, "id").withColumn("loose", F.max(~F.col("dated")).over(Window.partitionBy("component")))
-    gap = F.when(~F.col("loose") & (F.col("moment") > F.max("last").over(before) + minutes * 60_000_000), 1).otherwise(0)
-    islands = joined.withColumn("gap", gap).withColumn("island", F.sum("gap").over(upto))
-    grouped = islands.select("id", "moment", "first", "last", "dated", "entities", "component", "island").groupBy(_bucket(linked)).applyInPandas(_greedy_candidates(minutes * 60_000_000), "id string, incident string")
+    found = islands(linked.join(comp, "id"), "component", "moment", "last", ~F.col("dated"), minutes * 60_000_000)
+    grouped = found.select("id", "moment", "first", "last", "dated", "entities", "component", "island").groupBy(_bucket(linked)).applyInPandas(_greedy_candidates(minutes * 60_000_000), "id string, incident string")
     grouped = grouped.unionByName(rows.where("size(entities) = 0").select("id", F.col("id").alias("incident")))
     members = scored.join(grouped.withColumnRenamed("id", "candidate_id"), "candidate_id")
     usual = lambda c: F.expr(f"mode() WITHIN GROUP (ORDER BY nullif(trim({c}), ''))")  # noqa: E731  ties: the smallest

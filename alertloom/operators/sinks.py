@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordinal import batched, ranked
+
 TRIAGE_FIELDS = ("target_id", "target_type", "score", "action", "classification", "fp_likelihood", "analysis_source", "model", "prompt_version", "summary")
 INCIDENT_FIELDS = ("id", "candidate_count", "alert_count", "max_score", "primary_host", "primary_user", "first_seen", "last_seen")
 
@@ -39,12 +41,19 @@ def links(rows: DataFrame, parent: str, children: str, child: str) -> DataFrame:
 
 
 def hec_batches(rows: DataFrame, fields: tuple[str, ...], ts: str, order: list[str], per: int = 100, shard: Column | None = None) -> DataFrame:
-    """Envelopes of allowlisted fields (event, sourcetype, time in epoch seconds), numbered in batches of ``per``; with ``shard`` batches are numbered within it, so no task sees all: a hash of the key deals evenly."""
+    """Envelopes of allowlisted fields (event, sourcetype, time in epoch seconds), numbered in batches of ``per`` in ``order``, which must tell rows apart; with ``shard`` batches are numbered within it.
+
+    A shard that holds most rows is no single task: all rows are numbered by (shard, order), and each shard's first number is taken off.
+    """
     have = [F.col(f) for f in fields if f in rows.columns]
     envelope = F.to_json(F.struct(F.struct(*have).alias("event"), F.lit("ai_triage").alias("sourcetype"), (F.unix_micros(ts) / 1_000_000).alias("time")))
-    by = Window.partitionBy(shard) if shard is not None else Window
-    number = F.floor((F.row_number().over(by.orderBy(*order)) - 1) / per)
-    return rows.select(*order, *([shard.alias("shard")] if shard is not None else []), number.cast("bigint").alias("batch"), envelope.alias("envelope"))
+    rows = rows.select(*order, *([shard.alias("shard")] if shard is not None else []), envelope.alias("envelope"))
+    if shard is None:
+        return batched(rows, order, per).select(*order, "batch", "envelope")
+    numbered = ranked(rows, ["shard", *order], "_number")
+    first = numbered.groupBy(F.col("shard").alias("_shard")).agg(F.min("_number").alias("_first"))
+    numbered = numbered.join(first, F.col("shard").eqNullSafe(F.col("_shard")))
+    return numbered.select(*order, "shard", F.floor((F.col("_number") - F.col("_first")) / per).cast("bigint").alias("batch"), "envelope")
 
 
 def incident_events(incidents: DataFrame) -> DataFrame:
