@@ -173,7 +173,21 @@ def cluster_greedy(spark, d):
     return cluster.cluster(a.select("id", "event_ts", F.array(F.concat(F.lit("user:"), "user")).alias("entities")))
 
 
-@register()
+#: The rule as it is stated, a row at a time: it joins the newest group that is near, not full and shares an entity.
+_GREEDY_SQL = """WITH RECURSIVE e AS MATERIALIZED (
+        SELECT 'replay:' || event_id AS id, ts, ['user:' || user_id, 'host:host-' || (event_id % 997)] AS names, row_number() OVER (ORDER BY ts, 'replay:' || event_id) AS k FROM events
+    ), s AS (
+        SELECT 0::BIGINT AS k, NULL::VARCHAR AS id, NULL::VARCHAR AS cluster, []::STRUCT(made BIGINT, n INT, last TIMESTAMP, names VARCHAR[], own VARCHAR)[] AS g
+        UNION ALL
+        SELECT e.k, e.id, coalesce(j.hit.own, e.id),
+               CASE WHEN j.hit IS NULL THEN list_append(j.live, {'made': e.k, 'n': 1, 'last': e.ts, 'names': e.names, 'own': e.id})
+                    ELSE list_transform(j.live, lambda x: CASE WHEN x.made = j.hit.made THEN {'made': x.made, 'n': x.n + 1, 'last': e.ts, 'names': list_distinct(list_concat(x.names, e.names)), 'own': x.own} ELSE x END) END
+        FROM s JOIN e ON e.k = s.k + 1,
+        LATERAL (SELECT live, list_filter(live, lambda x: list_has_any(x.names, e.names))[-1] AS hit FROM (SELECT list_filter(s.g, lambda x: x.n < 50 AND x.last >= e.ts - INTERVAL 30 MINUTE) AS live)) j
+    ) """
+
+
+@register(_GREEDY_SQL + "SELECT id, cluster FROM s WHERE k > 0")
 def cluster_multi_entity(spark, d):
     a = alerts(spark, d)
     host = F.concat(F.lit("host-"), F.col("event_id") % 997)
@@ -433,6 +447,12 @@ def hec_batches(spark, d):
     return out.groupBy("shard", "batch").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"))
 
 
+@register("SELECT batch, count(*) AS events, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 100)::BIGINT AS batch FROM events) GROUP BY batch")
+def hec_batches_unsharded(spark, d):
+    out = sinks.hec_batches(scored(spark, d), sinks.TRIAGE_FIELDS, "event_ts", ["event_ts", "event_id"], 100)
+    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
 @register("SELECT user_id::VARCHAR AS user, 'replay:' || event_id AS id, r::INT AS position, greatest(n - 12, 0)::BIGINT AS further FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, 'replay:' || event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= 12")
 def timeline_head(spark, d):
     return queries.timeline(alerts(spark, d), "user").select("user", "id", "position", "further")
