@@ -2,8 +2,10 @@
 
 import json
 import os
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertloom.streaming import cycle, tail
@@ -57,24 +59,71 @@ def test_first_of_each_key(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
+def all_lines(reader, start):
+    end = reader.latestOffset()
+    return [r[0] for p in reader.partitions(start, end) for r in reader.read(p)], end
+
+
 def test_tail_resumes_and_resets(tmp_path):
     path = str(tmp_path / "log")
+    reader = tail._Reader(path)
+    assert all_lines(reader, reader.initialOffset())[0] == []
+    with open(path, "w") as f:
+        f.write("half of a line")
+    assert all_lines(reader, reader.initialOffset()) == ([], reader.initialOffset())
     with open(path, "w") as f:
         f.write("one\ntwo\nhalf")
-    reader = tail._Reader(path)
-    rows, end = reader.read(reader.initialOffset())
-    assert [r[0] for r in rows] == ["one", "two"]
+    rows, end = all_lines(reader, reader.initialOffset())
+    assert rows == ["one", "two"]
     with open(path, "a") as f:
         f.write(" done\n")
-    rows, end = reader.read(end)
-    assert [r[0] for r in rows] == ["half done"]
+    rows, end = all_lines(reader, end)
+    assert rows == ["half done"]
+    assert all_lines(reader, end) == ([], end)
     with open(path, "r+") as f:
         f.write("ONE")
     assert tail.resume(path, end) == 0
-    os.remove(path)
-    with open(path, "w") as f:
+    assert all_lines(reader, end)[0] == ["ONE", "two", "half done"]
+    end = reader.latestOffset()
+    with open(path, "w") as f:  # shrunk
         f.write("x\n")
-    assert [r[0] for r in reader.read(end)[0]] == ["x"]
+    assert all_lines(reader, end)[0] == ["x"]
+    end = reader.latestOffset()
+    os.rename(path, path + ".1")
+    with open(path, "w") as f:  # rotated
+        f.write("y\nz\n")
+    assert all_lines(reader, end)[0] == ["y", "z"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 1 << 20])
+def test_tail_ranges_hold_each_line_once(tmp_path, size):
+    rng = random.Random(size)
+    want = ["x" * rng.choice((0, 1, 5, 6, 7, 200)) + rng.choice(("", "é", "\r")) for _ in range(300)]
+    path = tmp_path / "log"
+    path.write_bytes("".join(x + "\n" for x in want).encode() + b"rest")
+    reader = tail._Reader(str(path), size)
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert all(p.end - p.start <= size for p in parts)
+    assert [r[0] for p in parts for r in reader.read(p)] == [x.rstrip("\r") for x in want if x.strip()]
+
+
+def test_tail_limits_a_trigger_and_a_restart_goes_on(tmp_path):
+    path, progress = tmp_path / "log", str(tmp_path / "progress")
+    path.write_text("".join(f"{i:09d}\n" for i in range(100)) + "long " * 100 + "\nend\n")
+    at, seen, batches = {"at": 0, "file": "", "head": ""}, [], 0
+    while batches < 50:
+        reader = tail._Reader(str(path), 16, 55, progress)  # restarted before each batch
+        rows, end = all_lines(reader, at)
+        if end == at:
+            break
+        assert len(rows) <= 6
+        seen += rows
+        reader.commit(end)
+        at, batches = end, batches + 1
+    assert seen == [f"{i:09d}" for i in range(100)] + [("long " * 100).rstrip("\n"), "end"] and batches > 15
+    with pytest.raises(ValueError, match="progress"):
+        tail._Reader(str(path), 16, 55)
 
 
 def test_tail_source(spark, tmp_path):
@@ -85,3 +134,22 @@ def test_tail_source(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["v"] for r in spark.table("tailed").collect()) == ["A", "B"]
+
+
+def test_tail_source_reads_ranges_in_tasks(spark, tmp_path):
+    path = tmp_path / "log"
+    path.write_text("".join(f"line {i}\n" for i in range(50_000)))
+    spark.dataSource.register(tail.TailSource)
+
+    def run():
+        source = spark.readStream.format("tail").option("rangeBytes", 20_000).option("bytesPerTrigger", 200_000).option("progress", str(tmp_path / "progress")).load(str(path))
+        query = source.select("value", F.spark_partition_id().alias("part")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()
+        query.stop()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    got = run()
+    assert got.count() == got.select("value").distinct().count() == 50_000 and got.select("part").distinct().count() >= 9
+    with open(path, "a") as f:
+        f.write("more\n")
+    assert run().count() == 50_001
