@@ -8,7 +8,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+
+#: The state store that values with a time to live need; set it where the session is built, or before the query starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_cycles(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, fail_fast: bool = False, failed: list | None = None) -> StreamingQuery:
@@ -101,6 +104,35 @@ def dedup_with_ttl(stream: DataFrame, key: str, hours: int = 24) -> DataFrame:
     return arriving.groupBy(key).applyInPandasWithState(first, stream.schema, "expires bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _FirstOfKey(StatefulProcessor):
+    """Lets a key's first row pass and remembers the key for a time, which begins anew with each row that passes."""
+
+    def __init__(self, life_ms: int) -> None:
+        self.life_ms = life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", "at long", ttlDurationMs=self.life_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        if not self.passed.exists():
+            self.passed.update((timerValues.getCurrentProcessingTimeInMs(),))
+            yield next(iter(rows))
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_continuous(stream: DataFrame, key: str, seconds: float = 24 * 3600) -> DataFrame:
+    """As ``dedup_with_ttl`` for a query that runs on: the state store itself forgets a key, ``seconds`` after the row that passed, also while no rows come.
+
+    It needs the state store of ``STATE_STORE``. With an availableNow trigger such a query does not end by itself, as
+    processing time always makes another batch: use ``dedup_with_ttl`` there.
+    """
+    if stream.sparkSession.conf.get(STATE_STORE[0], "") != STATE_STORE[1]:
+        raise ValueError("set {} to {}".format(*STATE_STORE))
+    return stream.groupBy(key).transformWithState(_FirstOfKey(int(seconds * 1000)), stream.schema, "Append", "ProcessingTime")
+
+
 def dedup_by_event_time(stream: DataFrame, key: str, ts: str = "event_ts", hours: int = 24) -> DataFrame:
     """As above by event time, with Spark's own operator and a watermark."""
     return stream.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark([key])

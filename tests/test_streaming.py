@@ -153,3 +153,41 @@ def test_tail_source_reads_ranges_in_tasks(spark, tmp_path):
     with open(path, "a") as f:
         f.write("more\n")
     assert run().count() == 50_001
+
+
+def test_keys_expire_in_a_query_that_runs_on(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    add = lambda *rows: spark.createDataFrame(list(rows), "k string, v int").coalesce(1).write.mode("append").parquet(folder)
+    add(("a", 1), ("a", 2), ("b", 3))
+    stream = spark.readStream.schema("k string, v int").parquet(folder)
+    with pytest.raises(ValueError, match="providerClass"):
+        cycle.dedup_continuous(stream, "k", 20)
+    spark.conf.set(*cycle.STATE_STORE)
+
+    def start(life):
+        return cycle.dedup_continuous(stream, "k", life).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+
+    def until(query, ok):
+        for _ in range(120):
+            if query.exception() is None and query.lastProgress and ok():
+                return True
+            time.sleep(0.5)
+        return False
+
+    passed = lambda: sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) if (tmp_path / "out" / "_spark_metadata").exists() else []
+    try:
+        query = start(12)
+        assert until(query, lambda: len(passed()) == 2)
+        query.stop()
+        add(("a", 4), ("c", 5))
+        query = start(12)  # the keys are in the checkpoint
+        assert until(query, lambda: [k for k, _ in passed()] == ["a", "b", "c"])
+        # no further rows come, and the keys go
+        assert until(query, lambda: query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0)
+        add(("a", 6))
+        assert until(query, lambda: ("a", 6) in passed())
+        assert [k for k, _ in passed()] == ["a", "a", "b", "c"]
+    finally:
+        for q in spark.streams.active:
+            q.stop()
+        spark.conf.unset(cycle.STATE_STORE[0])
