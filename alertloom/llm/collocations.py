@@ -22,11 +22,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, binary_array, checkpointed, mix64, release, text_blocks, written
+from .common import BLOCK_BYTES, LOWER, U64, binary_array, checkpointed, mix64, release, text_blocks, written
 
 LONGEST, LEAST, SCALE, COVER, TOP = 4, 30, 2_000_000, 80, 2000
 MOST = 1 << 22
-COUNTERS = 1 << 24
+COUNTERS = 1 << 23
 CHUNK = 1 << 16
 FAN = 16
 
@@ -136,7 +136,7 @@ def _langs(batch: pa.RecordBatch, first: int, end: int) -> tuple[np.ndarray, lis
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, word and its count, of each block."""
     for batch in batches:
-        for first, end, data, offsets in text_blocks(batch, limit=1 << 22):
+        for first, end, data, offsets in text_blocks(batch, limit=BLOCK_BYTES):
             lang, names = _langs(batch, first, end)
             words, row, _ = _words(data, offsets)
             if not len(words):
@@ -150,7 +150,7 @@ def _encode(tables: list[Broadcast]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_blocks(batch, limit=1 << 22):
+            for first, end, data, offsets in text_blocks(batch, limit=BLOCK_BYTES):
                 lang, names = _langs(batch, first, end)
                 words, row, starts_piece = _words(data, offsets)
                 if not len(words):
@@ -212,6 +212,7 @@ def _counters(lower: list[Slots], least: int, size: int) -> Callable:
         counts = np.zeros(size, dtype=np.int32)
         for keys in _streams(batches, lower, least):
             np.add.at(counts, (mix64(keys) & U64(size - 1)).astype(np.int64), np.int32(1))
+        pa.default_memory_pool().release_unused()
         yield from _chunks(counts)
 
     return run
@@ -228,10 +229,10 @@ def _candidates(lower: list[Slots], least: int, heavy: Broadcast) -> Callable:
             keys = np.unique(keys[(heavy.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1])
             held.append(keys)
             n += len(keys)
-            if n > 1 << 21:
+            if n > 1 << 20:
                 held = [np.unique(np.concatenate(held))]
                 n = len(held[0])
-                if n > 1 << 20:
+                if n > 1 << 19:
                     yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64), pa.int64())], ["key"])
                     held, n = [], 0
         if n:
