@@ -13,7 +13,9 @@ several hashes, which are counted one after another.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,19 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 9]] = True
 
 
+def _lean(run: Callable) -> Callable:
+    """A mapper that gives freed memory back after each task: workers are reused, and what they hold is their executor's."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 class PerfectHash:
     """A minimal perfect hash of different 64-bit keys with the keys by slot, and a count for each slot.
 
@@ -212,7 +227,6 @@ def _counters(lower: list[Slots], least: int, size: int) -> Callable:
         counts = np.zeros(size, dtype=np.int32)
         for keys in _streams(batches, lower, least):
             np.add.at(counts, (mix64(keys) & U64(size - 1)).astype(np.int64), np.int32(1))
-        pa.default_memory_pool().release_unused()
         yield from _chunks(counts)
 
     return run
@@ -292,9 +306,9 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
     """The counted candidates of the next level."""
     session = streams.sparkSession
     mappers = streams.rdd.getNumPartitions()
-    bits = tree_sum(streams.mapInArrow(_counters(lower, least, counters), "part int, chunk int, counts binary"), mappers, least)
+    bits = tree_sum(streams.mapInArrow(_lean(_counters(lower, least, counters)), "part int, chunk int, counts binary"), mappers, least)
     heavy = session.sparkContext.broadcast(_collected(bits, np.zeros(counters // 8, dtype=np.uint8), CHUNK // 8))
-    found = checkpointed(streams.mapInArrow(_candidates(lower, least, heavy), "key long").distinct())
+    found = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy)), "key long").distinct())
     heavy.destroy()
     n = found.count()
     groups = max(1, -(-n // most))
@@ -304,7 +318,7 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
         mine = found if groups == 1 else found.mapInArrow(_dealt(deal, i), "key long")
         hashed = PerfectHash(np.sort(_keys(mine)))
         own = session.sparkContext.broadcast(hashed)
-        counted = streams.mapInArrow(_slot_counts(lower, least, own, deal, i), "part int, chunk int, counts binary")
+        counted = streams.mapInArrow(_lean(_slot_counts(lower, least, own, deal, i)), "part int, chunk int, counts binary")
         counts = _collected(tree_sum(counted, mappers), hashed.counts, CHUNK)
         own.destroy()
         often = counts >= least
@@ -427,14 +441,14 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: i
     """
     session = docs.sparkSession
     docs = docs.select(F.col("text"), F.col("lang").cast("string"))
-    counted = docs.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    counted = docs.mapInArrow(_lean(_count_words), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     counted = written(counted)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     tokens = counted.where(F.col("f") >= least).agg(F.sum("f")).first()[0] or 0
     counters = min(counters, max(CHUNK, 1 << int(tokens // 8).bit_length()))
     tables = _word_tables(session, counted.where(F.col("f") >= least), most)
     known = [session.sparkContext.broadcast({k: v[:2] for k, v in t.value.items()}) for t in tables]
-    streams = written(docs.mapInArrow(_encode(known), "ids binary"))
+    streams = written(docs.mapInArrow(_lean(_encode(known)), "ids binary"))
     for table in known:
         table.destroy()
     levels: list[Slots] = []
