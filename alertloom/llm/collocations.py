@@ -28,7 +28,7 @@ from .common import BLOCK_BYTES, LOWER, U64, binary_array, checkpointed, mix64,
 
 LONGEST, LEAST, SCALE, COVER, TOP = 4, 30, 2_000_000, 80, 2000
 MOST = 1 << 22
-COUNTERS = 1 << 23
+COUNTERS = 1 << 24
 CHUNK = 1 << 16
 FAN = 16
 
