@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import cluster as clustering
 from . import triage
+from .graph import persisted
 
 
 def _own(case: Column, value: Column) -> Column:
@@ -31,7 +32,7 @@ def case_scores(alerts: DataFrame, enrich: Callable[[DataFrame], DataFrame] | No
     alone = triage.score_alerts(single, added(single)).select("case_id", "score", "action", F.lit(1).cast("bigint").alias("candidates_scored"))
     # an entity of another case is another entity
     apart = several.withColumn("entities", F.transform(clustering.entities(several), lambda e: F.concat(F.col("case_id"), F.lit("\x1f"), e)))
-    clusters = clustering.persisted(clustering.cluster(apart, minutes, cap))
+    clusters = persisted(clustering.cluster(apart, minutes, cap))
     candidates = clustering.candidates(apart, clusters)
     extra = None
     if enrich is not None:
