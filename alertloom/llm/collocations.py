@@ -212,14 +212,23 @@ def _streams(batches: Iterator[pa.RecordBatch], lower: list[Slots], least: int)
             yield _phrases(np.frombuffer(x.as_buffer(), dtype="<i4"), lower, least)
 
 
-def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A mapper's array in chunks, with the mapper's number; chunks of zeros are left out."""
+def _saturated(least: int | None) -> str:
+    """The type of counts in chunks: a byte will do for counts that end at ``least``, as a sum reaches it or not all the same."""
+    return "<i8" if least is None or least > 255 else "u1"
+
+
+def _ended(counts: np.ndarray, least: int | None) -> np.ndarray:
+    return counts if least is None else np.minimum(counts, least)
+
+
+def _chunks(counts: np.ndarray, least: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A mapper's array in chunks, with the mapper's number; chunks of zeros are left out. With ``least`` counts end there."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     for i in range(0, len(counts), CHUNK):
         if counts[i : i + CHUNK].any():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i // CHUNK], pa.int32()), pa.array([counts[i : i + CHUNK].astype("<i8").tobytes()], pa.binary())], ["part", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i // CHUNK], pa.int32()), pa.array([_ended(counts[i : i + CHUNK], least).astype(_saturated(least)).tobytes()], pa.binary())], ["part", "chunk", "counts"])
 
 
 def _counters(lower: list[Slots], least: int, size: int) -> Callable:
@@ -227,7 +236,7 @@ def _counters(lower: list[Slots], least: int, size: int) -> Callable:
         counts = np.zeros(size, dtype=np.int32)
         for keys in _streams(batches, lower, least):
             np.add.at(counts, (mix64(keys) & U64(size - 1)).astype(np.int64), np.int32(1))
-        yield from _chunks(counts)
+        yield from _chunks(counts, least)
 
     return run
 
@@ -267,25 +276,25 @@ def _slot_counts(lower: list[Slots], least: int, own: Broadcast, deal: Callable[
     return run
 
 
-def _sum(least: int | None = None) -> Callable:
-    """The sum of a group's chunks; with ``least`` the bits of the sums that reach it."""
+def _sum(least: int | None, last: bool) -> Callable:
+    """The sum of a group's chunks; with ``least`` it ends there, and the ``last`` sum becomes the bits of those that reach it."""
+    kind = _saturated(least)
 
     def run(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), dtype="<i8") for x in table.column("counts")], axis=0)
-        if least is not None:
-            total = np.packbits(total >= least, bitorder="little")
+        total = np.sum([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column("counts")], axis=0, dtype=np.int64)
+        total = _ended(total, least).astype(kind) if least is None or not last else np.packbits(total >= least, bitorder="little")
         return pa.table({"part": table.column("part").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     return run
 
 
 def tree_sum(chunks: DataFrame, mappers: int, least: int | None = None) -> DataFrame:
-    """The sums of the mappers' chunks, or the bits of those that reach ``least``: FAN mappers' chunks at a time meet in a group, until one is left of each chunk."""
+    """The sums of the mappers' chunks, or the bits of those that reach ``least`` (chunks of counts that end there): FAN mappers' chunks at a time meet in a group, until one is left of each chunk."""
     last = False
     while not last:
         last = mappers <= FAN
         up = chunks.select(F.floor(F.col("part") / FAN).cast("int").alias("part"), "chunk", "counts")
-        chunks = up.groupBy("part", "chunk").applyInArrow(_sum(least if last else None), "part int, chunk int, counts binary")
+        chunks = up.groupBy("part", "chunk").applyInArrow(_sum(least, last), "part int, chunk int, counts binary")
         mappers = -(-mappers // FAN)
     return chunks
 
