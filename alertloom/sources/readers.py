@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.canonical import canonical_items, content_id
 
 #: Names of sources, markers of them, and what a packet's detail may start with.
 SOURCE_ALIASES = {"wazuh": "wazuh", "security_onion": "security_onion", "security-onion": "security_onion", "so": "security_onion", "openbsd_pf": "openbsd_pf", "openbsd-pf": "openbsd_pf", "pf": "openbsd_pf", "splunk": "splunk", "replay": "replay", "unknown": "unknown"}
@@ -31,11 +32,16 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
 
 
-def _items(df: DataFrame, text: str, envelopes: tuple[str, ...]) -> DataFrame:
-    """One row an item of a JSON document: of the list, of the list under the first envelope that it has, or the document."""
+def _items(df: DataFrame, text: str, envelopes: tuple[str, ...], beside: Column | None = None) -> DataFrame:
+    """One row an item of a JSON document: of the list, of the list under the first envelope that it has, or the document; ``beside`` is an array with a value for each item."""
     doc = df.withColumn("doc", F.try_parse_json(text))
     lists = [F.try_variant_get("doc", e, "array<variant>") for e in ("$", *envelopes)]
-    return doc.withColumn("items", F.coalesce(*lists, F.array("doc"))).select("*", F.posexplode("items").alias("pos", "item")).drop("items", "doc")
+    doc = doc.withColumn("items", F.coalesce(*lists, F.array("doc")))
+    if beside is None:
+        return doc.select("*", F.posexplode("items").alias("pos", "item")).drop("items", "doc")
+    # zipped before the explode, which would else copy the array to every item
+    both = F.zip_with("items", F.coalesce(beside, F.array().cast("array<string>")), lambda i, b: F.struct(i.alias("item"), b.alias("beside")))
+    return doc.withColumn("items", both).select("*", F.posexplode("items").alias("pos", "both")).select("*", "both.item", "both.beside").drop("items", "doc", "both")
 
 
 def replay(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -98,16 +104,25 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hits(df: DataFrame, text: str, prefix: str, source: str) -> DataFrame:
-    """Raw events of search responses {"hits": {"hits": [{"_source": {...}}]}}, or of {"events"}, {"data": {"events"}}; unusable hits are counted by ``usable``."""
-    rows = _items(df, text, ("$.hits.hits", "$.data.events", "$.events"))
+    """Raw events of search responses {"hits": {"hits": [{"_source": {...}}]}}, or of {"events"}, {"data": {"events"}}; unusable hits are counted by ``usable`` (see ``hit_counts``).
+
+    A hit without an id of its own gets the hash of its canonical JSON text, as written in the document.
+    """
+    envelopes = ("$.hits.hits", "$.data.events", "$.events")
+    rows = _items(df, text, envelopes, canonical_items(F.col(text), envelopes, "_source"))
     wrapped = F.try_variant_get("item", "$._source", "variant")
     payload = F.coalesce(wrapped, F.col("item"))
-    rows = rows.withColumn("payload", payload).withColumn("usable", F.schema_of_variant("payload").startswith("OBJECT"))
+    rows = rows.withColumn("payload", payload).withColumn("usable", F.coalesce(F.schema_of_variant("payload").startswith("OBJECT"), F.lit(False)))
     json = F.to_json("payload")
-    ids = F.coalesce(F.nullif(F.trim(F.try_variant_get("item", "$._id", "string")), F.lit("")), *(paths.first_string(F.col("payload"), [k]) for k in ("event.id", "id", "log.id.uid", "uid")), F.concat(F.lit(f"{prefix}-"), content_hash(json)))
+    ids = F.coalesce(F.nullif(F.trim(F.try_variant_get("item", "$._id", "string")), F.lit("")), *(paths.first_string(F.col("payload"), [k]) for k in ("event.id", "id", "log.id.uid", "uid")), content_id(prefix, F.col("beside")))
     return rows.select(F.when(F.col("usable"), ids).alias("id"), F.lit(source).alias("source"), paths.first_timestamp(F.col("payload"), ["@timestamp", "timestamp"], F.lit(None).cast("timestamp")).alias("event_ts"), "payload", json.alias("payload_json"), "usable")
 
 
+def hit_counts(rows: DataFrame) -> DataFrame:
+    """How many hits are usable and how many are not."""
+    return rows.groupBy("usable").agg(F.count(F.lit(1)).alias("n"))
+
+
 def wazuh_indexer(spark: SparkSession, path: str, now: datetime, lookback_minutes: int, least_level: int = 0, limit: int | None = 100) -> DataFrame:
     """Raw events of saved indexer responses; the floor and the lookback are applied again here, whatever the server did."""
     rows = hits(_whole_files(spark, path), "text", "wazuh-indexer", "wazuh").where("usable")
