@@ -5,18 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and cut from its lineage; without spark.checkpoint.dir a temporary folder in local mode, else an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; without spark.checkpoint.dir a temporary folder in local mode, else an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="alertloom-"))
+    return context.getCheckpointDir()
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

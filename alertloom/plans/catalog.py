@@ -7,6 +7,7 @@ give expected bands, nations and suppliers an asset inventory, orders and line i
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ioc, net, paths, scoring, severity
 from ..operators import cluster, dedup, evaluate, normalize, queries, review, sinks, triage
+from ..operators.graph import shared_folder
 from ..sources import readers
+from ..streaming.store import KeyedStore
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -469,6 +472,16 @@ def latest_version(spark, d):
     return sinks.latest(log, "user_id")
 
 
+@register("SELECT user_id, event_id AS last_event, event_type AS last_type, value AS last_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hour(ts) // 8 DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def keyed_store(spark, d):
+    """The events of each third of the day as a batch of the keyed store, the second batch twice: a later batch stands for an earlier one, a replay changes nothing."""
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("last_event"), F.col("event_type").alias("last_type"), F.col("value").alias("last_value"), F.floor(F.hour("ts") / 8).alias("third"))
+    store = KeyedStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "user_id", e.drop("third").schema, buckets=16)
+    for batch in (0, 1, 1, 2):
+        store.apply(e.where(F.col("third") == batch).drop("third"), batch, sequence=F.col("last_event"))
+    return store.read()
+
+
 @register("SELECT c_custkey, coalesce(o, 0)::BIGINT AS orders, c_mktsegment AS segment FROM (SELECT c_custkey, c_mktsegment FROM customer) LEFT JOIN (SELECT o_custkey, count(*) AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def selective_upsert(spark, d):
     old = table(spark, d, "customer").select("c_custkey", F.lit(0).cast("bigint").alias("orders"), F.col("c_mktsegment").alias("segment"))
