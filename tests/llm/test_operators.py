@@ -343,7 +343,7 @@ def test_language_model(table):
         w = tokens[r["doc_id"]]
         base = sum(math.log10((learned[x] + 1) / (total + distinct + 1)) for x in w)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2, len(w), sum(x in learned for x in w), total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] < 0 and r["attention_score"] < 0
+        assert r["base_score"] == pytest.approx(base) and r["score"] < 0 and r["mixed_score"] < 0
 
 
 @pytest.mark.parametrize("rounds", [1, 2])
