@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ioc, net, paths, scoring, severity
-from ..operators import cluster, dedup, evaluate, normalize, queries, review, sinks, triage
+from ..operators import cluster, dedup, evaluate, lifecycle, normalize, queries, review, sinks, triage
 from ..operators.graph import shared_folder
 from ..sources import readers
 from ..streaming.store import KeyedStore
@@ -622,3 +622,16 @@ def firewall_lines(spark, d):
     rows = readers.pf_lines(table(spark, d, "events").select(F.when(F.col("event_type") == "signup", "no such line").otherwise(line).alias("value")), 2024, "fw")
     read = lambda p, kind: F.try_variant_get("payload", f"$.{p}", kind).alias(p)
     return rows.select("event_ts", read("action", "string"), read("rule_number", "string"), read("src_ip", "string"), read("src_port", "int"), read("dst_ip", "string"), read("dst_port", "int"), read("protocol", "string"))
+
+
+_STEP_NAMES = (*lifecycle.ACTS, "suggested", "approved", "denied", "nonsense")
+_LEGAL = ", ".join(f"'{a}>{s}'" for a, s in lifecycle.STEPS)
+
+
+@register(f"""WITH e AS (SELECT user_id, list([{", ".join(f"'{s}'" for s in _STEP_NAMES)}][event_id % 8 + 1] ORDER BY ts, event_id) AS steps FROM events GROUP BY 1),
+    f AS (SELECT user_id, len(steps) AS n, list_reduce(list_prepend('none|0', steps), lambda s, x: CASE WHEN list_contains([{_LEGAL}], split_part(s, '|', 1) || '>' || x) THEN CASE x WHEN 'rollback_failed' THEN 'executed' ELSE x END || '|' || (split_part(s, '|', 2)::INT + 1) ELSE s END) AS folded FROM e)
+    SELECT user_id::VARCHAR AS proposal_id, split_part(folded, '|', 1) AS status, split_part(folded, '|', 2)::BIGINT AS taken, n - split_part(folded, '|', 2)::BIGINT AS refused FROM f""")
+def response_lifecycle(spark, d):
+    step = F.array(*map(F.lit, _STEP_NAMES))[(F.col("event_id") % 8).cast("int")]
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("proposal_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), step.alias("step"))
+    return lifecycle.current(lifecycle.stepped(log))
