@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from ..functions import paths, severity
 
@@ -113,8 +114,87 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
-def context(alerts: DataFrame, longest: int = 512) -> DataFrame:
-    """The allowlisted columns of alerts for a reader outside, long texts cut and marked; the payload never leaves."""
-    text = ("rule_name", "hostname", "user", "process_name", "command_line")
-    cut = lambda c: F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit("...[truncated]"))).otherwise(F.col(c))
-    return alerts.select("id", "source", "event_ts", "severity", "rule_groups", "src_ip", "dst_ip", *(cut(c).alias(c) for c in text))
+#: What a reader outside may see of alerts, of their payloads, of candidates and of enrichments.
+ALERT_FIELDS = ("id", "source", "event_ts", "severity", "source_severity", "rule_name", "rule_groups", "src_ip", "dst_ip", "hostname", "agent_id", "agent_os", "user", "process_name", "command_line", "logon_type", "fired_times", "bytes_transferred")
+RAW_FIELDS = ("full_log",)
+CANDIDATE_FIELDS = ("first_seen", "last_seen", "primary_host", "primary_user", "src_ips", "dst_ips", "asset_context")
+ENRICHMENT_FIELDS = ("indicator", "indicator_type", "provider", "summary", "looked_up_at")
+TRUNCATED = "...[truncated]"
+
+
+def _shown(rows: DataFrame, names: tuple[str, ...], longest: int) -> list[Column]:
+    """The named columns that ``rows`` has, long texts cut and marked, in lists and structs as well; a column that it lacks is a null text."""
+    def cut(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType):
+            return F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit(TRUNCATED))).otherwise(c)
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: cut(x, kind.elementType))
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*(cut(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        return c
+
+    return [(cut(F.col(f"`{n}`"), rows.schema[n].dataType) if n in rows.columns else F.lit(None).cast("string")).alias(n) for n in names]
+
+
+def context(alerts: DataFrame, longest: int = 512, *also: str) -> DataFrame:
+    """The allowlisted columns of alerts for a reader outside, and ``raw_excerpt`` of the payload's allowlisted fields (null without any).
+
+    Texts over ``longest`` characters are cut and marked. Nothing else of the payload leaves. Columns named in ``also`` stay as they are.
+    """
+    field = lambda n: F.nullif(F.coalesce(F.try_variant_get("payload", f"$.{n}", "string"), F.lit("")), F.lit(""))
+    cut = lambda c: F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit(TRUNCATED))).otherwise(c)
+    held = F.coalesce(*(field(n) for n in RAW_FIELDS)).isNotNull()
+    excerpt = F.when(held, F.struct(*(cut(field(n)).alias(n) for n in RAW_FIELDS)))
+    return alerts.select(*also, *_shown(alerts, ALERT_FIELDS, longest), excerpt.alias("raw_excerpt"))
+
+
+def enrichment_context(enrichments: DataFrame, longest: int = 512, *also: str) -> DataFrame:
+    """The allowlisted columns of enrichments; a provider's raw answer never leaves."""
+    return enrichments.select(*also, *_shown(enrichments, ENRICHMENT_FIELDS, longest))
+
+
+def candidate_context(candidates: DataFrame, members: DataFrame, longest: int = 512, most: int = 20) -> DataFrame:
+    """The allowlisted columns of candidates with ``alert_count``, ``alerts_truncated`` and ``alerts``, the contexts of the first ``most`` members.
+
+    ``members`` are alerts with a candidate_id, first by (event_ts, id), nulls last. The bound is the feature: Spark keeps ``most`` rows of a
+    candidate in each task before they are shuffled, and counts are summed before the shuffle, so no candidate is collected as a whole.
+    """
+    # one payload field is all that a context needs of it, so it is read before rows are sorted
+    shown = context(members.where("candidate_id is not null"), longest, "candidate_id")
+    own = candidates.select("candidate_id", *_shown(candidates, CANDIDATE_FIELDS, longest))
+    return _with_first(own, shown, "candidate_id", "alert", ("event_ts", "id"), most)
+
+
+#: What a report's writer may see of incidents, triage results and routing decisions.
+INCIDENT_FIELDS = ("first_seen", "last_seen", "primary_host", "primary_user", "src_ips", "dst_ips", "max_score", "asset_context", "candidate_ids")
+TRIAGE_FIELDS = ("id", "target_id", "target_type", "score", "fp_likelihood", "classification", "action", "summary", "analysis_source", "model", "prompt_version")
+ROUTING_FIELDS = ("id", "target_id", "action", "status", "destination", "message")
+
+
+def triage_context(triage: DataFrame, longest: int = 512, *also: str) -> DataFrame:
+    return triage.select(*also, *_shown(triage, TRIAGE_FIELDS, longest))
+
+
+def routing_context(routed: DataFrame, longest: int = 512, *also: str) -> DataFrame:
+    return routed.select(*also, *_shown(routed, ROUTING_FIELDS, longest))
+
+
+def incident_context(incidents: DataFrame, candidates: DataFrame, longest: int = 512, most: int = 20) -> DataFrame:
+    """The allowlisted columns of incidents (incident_id) with ``candidate_count``, ``candidates_truncated`` and ``candidates``: the first ``most`` contexts.
+
+    ``candidates`` are rows of ``candidate_context`` with an incident_id, first by (first_seen, candidate_id), nulls last.
+    """
+    own = incidents.select("incident_id", *_shown(incidents, INCIDENT_FIELDS, longest))
+    return _with_first(own, candidates.where("incident_id is not null"), "incident_id", "candidate", ("first_seen", "candidate_id"), most)
+
+
+def _with_first(own: DataFrame, rows: DataFrame, key: str, name: str, order: tuple[str, ...], most: int) -> DataFrame:
+    """``own`` with the count of its ``rows`` by ``key``, whether they are more than ``most``, and a list of the first ``most`` in ``order``."""
+    first = Window.partitionBy(key).orderBy(*(F.asc_nulls_last(c) for c in order))
+    names = [c for c in rows.columns if c != key]
+    bounded = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    listed = bounded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*names).alias("v")))).alias("_a")).select(key, F.transform("_a", lambda x: x.v).alias("_list"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_count"))
+    out = own.join(counts, key, "left").join(listed, key, "left")
+    count = F.coalesce("_count", F.lit(0))
+    return out.select(*own.columns, count.alias(f"{name}_count"), (count > most).alias(f"{name}s_truncated"), F.coalesce("_list", F.array().cast(listed.schema["_list"].dataType)).alias(f"{name}s"))

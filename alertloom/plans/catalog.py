@@ -635,3 +635,11 @@ def response_lifecycle(spark, d):
     step = F.array(*map(F.lit, _STEP_NAMES))[(F.col("event_id") % 8).cast("int")]
     log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("proposal_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), step.alias("step"))
     return lifecycle.current(lifecycle.stepped(log))
+
+
+@register("""WITH a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, 'replay:' || event_id) AS k FROM events)
+    SELECT user_id::VARCHAR AS candidate_id, count(*) AS alert_count, count(*) > 20 AS alerts_truncated, string_agg(event_type, ',' ORDER BY k) FILTER (WHERE k <= 20) AS shown FROM a GROUP BY 1""")
+def candidate_contexts(spark, d):
+    rows = alerts(spark, d).withColumn("candidate_id", F.col("user")).withColumn("payload", F.parse_json("payload_json"))
+    out = normalize.candidate_context(rows.select("candidate_id").distinct(), rows)
+    return out.select("candidate_id", "alert_count", "alerts_truncated", F.array_join(F.transform("alerts", lambda a: a.rule_name), ",").alias("shown"))
