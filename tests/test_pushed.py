@@ -49,6 +49,9 @@ def test_plan_and_over_returning(spark, folder, capsys):
     rows.explain("formatted")
     plan = capsys.readouterr().out
     assert "Filter" in plan and "level" in plan.split("Filter", 1)[1]
+    assert len(rows.collect()) == 3 * 6
+    scan = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() == 3 * 6  # of 3 * 13: the filter reached the source
     # the source by itself: what it returns before Spark's own filter
     reader = pushed.SavedResponsesReader(folder, True)
     assert len(list(reader.pushFilters([GreaterThanOrEqual(("level",), 5)]))) == 1
