@@ -19,8 +19,9 @@ measured: 1.2 to 1.4 signatures a shingle in place of 1.1, and half as many sets
    share as many as a link implies, or most of all, are verified on the whole sets: a few pairs a member however large its group.
 4. ``_shared_of``, ``_prefix``, ``_cross_pairs``: what may still link two components. Buckets are ordered by how many components
    they hold; sets that must share t of their signatures share one among all but the t - 1 last in that order, so very
-   common buckets are not expanded. Pairs there of different components are verified. So every link between different texts
-   is used or implied by others.
+   common buckets are not expanded. A pair that shares many such signatures meets in many parts: every set carries its LEADERS
+   (the least of its prefix by hash), and a pair with common leaders is made at the first of them only, where both sets are. Pairs
+   there of different components are verified. So every link between different texts is used or implied by others.
 """
 
 from __future__ import annotations
@@ -40,11 +41,14 @@ WORDS = 5
 NODE_BITS = 36
 #: Hubs of a bucket, and pairs that a member tries however few signatures they share.
 HUBS, BEST = 4, 3
+#: Signatures of its prefix that a set carries along, so that a pair is made at one of them.
+LEADERS = 8
 #: Bits of a set's bitmap.
 BITMAP = 512
 #: About so many bytes of signatures or sets make one part.
 PART_BYTES = 32 << 20
 _NODE = U64((1 << NODE_BITS) - 1)
+_NONE = U64((1 << 64) - 1)
 
 
 def _bands(longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,9 +235,9 @@ def _as_frame(rows: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame(rows).astype({"part": "int32"})
 
 
-def _unpacked(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(rows: pd.DataFrame, width: int, wide: int = _WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(heads, index of each value's head, values) of a part."""
-    heads = np.frombuffer(b"".join(rows["heads"]), U64).reshape(-1, _WIDE)
+    heads = np.frombuffer(b"".join(rows["heads"]), U64).reshape(-1, wide)
     counts = np.frombuffer(b"".join(rows["counts"]), np.uint32)
     return heads, np.repeat(np.arange(len(heads)), counts), np.frombuffer(b"".join(rows["values"]), U64).reshape(-1, width)
 
@@ -349,29 +353,60 @@ def _shared_of(parts: int):
 
 
 def _prefix(parts: int):
-    """Of each set's shared signatures all but the last (needed - 1), the fewest components first; packed by signature."""
+    """Of each set's shared signatures all but the last (needed - 1), the fewest components first; packed by signature, heads with their leaders."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         heads, who, values = _unpacked(rows, 2)
-        owner = np.unique(np.stack([heads[:, _KEY], heads[:, _META]], 1), axis=0, return_inverse=True)[1].ravel() if len(heads) else np.zeros(0, np.int64)
-        of = owner[who]
+        if not len(heads):
+            return _as_frame(_packed(values[:, 0], parts, heads, who, values[:, :1]))
+        _, first, owner = np.unique(heads[:, [_KEY, _META]], axis=0, return_index=True, return_inverse=True)
+        heads, of = heads[first], owner.ravel()[who]  # a set's heads from several parts are one
         order = np.lexsort((values[:, 0], values[:, 1], of))
-        who, of, sig = who[order], of[order], values[order, 0]
-        shared = np.bincount(of, minlength=1)
+        of, sig = of[order], values[order, 0]
+        shared = np.bincount(of, minlength=len(heads))
         begin = np.concatenate([[0], np.cumsum(shared)])[of]
-        keep = np.arange(len(of)) - begin < shared[of] - _need(heads)[who] + 1
-        who, sig = who[keep], sig[keep]
-        order = np.argsort(who, kind="stable")
-        return _as_frame(_packed(sig[order], parts, heads, who[order], sig[order][:, None]))
+        keep = np.arange(len(of)) - begin < shared[of] - _need(heads)[of] + 1
+        of, sig = of[keep], sig[keep]
+        return _as_frame(_packed(sig, parts, np.concatenate([heads, _leaders(of, sig, len(heads))], axis=1), of, sig[:, None]))
 
     return run
 
 
+def _leaders(of: np.ndarray, sig: np.ndarray, n: int) -> np.ndarray:
+    """The LEADERS least hashes of the signatures of each of n sets, in order; where it has fewer, _NONE."""
+    mixed = mix64(sig)
+    order = np.lexsort((mixed, of))
+    of, mixed = of[order], mixed[order]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    out = np.full((n, LEADERS), _NONE)
+    out[of[rank < LEADERS], rank[rank < LEADERS]] = mixed[rank < LEADERS]
+    return out
+
+
+def _made_here(heads: np.ndarray, i: np.ndarray, j: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Whether the bucket of ``sig`` is where the pair (i, j) of heads is made: the first leader that both have, or any bucket if they have none in common."""
+    a, b = heads[i, _WIDE:], heads[j, _WIDE:]
+    first = np.full(len(i), _NONE)
+    for c in range(LEADERS):
+        first = np.minimum(first, np.where((a == b[:, c : c + 1]).any(axis=1), b[:, c], _NONE))
+    return (first == _NONE) | (first == mix64(sig))
+
+
+def _upper(heads: np.ndarray) -> np.ndarray:
+    """Whether a head stands for its set in the instance of its own band (role 0)."""
+    band = np.searchsorted(LOW, _size(heads), side="right") - 1
+    return (heads[:, _META] & U64(1)).astype(np.int64) == band & 1
+
+
 def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each bucket, pairs of members of different components whose sizes allow a link; buckets are taken in passes of bounded pairs."""
-    heads, who, values = _unpacked(rows, 1)
+    """Of each bucket, pairs of members of different components that sizes and bitmaps allow to link and that are made there; buckets are taken in passes of bounded pairs.
+
+    Two sets of one band meet in two instances; the one of their own band has every pair that links.
+    """
+    heads, who, values = _unpacked(rows, 1, _WIDE + LEADERS)
     names, name = np.unique(heads[:, _KEY], return_inverse=True)
-    who, edges, _ = _buckets(heads, who, values[:, 0], _KEY)
+    who, edges, sig = _buckets(heads, who, values[:, 0], _KEY)
+    sig, upper = np.repeat(sig, np.diff(edges)), _upper(heads)
     after = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(who)) - 1  # later members of the own bucket
     upto = np.concatenate([[0], np.cumsum(after)])
     codes, at = np.zeros(0, np.int64), 0
@@ -380,8 +415,11 @@ def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         n = after[at:end]
         i = np.repeat(np.arange(at, end), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        own = sig[i]
         i, j = who[i], who[j]
-        ok = _may_link(heads, i, j)
+        some = np.flatnonzero(upper[i] | upper[j])
+        some = some[_may_link(heads, i[some], j[some])]
+        ok = some[_made_here(heads, i[some], j[some], own[some])]
         a, b = name[i[ok]], name[j[ok]]
         codes = np.unique(np.concatenate([codes, np.minimum(a, b) * len(names) + np.maximum(a, b)]))
         at = end

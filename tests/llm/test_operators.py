@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,3 +514,25 @@ def test_closed_words_share_one():
         u = np.maximum(attention_lm.hidden(p, np.array([[attention_lm.START, *ids[:at], *[0] * (attention_lm.WINDOW - at - 1)]]), np.array([[attention_lm.START, attention_lm.START, *ids][k] if k <= at else 0 for k in range(attention_lm.WINDOW)])[None], None)[0][0, at], 0)
         every = np.exp(attention_lm.log_probs(p, np.repeat(u[None], attention_lm.IDS, axis=0), np.arange(attention_lm.IDS))[0])
         assert every.sum() == pytest.approx(1, abs=1e-4) and np.log(every[: attention_lm.OPENING * attention_lm.MEMBERS].sum()) == pytest.approx(opens[at], abs=1e-3)
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_cross_pairs_are_made_once(parts):
+    """Sets that share much and hardly link meet in most parts; a pair is made in few of them, and none that links is lost."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, (3, 700), np.uint64)
+    sets = [np.unique(np.concatenate([pool[f][: 400 + 40 * f], rng.choice(pool[f][400 + 40 * f :], rng.integers(40, 200), replace=False), rng.integers(0, 1 << 64, rng.integers(0, 120), np.uint64)])) for f in (0, 1, 2) for _ in range(14)]
+    keys = jaccard_join.set_keys(sets)
+    frame = lambda batch: batch.to_pandas().astype({"part": "int32"})
+
+    def grouped(run, rows):
+        return pd.concat([run(g) for _, g in rows.groupby("part")], ignore_index=True)
+
+    rows = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(keys.view(np.int64)), pa.array(np.ones(len(sets), np.int64))], ["key", "hashes", "comp", "shared"])
+    sent = pd.concat([frame(b) for b in jaccard_join._labelled(parts)(iter([rows]))], ignore_index=True)
+    made = grouped(jaccard_join._cross_pairs, grouped(jaccard_join._prefix(parts), grouped(jaccard_join._shared_of(parts), sent)))
+    pairs = set(map(tuple, made[["a", "b"]].to_numpy().tolist()))
+    name = keys.view(np.int64).tolist()
+    links = [(name[a], name[b]) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+    assert links and all((a, b) in pairs or (b, a) in pairs for a, b in links)
+    assert len(made) <= 4 * len(pairs)
