@@ -3,7 +3,8 @@
 Texts are split into pieces and words, and words that are frequent enough become integers; the streams of integers are
 written once. Phrases grow by one word a level. A phrase is a candidate of a level if both its parts of one word less are
 frequent and if the counter that its hash shares with others reaches the threshold (neither test ever loses a frequent
-phrase). A minimal perfect hash gives each candidate a slot, where its key is stored; a mapper finds the slots of all phrases of its
+phrase). Each heavy counter has an owner, one of the mappers that met it: owners hand on their counters' keys, and a further pass
+the keys that no owner had, so a frequent phrase is not handed on by every mapper that meets it. A minimal perfect hash gives each candidate a slot, where its key is stored; a mapper finds the slots of all phrases of its
 streams, drops those whose stored key differs, counts them by ``bincount`` into one array, and the arrays of all mappers are
 summed by a tree of small groups. Counts of the parts of a cut are read by slot.
 
@@ -241,15 +242,53 @@ def _counters(lower: list[Slots], least: int, size: int) -> Callable:
     return run
 
 
-def _candidates(lower: list[Slots], least: int, heavy: Broadcast) -> Callable:
-    """The different keys of each mapper's phrases whose counter is heavy; sets are merged while they are small and handed on when not."""
+def _turns(part: int | np.ndarray, places: np.ndarray, mappers: int) -> np.ndarray:
+    """The turn of a mapper at each counter: of those that met a counter the one with the least turn owns it, and turns rotate."""
+    return ((part + places) % mappers).astype(np.int32)
+
+
+class Heavy:
+    """The bits of the heavy counters, and the turn of each one's owner."""
+
+    def __init__(self, sums: DataFrame, counters: int) -> None:
+        bits, turns = np.zeros(counters // 8, dtype=np.uint8), {}
+        for row in sums.select("chunk", "counts", "turns").toLocalIterator():  # ``counters`` bounds what reaches the driver
+            part = np.frombuffer(bytes(row["counts"]), dtype=np.uint8)
+            bits[row["chunk"] * (CHUNK // 8) :][: len(part)] = part
+            turns[row["chunk"]] = np.frombuffer(bytes(row["turns"]), dtype="<i4")
+        self.counters = counters
+        self.words = bits.view(U64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
+        self.turns = np.concatenate([turns[c] for c in sorted(turns)]) if turns else np.zeros(0, dtype=np.int32)
+
+    def of(self, keys: np.ndarray, part: int, mappers: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys whose counter is heavy, and whether mapper ``part`` owns it."""
+        place = (mix64(keys) & U64(self.counters - 1)).astype(np.int64)
+        word, bit = self.words[place >> 6], (place & 63).astype(U64)
+        at = np.flatnonzero((word >> bit) & U64(1) == 1)
+        rank = self.before[place[at] >> 6] + np.bitwise_count(word[at] & ((U64(1) << bit[at]) - U64(1)))
+        return keys[at], self.turns[rank] == _turns(part, place[at], mappers)
+
+
+def _candidates(lower: list[Slots], least: int, heavy: Broadcast, mappers: int, known: Broadcast | None = None, deal: Callable[[np.ndarray], np.ndarray] | None = None, number: int = 0) -> Callable:
+    """The different keys of the phrases whose heavy counter the mapper owns; with ``known``, those of any heavy counter dealt to ``number`` that are not known yet.
+
+    Sets are merged while they are small and handed on when not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = U64(8 * len(heavy.value) - 1)
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         held, n = [], 0
         for keys in _streams(batches, lower, least):
-            place = (mix64(keys) & size).astype(np.int64)
-            keys = np.unique(keys[(heavy.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1])
+            keys, mine = heavy.value.of(keys, part, mappers)
+            if known is None:
+                keys = np.unique(keys[mine])
+            else:
+                keys = np.unique(keys)
+                keys = keys[deal(keys) == number]
+                keys = keys[known.value.find(keys) < 0]
             held.append(keys)
             n += len(keys)
             if n > 1 << 20:
@@ -288,13 +327,41 @@ def _sum(least: int | None, last: bool) -> Callable:
     return run
 
 
+def _sum_owned(least: int, mappers: int, last: bool) -> Callable:
+    """As ``_sum`` with ``least``, with the least turn of the mappers that met each counter; at last of the heavy ones only. Chunks without turns are a mapper's own."""
+    summed, kind = _sum(least, last), _saturated(least)
+
+    def run(table: pa.Table) -> pa.Table:
+        first = None
+        for mapper, chunk, counts, turns in zip(*(table.column(c) for c in ("mapper", "chunk", "counts", "turns")), strict=True):
+            met = np.frombuffer(counts.as_buffer(), dtype=kind)
+            own = np.frombuffer(turns.as_buffer(), dtype="<i4") if turns.is_valid else np.where(met > 0, _turns(mapper.as_py(), np.arange(len(met)) + chunk.as_py() * CHUNK, mappers), np.int32(mappers))
+            first = own if first is None else np.minimum(first, own)
+        out = summed(table)
+        if last:
+            heavy = np.unpackbits(np.frombuffer(out.column("counts")[0].as_buffer(), dtype=np.uint8), count=len(first), bitorder="little") == 1
+            first = first[heavy]
+        return out.append_column("turns", pa.array([first.astype("<i4").tobytes()], pa.binary()))
+
+    return run
+
+
 def tree_sum(chunks: DataFrame, mappers: int, least: int | None = None) -> DataFrame:
-    """The sums of the mappers' chunks, or the bits of those that reach ``least`` (chunks of counts that end there): FAN mappers' chunks at a time meet in a group, until one is left of each chunk."""
-    last = False
+    """The sums of the mappers' chunks: FAN mappers' chunks at a time meet in a group, until one is left of each chunk.
+
+    With ``least`` (chunks of counts that end there) the bits of those that reach it, and the turns of their owners.
+    """
+    last, every = False, mappers
+    if least is not None:
+        chunks = chunks.select("part", "chunk", "counts", F.lit(None).cast("binary").alias("turns"))
     while not last:
         last = mappers <= FAN
-        up = chunks.select(F.floor(F.col("part") / FAN).cast("int").alias("part"), "chunk", "counts")
-        chunks = up.groupBy("part", "chunk").applyInArrow(_sum(least, last), "part int, chunk int, counts binary")
+        group = F.floor(F.col("part") / FAN).cast("int").alias("part")
+        if least is None:
+            chunks = chunks.select(group, "chunk", "counts").groupBy("part", "chunk").applyInArrow(_sum(least, last), "part int, chunk int, counts binary")
+        else:
+            up = chunks.select(group, F.col("part").alias("mapper"), "chunk", "counts", "turns")
+            chunks = up.groupBy("part", "chunk").applyInArrow(_sum_owned(least, every, last), "part int, chunk int, counts binary, turns binary")
         mappers = -(-mappers // FAN)
     return chunks
 
@@ -315,11 +382,19 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
     """The counted candidates of the next level."""
     session = streams.sparkSession
     mappers = streams.rdd.getNumPartitions()
-    bits = tree_sum(streams.mapInArrow(_lean(_counters(lower, least, counters)), "part int, chunk int, counts binary"), mappers, least)
-    heavy = session.sparkContext.broadcast(_collected(bits, np.zeros(counters // 8, dtype=np.uint8), CHUNK // 8))
-    found = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy)), "key long").distinct())
+    sums = tree_sum(streams.mapInArrow(_lean(_counters(lower, least, counters)), "part int, chunk int, counts binary"), mappers, least)
+    heavy = session.sparkContext.broadcast(Heavy(sums, counters))
+    owned = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy, mappers)), "key long").distinct())
+    n, found = owned.count(), owned
+    groups = max(1, -(-n // most))
+    deal = Slots([None] * groups, []).deal
+    for i in range(groups):
+        mine = owned if groups == 1 else owned.mapInArrow(_dealt(deal, i), "key long")
+        known = session.sparkContext.broadcast(PerfectHash(np.sort(_keys(mine))))
+        left = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy, mappers, known, deal, i)), "key long").distinct())
+        known.destroy()
+        n, found = n + left.count(), found.unionByName(left)
     heavy.destroy()
-    n = found.count()
     groups = max(1, -(-n // most))
     deal = Slots([None] * groups, []).deal
     parts, starts, base = [], [], 0

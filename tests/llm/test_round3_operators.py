@@ -135,6 +135,28 @@ def test_collocations(table, least, top, most, counters):
     assert sorted(tuple(r) for r in got.collect()) == brute_collocations(data, least, top)
 
 
+def test_candidates_leave_one_mapper(spark, monkeypatch):
+    """A phrase that every mapper meets is handed on by its counter's owner only."""
+    rows, plain = spark.sparkContext.accumulator(0), collocations._candidates
+
+    def counted(*args):
+        run = plain(*args)
+
+        def wrapped(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return wrapped
+
+    monkeypatch.setattr(collocations, "_candidates", counted)
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(k, text, "en") for k in range(8)], "doc_id long, text string, lang string").repartition(8, "doc_id")
+    found = collocations.phrases(df, least=8, longest=2)[1]
+    assert found.count() == 59
+    assert rows.value <= 1.2 * 59
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 50_000, dtype=np.uint64))
