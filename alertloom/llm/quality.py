@@ -111,20 +111,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # `sample` rows are broadcast at most
     least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # one text a doc_id, however often it repeats
     texts = texts.groupBy("doc_id", "quality").agg(least.alias("t")).select("quality", "t.text")
-    got = texts.repartition(8).mapInArrow(_sampled, "quality int, f binary").toArrow()
-    if not got.num_rows:
+    got = texts.repartition(8).mapInArrow(_sampled, "quality int, f binary").groupBy().applyInArrow(_decomposed(rank), "weight binary, projection binary, vectors binary, labels binary, prior double")
+    model = got.collect()  # a row, or none without labelled documents; its size follows the parameters alone
+    if not model:
         return Voters(np.ones(SHAPES + WORDS, np.float32), np.zeros((SHAPES + WORDS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, 1, sharpness)
-    y = got["quality"].to_numpy().astype(np.float64)
-    order = np.lexsort((got["f"].to_pylist(), y)) if got.num_rows < 2 else sorted(range(got.num_rows), key=lambda i, f=got["f"].to_pylist(): (y[i], f[i]))  # the same voters whatever order the rows come in
-    x = np.frombuffer(b"".join(got["f"].to_pylist()), np.uint8).reshape(len(y), -1)[order].astype(np.float32) / 50
-    y = y[order]
-    weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.2).astype(np.float32)
-    x *= weight
-    x = unit(x)
-    gram = x.T.astype(np.float64) @ x
-    values, axes = np.linalg.eigh(gram)
-    projection = axes[:, ::-1][:, :rank].astype(np.float32)
-    return Voters(weight, projection, unit(x @ projection), y, float(y.mean()), neighbours, sharpness)
+    weight, projection, vectors = (np.frombuffer(model[0][c], np.float32) for c in ("weight", "projection", "vectors"))
+    labels = np.frombuffer(model[0]["labels"], np.float64)
+    return Voters(weight, projection.reshape(len(weight), -1), vectors.reshape(len(labels), -1), labels, model[0]["prior"], neighbours, sharpness)
+
+
+def _decomposed(rank: int):
+    """The model of the sampled texts, whose number is bounded, in one task: its matrices take some 300 MB, which the driver needs not hold."""
+
+    def run(got: pa.Table) -> pa.Table:
+        y = got["quality"].to_numpy().astype(np.float64)
+        f = got["f"].to_pylist()
+        order = sorted(range(len(f)), key=lambda i: (y[i], f[i]))  # the same voters whatever order the rows come in
+        x = np.frombuffer(b"".join(f), np.uint8).reshape(len(y), -1)[order].astype(np.float32) / 50
+        y = y[order]
+        weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.2).astype(np.float32)
+        x *= weight
+        x = unit(x)
+        gram = x.T.astype(np.float64) @ x
+        axes = np.linalg.eigh(gram)[1]
+        projection = axes[:, ::-1][:, :rank].astype(np.float32)
+        parts = {"weight": weight, "projection": projection, "vectors": unit(x @ projection), "labels": y}
+        return pa.table({**{c: pa.array([v.tobytes()], pa.binary()) for c, v in parts.items()}, "prior": pa.array([float(y.mean())])})
+
+    return run
 
 
 def _score(voters):

@@ -496,6 +496,20 @@ def test_quality_votes(spark):
     assert quality.score_quality(docs.limit(0), labels).collect() == []
 
 
+def test_quality_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver gets the model alone: the matrices of the fit stay in a task's worker."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} and word{i % 5}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    want = quality.fit(docs, labels)
+
+    def here(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(np.linalg, "eigh", here)
+    got = quality.fit(docs.repartition(3), labels.repartition(2))
+    assert len(got.labels) and (got.labels == want.labels).all() and (got.projection == want.projection).all() and (got.vectors == want.vectors).all()
+
+
 def test_vectors_with_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], 7, 1, 2.0), (2, [2.0, 0.1], 7, 1, 2.0), (3, [0.0, 1.0], 7, 1, 2.0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, comp int, cosine double")
