@@ -247,30 +247,35 @@ def _turns(part: int | np.ndarray, places: np.ndarray, mappers: int) -> np.ndarr
     return ((part + places) % mappers).astype(np.int32)
 
 
+def _narrow(n: int) -> np.dtype:
+    """The least type of numbers under ``n``."""
+    return np.min_scalar_type(max(n - 1, 0)).newbyteorder("<")
+
+
 class Heavy:
-    """The bits of the heavy counters, and the turn of each one's owner."""
+    """The bits of the heavy counters, and the mapper that owns each."""
 
-    def __init__(self, sums: DataFrame, counters: int) -> None:
-        bits, turns = np.zeros(counters // 8, dtype=np.uint8), {}
-        for row in sums.select("chunk", "counts", "turns").toLocalIterator():  # ``counters`` bounds what reaches the driver
+    def __init__(self, sums: DataFrame, counters: int, mappers: int) -> None:
+        bits, owners, kind = np.zeros(counters // 8, dtype=np.uint8), {}, _narrow(mappers)
+        for row in sums.select("chunk", "counts", "owners").toLocalIterator():  # ``counters`` bounds what reaches the driver
             part = np.frombuffer(bytes(row["counts"]), dtype=np.uint8)
             bits[row["chunk"] * (CHUNK // 8) :][: len(part)] = part
-            turns[row["chunk"]] = np.frombuffer(bytes(row["turns"]), dtype="<i4")
+            owners[row["chunk"]] = np.frombuffer(bytes(row["owners"]), dtype=kind)
         self.counters = counters
         self.words = bits.view(U64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
-        self.turns = np.concatenate([turns[c] for c in sorted(turns)]) if turns else np.zeros(0, dtype=np.int32)
+        self.owners = np.concatenate([owners[c] for c in sorted(owners)]) if owners else np.zeros(0, dtype=kind)
 
-    def of(self, keys: np.ndarray, part: int, mappers: int) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys whose counter is heavy, and whether mapper ``part`` owns it."""
         place = (mix64(keys) & U64(self.counters - 1)).astype(np.int64)
         word, bit = self.words[place >> 6], (place & 63).astype(U64)
         at = np.flatnonzero((word >> bit) & U64(1) == 1)
         rank = self.before[place[at] >> 6] + np.bitwise_count(word[at] & ((U64(1) << bit[at]) - U64(1)))
-        return keys[at], self.turns[rank] == _turns(part, place[at], mappers)
+        return keys[at], self.owners[rank] == part
 
 
-def _candidates(lower: list[Slots], least: int, heavy: Broadcast, mappers: int, known: Broadcast | None = None, deal: Callable[[np.ndarray], np.ndarray] | None = None, number: int = 0) -> Callable:
+def _candidates(lower: list[Slots], least: int, heavy: Broadcast, known: Broadcast | None = None, deal: Callable[[np.ndarray], np.ndarray] | None = None, number: int = 0) -> Callable:
     """The different keys of the phrases whose heavy counter the mapper owns; with ``known``, those of any heavy counter dealt to ``number`` that are not known yet.
 
     Sets are merged while they are small and handed on when not.
@@ -282,7 +287,7 @@ def _candidates(lower: list[Slots], least: int, heavy: Broadcast, mappers: int,
         part = TaskContext.get().partitionId()
         held, n = [], 0
         for keys in _streams(batches, lower, least):
-            keys, mine = heavy.value.of(keys, part, mappers)
+            keys, mine = heavy.value.of(keys, part)
             if known is None:
                 keys = np.unique(keys[mine])
             else:
@@ -327,21 +332,30 @@ def _sum(least: int | None, last: bool) -> Callable:
     return run
 
 
-def _sum_owned(least: int, mappers: int, last: bool) -> Callable:
-    """As ``_sum`` with ``least``, with the least turn of the mappers that met each counter; at last of the heavy ones only. Chunks without turns are a mapper's own."""
+def _sum_owned(least: int, mappers: int, last: bool, span: int) -> Callable:
+    """As ``_sum`` with ``least``, with the owner of each counter that was met, at last of the heavy ones only: the mapper of the least turn.
+
+    A chunk stands for ``span`` mappers. Its owners are numbered within these, so that few bytes go on; a mapper's own chunk has none.
+    """
     summed, kind = _sum(least, last), _saturated(least)
 
     def run(table: pa.Table) -> pa.Table:
         first = None
-        for mapper, chunk, counts, turns in zip(*(table.column(c) for c in ("mapper", "chunk", "counts", "turns")), strict=True):
+        for child, chunk, counts, owners in zip(*(table.column(c) for c in ("child", "chunk", "counts", "owners")), strict=True):
             met = np.frombuffer(counts.as_buffer(), dtype=kind)
-            own = np.frombuffer(turns.as_buffer(), dtype="<i4") if turns.is_valid else np.where(met > 0, _turns(mapper.as_py(), np.arange(len(met)) + chunk.as_py() * CHUNK, mappers), np.int32(mappers))
-            first = own if first is None else np.minimum(first, own)
+            at, start = np.flatnonzero(met), chunk.as_py() * CHUNK
+            owner = child.as_py() * span + (np.frombuffer(owners.as_buffer(), dtype=_narrow(span)).astype(np.int64) if owners.is_valid else 0)
+            if first is None:
+                first = np.full(len(met), mappers, dtype=np.int32)
+            first[at] = np.minimum(first[at], _turns(owner, at + start, mappers))
         out = summed(table)
+        at = np.flatnonzero(first < mappers)
         if last:
             heavy = np.unpackbits(np.frombuffer(out.column("counts")[0].as_buffer(), dtype=np.uint8), count=len(first), bitorder="little") == 1
-            first = first[heavy]
-        return out.append_column("turns", pa.array([first.astype("<i4").tobytes()], pa.binary()))
+            at = np.flatnonzero(heavy)
+        owner = (first[at].astype(np.int64) - at - start) % mappers
+        owner = owner.astype(_narrow(mappers)) if last else (owner - table.column("part")[0].as_py() * span * FAN).astype(_narrow(span * FAN))
+        return out.append_column("owners", pa.array([owner.tobytes()], pa.binary()))
 
     return run
 
@@ -349,20 +363,20 @@ def _sum_owned(least: int, mappers: int, last: bool) -> Callable:
 def tree_sum(chunks: DataFrame, mappers: int, least: int | None = None) -> DataFrame:
     """The sums of the mappers' chunks: FAN mappers' chunks at a time meet in a group, until one is left of each chunk.
 
-    With ``least`` (chunks of counts that end there) the bits of those that reach it, and the turns of their owners.
+    With ``least`` (chunks of counts that end there) the bits of those that reach it, and the mappers that own them.
     """
-    last, every = False, mappers
+    last, every, span = False, mappers, 1
     if least is not None:
-        chunks = chunks.select("part", "chunk", "counts", F.lit(None).cast("binary").alias("turns"))
+        chunks = chunks.select("part", "chunk", "counts", F.lit(None).cast("binary").alias("owners"))
     while not last:
         last = mappers <= FAN
         group = F.floor(F.col("part") / FAN).cast("int").alias("part")
         if least is None:
             chunks = chunks.select(group, "chunk", "counts").groupBy("part", "chunk").applyInArrow(_sum(least, last), "part int, chunk int, counts binary")
         else:
-            up = chunks.select(group, F.col("part").alias("mapper"), "chunk", "counts", "turns")
-            chunks = up.groupBy("part", "chunk").applyInArrow(_sum_owned(least, every, last), "part int, chunk int, counts binary, turns binary")
-        mappers = -(-mappers // FAN)
+            up = chunks.select(group, F.col("part").alias("child"), "chunk", "counts", "owners")
+            chunks = up.groupBy("part", "chunk").applyInArrow(_sum_owned(least, every, last, span), "part int, chunk int, counts binary, owners binary")
+        mappers, span = -(-mappers // FAN), span * FAN
     return chunks
 
 
@@ -383,15 +397,15 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
     session = streams.sparkSession
     mappers = streams.rdd.getNumPartitions()
     sums = tree_sum(streams.mapInArrow(_lean(_counters(lower, least, counters)), "part int, chunk int, counts binary"), mappers, least)
-    heavy = session.sparkContext.broadcast(Heavy(sums, counters))
-    owned = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy, mappers)), "key long").distinct())
+    heavy = session.sparkContext.broadcast(Heavy(sums, counters, mappers))
+    owned = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy)), "key long").distinct())
     n, found = owned.count(), owned
     groups = max(1, -(-n // most))
     deal = Slots([None] * groups, []).deal
     for i in range(groups):
         mine = owned if groups == 1 else owned.mapInArrow(_dealt(deal, i), "key long")
         known = session.sparkContext.broadcast(PerfectHash(np.sort(_keys(mine))))
-        left = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy, mappers, known, deal, i)), "key long").distinct())
+        left = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy, known, deal, i)), "key long").distinct())
         known.destroy()
         n, found = n + left.count(), found.unionByName(left)
     heavy.destroy()

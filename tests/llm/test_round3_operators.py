@@ -157,6 +157,42 @@ def test_candidates_leave_one_mapper(spark, monkeypatch):
     assert rows.value <= 1.2 * 59
 
 
+def test_owners_take_few_bytes(spark, monkeypatch):
+    """With more mappers than one group sums, a byte names the owner of a counter that was met, and counters that were not have none."""
+    rows, size, sums, handed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), collocations._sum_owned, collocations._candidates
+
+    def measured(*args):
+        run = sums(*args)
+
+        def wrapped(table):
+            out = run(table)
+            size.add(sum(len(x.as_py()) for c in out.columns if c.type == "binary" for x in c))
+            return out
+
+        return wrapped
+
+    def counted(*args):
+        run = handed(*args)
+
+        def wrapped(batches):
+            for b in run(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return wrapped
+
+    monkeypatch.setattr(collocations, "_sum_owned", measured)
+    monkeypatch.setattr(collocations, "_candidates", counted)
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(k, text, "en") for k in range(48)], "doc_id long, text string, lang string").repartition(48, "doc_id")
+    monkeypatch.setattr(collocations, "written", lambda x: collocations.checkpointed(x))  # keeps the mappers apart
+    found = collocations.phrases(df, least=30, longest=2, counters=1 << 16)[1]
+    assert sorted(r["a"] for r in found.collect()) == [48] * 59
+    assert rows.value <= 1.2 * 59
+    chunks = 3 + 1  # groups of both levels
+    assert size.value <= 1.1 * chunks * (1 << 16)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 50_000, dtype=np.uint64))
