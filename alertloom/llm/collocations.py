@@ -39,6 +39,8 @@ ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 9]] = True
 
+_ZSTD = pa.Codec("zstd")
+
 
 def _lean(run: Callable) -> Callable:
     """A mapper that gives freed memory back after each task: workers are reused, and what they hold is their executor's."""
@@ -222,6 +224,16 @@ def _ended(counts: np.ndarray, least: int | None) -> np.ndarray:
     return counts if least is None else np.minimum(counts, least)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """The bytes of an array, most of whose values are small: Spark's own codec of shuffles looks for repeats only and leaves a multiple of them."""
+    return values.nbytes.to_bytes(4, "little") + _ZSTD.compress(values.tobytes(), asbytes=True)
+
+
+def _spread(squeezed: pa.Buffer | bytes, kind: np.dtype | str) -> np.ndarray:
+    raw = memoryview(squeezed)
+    return np.frombuffer(_ZSTD.decompress(raw[4:], int.from_bytes(raw[:4], "little")), dtype=kind)
+
+
 def _chunks(counts: np.ndarray, least: int | None = None) -> Iterator[pa.RecordBatch]:
     """A mapper's array in chunks, with the mapper's number; chunks of zeros are left out. With ``least`` counts end there."""
     from pyspark import TaskContext
@@ -229,7 +241,7 @@ def _chunks(counts: np.ndarray, least: int | None = None) -> Iterator[pa.RecordB
     part = TaskContext.get().partitionId()
     for i in range(0, len(counts), CHUNK):
         if counts[i : i + CHUNK].any():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i // CHUNK], pa.int32()), pa.array([_ended(counts[i : i + CHUNK], least).astype(_saturated(least)).tobytes()], pa.binary())], ["part", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i // CHUNK], pa.int32()), pa.array([_squeezed(_ended(counts[i : i + CHUNK], least).astype(_saturated(least)))], pa.binary())], ["part", "chunk", "counts"])
 
 
 def _counters(lower: list[Slots], least: int, size: int) -> Callable:
@@ -258,9 +270,9 @@ class Heavy:
     def __init__(self, sums: DataFrame, counters: int, mappers: int) -> None:
         bits, owners, kind = np.zeros(counters // 8, dtype=np.uint8), {}, _narrow(mappers)
         for row in sums.select("chunk", "counts", "owners").toLocalIterator():  # ``counters`` bounds what reaches the driver
-            part = np.frombuffer(bytes(row["counts"]), dtype=np.uint8)
+            part = _spread(row["counts"], np.uint8)
             bits[row["chunk"] * (CHUNK // 8) :][: len(part)] = part
-            owners[row["chunk"]] = np.frombuffer(bytes(row["owners"]), dtype=kind)
+            owners[row["chunk"]] = _spread(row["owners"], kind)
         self.counters = counters
         self.words = bits.view(U64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
@@ -325,9 +337,9 @@ def _sum(least: int | None, last: bool) -> Callable:
     kind = _saturated(least)
 
     def run(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column("counts")], axis=0, dtype=np.int64)
+        total = np.sum([_spread(x.as_buffer(), kind) for x in table.column("counts")], axis=0, dtype=np.int64)
         total = _ended(total, least).astype(kind) if least is None or not last else np.packbits(total >= least, bitorder="little")
-        return pa.table({"part": table.column("part").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "counts": pa.array([_squeezed(total)], pa.binary())})
 
     return run
 
@@ -342,20 +354,20 @@ def _sum_owned(least: int, mappers: int, last: bool, span: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         first = None
         for child, chunk, counts, owners in zip(*(table.column(c) for c in ("child", "chunk", "counts", "owners")), strict=True):
-            met = np.frombuffer(counts.as_buffer(), dtype=kind)
+            met = _spread(counts.as_buffer(), kind)
             at, start = np.flatnonzero(met), chunk.as_py() * CHUNK
-            owner = child.as_py() * span + (np.frombuffer(owners.as_buffer(), dtype=_narrow(span)).astype(np.int64) if owners.is_valid else 0)
+            owner = child.as_py() * span + (_spread(owners.as_buffer(), _narrow(span)).astype(np.int64) if owners.is_valid else 0)
             if first is None:
                 first = np.full(len(met), mappers, dtype=np.int32)
             first[at] = np.minimum(first[at], _turns(owner, at + start, mappers))
         out = summed(table)
         at = np.flatnonzero(first < mappers)
         if last:
-            heavy = np.unpackbits(np.frombuffer(out.column("counts")[0].as_buffer(), dtype=np.uint8), count=len(first), bitorder="little") == 1
+            heavy = np.unpackbits(_spread(out.column("counts")[0].as_buffer(), np.uint8), count=len(first), bitorder="little") == 1
             at = np.flatnonzero(heavy)
         owner = (first[at].astype(np.int64) - at - start) % mappers
         owner = owner.astype(_narrow(mappers)) if last else (owner - table.column("part")[0].as_py() * span * FAN).astype(_narrow(span * FAN))
-        return out.append_column("owners", pa.array([owner.tobytes()], pa.binary()))
+        return out.append_column("owners", pa.array([_squeezed(owner)], pa.binary()))
 
     return run
 
@@ -383,7 +395,7 @@ def tree_sum(chunks: DataFrame, mappers: int, least: int | None = None) -> DataF
 def _collected(chunks: DataFrame, out: np.ndarray, width: int) -> np.ndarray:
     """The chunks' arrays in ``out``, whose length bounds what reaches the driver."""
     for row in chunks.select("chunk", "counts").toLocalIterator():
-        part = np.frombuffer(bytes(row["counts"]), dtype=out.dtype.newbyteorder("<"))
+        part = _spread(row["counts"], out.dtype.newbyteorder("<"))
         out[row["chunk"] * width :][: len(part)] = part
     return out
 

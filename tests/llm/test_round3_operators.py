@@ -190,7 +190,14 @@ def test_owners_take_few_bytes(spark, monkeypatch):
     assert sorted(r["a"] for r in found.collect()) == [48] * 59
     assert rows.value <= 1.2 * 59
     chunks = 3 + 1  # groups of both levels
-    assert size.value <= 1.1 * chunks * (1 << 16)
+    assert size.value <= 0.1 * chunks * (1 << 16)
+
+
+def test_squeezed_arrays():
+    rng = np.random.default_rng(3)
+    for values, share in ((np.minimum(rng.poisson(0.09, 1 << 16), 30).astype("u1"), 0.2), (rng.poisson(0.8, 5000).astype("<i8"), 0.2), (np.zeros(0, "u1"), 1), (rng.integers(-(1 << 62), 1 << 62, 100), 2)):
+        squeezed = collocations._squeezed(values)
+        assert (collocations._spread(squeezed, values.dtype) == values).all() and len(squeezed) <= 4 + max(16, share * values.nbytes)
 
 
 def test_perfect_hash():
