@@ -383,6 +383,43 @@ def test_gradient_and_single_scoring():
     assert np.allclose(attention_lm.sequence_scores(plain, ids, starts)[pos[scored]], want, atol=1e-3)
 
 
+def test_words_of_a_block_are_encoded_at_once(monkeypatch):
+    plain, calls = attention_lm._subwords(attention_lm.VOCABULARY), []
+    monkeypatch.setattr(attention_lm, "_subwords", lambda path: lambda text: calls.append(text) or plain(text))
+    texts = ["the house\tx\n \u00e9t\u00e9 \u00a0odd\x1c\u2028 the", "", "\U0001f600 don't 12,345 qzqzqz"]
+    got = list(attention_lm._encode(attention_lm.VOCABULARY, 1)(iter([pa.record_batch({"text": texts})])))
+    assert len(calls) == 1
+    ids = np.concatenate([attention_lm._held_windows(b.as_py())[2][attention_lm._held_windows(b.as_py())[3]] for r in got for b in r.column(1)])
+    assert ids.tolist() == [int(i) for t in texts for w in [*WORD.findall(lower(t)), None] for i in ([attention_lm.END] if w is None else plain(" " + w))]
+
+
+def test_steps_are_adams():
+    rng = np.random.default_rng(4)
+    learner = attention_lm.Learner(rng.standard_normal(attention_lm.SIZE).astype(np.float32), 0.03)
+    want, first, second = learner.weights.astype(np.float64), 0.0, 0.0
+    for t in range(1, 31):
+        g = rng.standard_normal(attention_lm.SIZE) * (rng.random(attention_lm.SIZE) < 0.3)
+        first, second = first + 0.1 * (g - first), second + 0.01 * (g**2 - second)
+        want -= 0.03 * min(1.0, t / 20) * (0.3 + 0.7 / (1 + t / 1000)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        learner.slope[:] = g
+        learner.step()
+    assert np.allclose(learner.weights, want, atol=1e-4) and all(np.shares_memory(v, learner.weights) for v in learner.p.values())
+
+
+def test_scores_equal_whole_windows():
+    """Each id's state is made once, from its run and the one before it, with what a whole window gives."""
+    rng = np.random.default_rng(7)
+    p = {k: (v + 0.1 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in attention_lm.initial().items()}
+    starts = np.array([0, 0, 1, 16, 33, 33, 64, 97, 400])
+    ids, opens = rng.integers(0, attention_lm.SUBWORDS, 400), np.zeros(400, np.float32)
+    x, before, y, scored, pos = attention_lm.windows(ids, starts, attention_lm.STRIDE)
+    lp, classes = attention_lm.log_probs(p, np.maximum(attention_lm.hidden(p, x, before, None)[0][scored], 0), y[scored])
+    assert np.allclose(attention_lm.sequence_scores(p, ids, starts, batch=3, opens=opens)[pos[scored]], lp, atol=1e-4)
+    assert np.allclose(opens[pos[scored]], np.log(classes[:, : attention_lm.OPENING].sum(axis=1)), atol=1e-4)
+    runs = attention_lm._chunks(ids, starts)
+    assert sorted(runs[4][runs[3]].tolist()) == list(range(400))
+
+
 def test_quality(spark):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["house", "river", "walks", "green", "over", "the"]) for _ in range(60)) + "."
