@@ -1,21 +1,27 @@
 """Temporal-entity clustering of alerts into candidates, and of candidates into incidents.
 
-The rules are greedy and order-dependent: rows in time order join the newest group that accepts them. They split exactly
-into islands within entity components: a row after a gap longer than the window can join no earlier group of its component,
-and groups never hold members of two components. Islands are found by a scan of range partitions, so that a component that holds
-most rows is no single task; the rule itself runs per island in one Arrow-backed function.
+The rules are greedy and order-dependent: rows in time order join the newest group that accepts them. Groups never hold
+members of two entity components, so rows are laid in order of (component, time) in range partitions. Alerts are scanned a batch at a time
+with only the groups that are still open in memory; ranges are scanned side by side, each first from no open group and again from those that
+the range before it left open, until these are the ones it began with. Ranges that don't settle so are scanned in turn by one task a component.
+Incidents split exactly into islands: a row after a gap longer than the window can join no earlier group of its component. Islands
+are found by a scan of range partitions; the rule itself runs per island in one Arrow-backed function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import zlib
+from bisect import insort
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import entity_components
-from .ordinal import islands, ranked
+from .graph import entity_components, persisted
+from .ordinal import _placed, islands, ranked
 
 WINDOW_MINUTES, CAP = 30, 50
 INCIDENT_MINUTES, INCIDENT_SCORE = 120, 8
@@ -36,43 +42,172 @@ def _bucket(rows: DataFrame) -> Column:
     return F.pmod(F.xxhash64("component", "island"), F.lit(8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
 
 
-def _greedy_alerts(window_us: int, cap: int) -> Callable:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["component", "island", "ts", "id"], na_position="first", kind="stable")
-        # open groups by entity; rows come in time order, so a group that is full or past the window never opens again
-        groups: dict[str, list[dict]] = {}
-        out, at = [], None
-        for k, (island, own, ts, names) in enumerate(zip(zip(rows["component"], rows["island"], strict=True), rows["id"], rows["ts"], rows["entities"], strict=True)):
-            if island != at:
-                groups, at = {}, island
-            ts = None if pd.isna(ts) else int(ts)
-            names = set(names)
-            g = None
-            for name in names:
-                if name in groups:
-                    groups[name] = [h for h in groups[name] if h["n"] < cap and (ts is None or h["last"] is None or abs(ts - h["last"]) <= window_us)]
-                    g = max([*groups[name], *([g] if g else [])], key=lambda h: h["made"], default=None)
-            if g is None:
-                g = {"n": 0, "last": None, "names": set(), "first_id": own, "made": k}
-            for name in names - g["names"]:
-                groups.setdefault(name, []).append(g)
-            g["n"] += 1
-            g["names"] |= names
-            if ts is not None:
-                g["last"] = ts if g["last"] is None else max(g["last"], ts)
-            out.append((own, g["first_id"]))
-        return pd.DataFrame(out, columns=["id", "cluster"])
+class _Open:
+    """The groups that a further row may join, by entity: [rows, last, first id, number, entities], older before newer.
+
+    Rows come in time order, so a group that is full or past the window never opens again and is dropped.
+    """
+
+    def __init__(self, window_us: int, cap: int) -> None:
+        self.window, self.cap = window_us, cap
+        self.load(None)
+
+    def load(self, state: bytes | None) -> None:
+        """Goes on from a ``state``; None: from no open group."""
+        self.component, self.ts, groups = json.loads(zlib.decompress(state)) if state else (None, None, [])
+        self.groups: dict[str, list[list]] = {}
+        self.made, self.held = 0, 0
+        for n, last, own, names in groups:
+            self._enter([n, last, own, self.made, set()], names)
+            self.made += 1
+        self.bound = 2 * self.held + 4096
+
+    def _enter(self, group: list, names: list[str]) -> None:
+        for name in names:
+            if name not in group[4]:
+                group[4].add(name)
+                insort(self.groups.setdefault(name, []), group, key=_number)
+                self.held += 1
+
+    def _near(self, group: list) -> bool:
+        return group[0] < self.cap and (self.ts is None or group[1] is None or self.ts - group[1] <= self.window)
+
+    def _sweep(self) -> None:
+        self.groups = {name: left for name, held in self.groups.items() if (left := [g for g in held if self._near(g)])}
+        self.held = sum(map(len, self.groups.values()))
+        self.bound = 2 * self.held + 4096
+
+    def state(self) -> tuple[bytes | None, int | None]:
+        """The open groups, None if there are none, and the last time at which one is near (None: at any time)."""
+        self._sweep()
+        groups = sorted({g[3]: g for held in self.groups.values() for g in held}.values(), key=_number)
+        if not groups:
+            return None, None
+        lasts = [g[1] for g in groups]
+        until = None if None in lasts else max(lasts) + self.window
+        return zlib.compress(json.dumps([self.component, self.ts, [[g[0], g[1], g[2], sorted(g[4])] for g in groups]]).encode(), 1), until
+
+    def place(self, component: str, ts: int | None, own: str, names: list[str]) -> str:
+        """The first id of the row's group."""
+        if component != self.component:
+            self.component, self.groups, self.held = component, {}, 0
+        self.ts = ts
+        group = None
+        for name in names:
+            held = self.groups.get(name)
+            while held and not self._near(held[-1]):
+                held.pop()
+                self.held -= 1
+            if held and (group is None or held[-1][3] > group[3]):
+                group = held[-1]
+        if group is None:
+            group = [0, None, own, self.made, set()]
+            self.made += 1
+        self._enter(group, names)
+        group[0] += 1
+        if ts is not None:
+            group[1] = ts
+        if self.held > self.bound:
+            self._sweep()
+        return group[2]
+
+
+def _number(group: list) -> int:
+    return group[3]
+
+
+_SCANNED = "id string, cluster string, span long, component string, ts long, tail string, until long, state binary"
+
+
+def _scan(window_us: int, cap: int, starts: dict[int, bytes]) -> Callable:
+    """The rule over sorted (span, component, ts, id, entities), each span from its start: (id, cluster) of its rows, and a row for the span.
+
+    That row has the component and time of the first alert (``component``, ``ts``), the component of the last (``tail``), and what stays open.
+    """
+
+    def ended(span: int, head: tuple, groups: _Open) -> pa.RecordBatch:
+        state, until = groups.state()
+        return pa.RecordBatch.from_pylist([{"span": span, "component": head[0], "ts": head[1], "tail": groups.component, "until": until, "state": state}], schema=shape)
+
+    shape = pa.schema([("id", pa.string()), ("cluster", pa.string()), ("span", pa.int64()), ("component", pa.string()), ("ts", pa.int64()), ("tail", pa.string()), ("until", pa.int64()), ("state", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, at, head = _Open(window_us, cap), None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spans, components, ts, ids = (batch.column(c).to_pylist() for c in ("span", "component", "ts", "id"))
+            lists = batch.column("entities")
+            names, offsets = lists.flatten().to_pylist(), lists.offsets.to_numpy()
+            offsets = (offsets - offsets[0]).tolist()
+            out = []
+            for k, span in enumerate(spans):
+                if span != at:
+                    if at is not None:
+                        yield ended(at, head, groups)
+                    groups.load(starts.get(span))
+                    at, head = span, (components[k], ts[k])
+                out.append(groups.place(components[k], ts[k], ids[k], names[offsets[k] : offsets[k + 1]]))
+            empty = [pa.nulls(len(out), f.type) for f in list(shape)[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array(out, pa.string()), batch.column("span"), *empty], schema=shape)
+        if at is not None:
+            yield ended(at, head, groups)
 
     return run
 
 
+def _settled(rows: DataFrame, window_us: int, cap: int) -> DataFrame:
+    """(id, cluster) of rows in sorted range partitions (span): what one scan of all of them would give.
+
+    A span is right if the span before it is and left open what this one began with. Spans that began with something else are scanned
+    again side by side as long as that leaves less than half of them, else in turn from the first such span of a component to its last. The driver
+    sees what stays open after each span, which the window bounds.
+    """
+    todo, began, ends, scans = None, {}, {}, []
+    while todo is None or todo:
+        mine = rows if todo is None else rows.where(F.col("span").isin(todo))
+        out = persisted(mine.mapInArrow(_scan(window_us, cap, began), _SCANNED))
+        ends |= {r["span"]: r for r in out.where("id IS NULL").drop("id", "cluster").collect()}
+        scans.append((out, set(ends) if todo is None else set(todo)))
+        order = sorted(ends)
+        starts = {b: ends[a]["state"] for a, b in zip(order, order[1:]) if _meets(ends[a], ends[b])}
+        wrong = [s for s in order if starts.get(s) != began.get(s)]
+        if todo is not None and 2 * len(wrong) > len(todo):
+            chains, last = {}, None
+            for s in order:
+                # a component's spans from the first wrong one on are one chain
+                if ends[s]["component"] == last:
+                    chains[s] = first
+                elif s in wrong:
+                    chains[s] = first = s
+                last = ends[s]["component"] if s in chains else None
+            dealt = rows.where(F.col("span").isin(list(chains))).withColumn("chain", F.create_map(*(F.lit(x) for c in chains.items() for x in c))[F.col("span")])
+            dealt = dealt.repartition("chain").sortWithinPartitions("chain", "span", "_index").withColumn("span", F.col("chain"))
+            scans.append((persisted(dealt.drop("chain").mapInArrow(_scan(window_us, cap, starts), _SCANNED)), set(chains)))
+            break
+        todo, began = wrong, starts
+    right, seen = None, set()
+    for out, spans in reversed(scans):
+        # a span's last scan is the right one; a chain's rows have its first span's number
+        own = out.where(F.col("id").isNotNull() & F.col("span").isin(sorted(spans - seen))).select("id", "cluster")
+        right, seen = own if right is None else right.unionByName(own), seen | spans
+    return right
+
+
+def _meets(before: dict, after: dict) -> bool:
+    """Whether a span's first alert may join what the span before it left open."""
+    if before["state"] is None or before["tail"] != after["component"]:
+        return False
+    return before["until"] is None or after["ts"] is None or after["ts"] <= before["until"]
+
+
 def cluster(alerts: DataFrame, minutes: int = WINDOW_MINUTES, cap: int = CAP) -> DataFrame:
     """(id, cluster) of alerts with ``entities``: cluster is the id of its first alert. Ids must differ. Alerts without entities stand alone."""
-    rows = alerts.select("id", F.unix_micros("event_ts").alias("ts"), "entities")
-    linked = rows.where("size(entities) > 0")
-    comp = entity_components(linked.select("id", F.explode("entities").alias("entity")), "id", "entity")
-    found = islands(linked.join(comp, "id"), "component", "ts", "ts", F.col("ts").isNull(), minutes * 60_000_000)
-    grouped = found.select("id", "ts", "entities", "component", "island").groupBy(_bucket(linked)).applyInPandas(_greedy_alerts(minutes * 60_000_000, cap), "id string, cluster string")
+    rows = alerts.select(F.col("id").cast("string").alias("id"), F.unix_micros("event_ts").alias("ts"), F.array_compact("entities").alias("entities"))
+    linked = rows.where("size(entities) > 0").withColumn("lead", F.col("entities")[0])
+    comp = entity_components(linked.select("lead", F.explode("entities").alias("entity")), "lead", "entity")
+    laid = _placed(linked.join(comp, "lead").drop("lead"), ["component", "ts", "id"], None).withColumnRenamed("_part", "span")
+    grouped = _settled(laid.select("id", "ts", "entities", "component", "span", "_index"), minutes * 60_000_000, cap)
     return grouped.unionByName(rows.where("size(entities) = 0").select("id", F.col("id").alias("cluster")))
 
 
