@@ -4,7 +4,9 @@ Texts are split into pieces and words, and words that are frequent enough become
 written once. Phrases grow by one word a level. A phrase is a candidate of a level if both its parts of one word less are
 frequent and if the counter that its hash shares with others reaches the threshold (neither test ever loses a frequent
 phrase). Each heavy counter has an owner, one of the mappers that met it: owners hand on their counters' keys, and a further pass
-the keys that no owner had, so a frequent phrase is not handed on by every mapper that meets it. A minimal perfect hash gives each candidate a slot, where its key is stored; a mapper finds the slots of all phrases of its
+the keys that no owner had, so a frequent phrase is not handed on by every mapper that meets it. Counters of a fixed number fill up as tables grow,
+until chance alone makes each heavy; so if there are more words than counters, each key has a counter of its own: mappers deal their keys and
+counts to parts by hash, and a part hands on the keys whose sum reaches the threshold. A minimal perfect hash gives each candidate a slot, where its key is stored; a mapper finds the slots of all phrases of its
 streams, drops those whose stored key differs, counts them by ``bincount`` into one array, and the arrays of all mappers are
 summed by a tree of small groups. Counts of the parts of a cut are read by slot.
 
@@ -25,13 +27,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, LOWER, U64, binary_array, checkpointed, mix64, release, text_blocks, written
+from .common import BLOCK_BYTES, LOWER, U64, binary_array, checkpointed, mix64, pack, release, text_blocks, written
 
 LONGEST, LEAST, SCALE, COVER, TOP = 4, 30, 2_000_000, 80, 2000
 MOST = 1 << 22
 COUNTERS = 1 << 24
 CHUNK = 1 << 16
 FAN = 16
+#: Phrases that a mapper holds before it deals them, and occurrences for each part that they are dealt to.
+HELD = PART = 1 << 21
 
 #: The bytes that end a piece, and those that separate its words.
 ENDS = np.zeros(256, dtype=bool)
@@ -320,6 +324,54 @@ def _candidates(lower: list[Slots], least: int, heavy: Broadcast, known: Broadca
     return run
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys, squeezed by planes of bytes: the upper ones hardly change."""
+    return _squeezed(np.ascontiguousarray(keys.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T))
+
+
+def _of_planes(squeezed: pa.Buffer | bytes) -> np.ndarray:
+    return np.ascontiguousarray(_spread(squeezed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _dealt_counts(lower: list[Slots], least: int, parts: int, most: int = HELD) -> Callable:
+    """The different keys of about ``most`` phrases at a time and their counts, which end at ``least``: a row for each of ``parts`` parts of the keys."""
+    kind = _saturated(least)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        rows = list(pack(mix64(keys ^ U64(0xFACE)), [keys, _ended(counts, least).astype(kind)], parts))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([_planes(r[1][0]) for r in rows], pa.binary()), pa.array([_squeezed(r[1][1]) for r in rows], pa.binary())], ["part", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for keys in _streams(batches, lower, least):
+            held.append(keys)
+            n += len(keys)
+            if n >= most:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def _often(least: int) -> Callable:
+    """The keys of a part whose counts sum to ``least`` at least."""
+    kind = _saturated(least)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([_of_planes(x.as_buffer()) for x in table.column("keys")])
+        counts = np.concatenate([_spread(x.as_buffer(), kind) for x in table.column("counts")])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        total = np.add.reduceat(counts[order], first, dtype=np.int64)
+        return pa.table({"key": pa.array(keys[first[total >= least]].view(np.int64), pa.int64())})
+
+    return run
+
+
 def _slot_counts(lower: list[Slots], least: int, own: Broadcast, deal: Callable[[np.ndarray], np.ndarray], number: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = own.value
@@ -404,10 +456,9 @@ def _keys(rows: DataFrame) -> np.ndarray:
     return rows.toArrow().column(0).to_numpy().view(U64)  # bounded by the caller
 
 
-def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counters: int) -> Slots:
-    """The counted candidates of the next level."""
+def _shared(streams: DataFrame, mappers: int, lower: list[Slots], least: int, most: int, counters: int) -> tuple[DataFrame, int]:
+    """The keys of the next level's phrases whose shared counter is heavy, and their number."""
     session = streams.sparkSession
-    mappers = streams.rdd.getNumPartitions()
     sums = tree_sum(streams.mapInArrow(_lean(_counters(lower, least, counters)), "part int, chunk int, counts binary"), mappers, least)
     heavy = session.sparkContext.broadcast(Heavy(sums, counters, mappers))
     owned = checkpointed(streams.mapInArrow(_lean(_candidates(lower, least, heavy)), "key long").distinct())
@@ -421,6 +472,19 @@ def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counte
         known.destroy()
         n, found = n + left.count(), found.unionByName(left)
     heavy.destroy()
+    return found, n
+
+
+def _level(streams: DataFrame, lower: list[Slots], least: int, most: int, counters: int, dealt: int) -> Slots:
+    """The counted candidates of the next level; they come from shared counters, or from ``dealt`` parts if it is not 0."""
+    session = streams.sparkSession
+    mappers = streams.rdd.getNumPartitions()
+    if dealt:
+        counted = streams.mapInArrow(_lean(_dealt_counts(lower, least, dealt)), "part int, keys binary, counts binary")
+        found = checkpointed(counted.groupBy("part").applyInArrow(_often(least), "key long"))
+        n = found.count()
+    else:
+        found, n = _shared(streams, mappers, lower, least, most, counters)
     groups = max(1, -(-n // most))
     deal = Slots([None] * groups, []).deal
     parts, starts, base = [], [], 0
@@ -555,6 +619,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: i
     counted = written(counted)
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     tokens = counted.where(F.col("f") >= least).agg(F.sum("f")).first()[0] or 0
+    dealt = -(-tokens // PART) if tokens > counters else 0
     counters = min(counters, max(CHUNK, 1 << int(tokens // 8).bit_length()))
     tables = _word_tables(session, counted.where(F.col("f") >= least), most)
     known = [session.sparkContext.broadcast({k: v[:2] for k, v in t.value.items()}) for t in tables]
@@ -564,7 +629,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: i
     levels: list[Slots] = []
     out = None
     for size in range(2, longest + 1):
-        levels.append(_level(streams, list(levels), least, most, counters))
+        levels.append(_level(streams, list(levels), least, most, counters, dealt))
         hashes = session.range(len(levels[-1].parts)).repartition(len(levels[-1].parts), "id")
         rows = checkpointed(hashes.mapInArrow(_table(list(levels), size, least, tables), OUT))
         out = rows if out is None else out.unionByName(rows)

@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +195,31 @@ def test_owners_take_few_bytes(spark, monkeypatch):
     assert size.value <= 0.1 * chunks * (1 << 16)
 
 
+def test_more_words_than_counters(spark, monkeypatch):
+    """Where rare phrases fill every shared counter, the hashes still hold frequent ones only."""
+    rng, sizes, plain = random.Random(5), [], collocations.PerfectHash.__init__
+    monkeypatch.setattr(collocations.PerfectHash, "__init__", lambda self, keys: sizes.append(len(keys)) or plain(self, keys))
+    data = [(k, " ".join(rng.choice(("often said here", f"w{rng.randrange(200)}", f"w{rng.randrange(200)}")) for _ in range(1000)), "en") for k in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(6, "doc_id")
+    want = brute_collocations(data, 30, 2000)
+    got = collocations.collocations(df, least=30, counters=1 << 12)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    frequent = collocations.phrases(df, least=30, counters=1 << 12)[1].count()
+    assert max(sizes) <= frequent < 5000
+
+
+def test_dealt_counts_meet_in_parts():
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([[0], rng.integers(1, 40, 20_000)]).astype("<i4")
+    for least in (10, 300):
+        halves = [pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["ids"]) for x in (ids[:9000], ids[9000:])]
+        rows = pa.Table.from_batches(list(collocations._dealt_counts([], least, 3, 5000)(iter(halves))))
+        parts = [collocations._often(least)(rows.filter(pc.equal(rows.column("part"), part))).column("key").to_numpy() for part in range(3)]
+        keys, n = np.unique(np.concatenate([(x[:-1].astype(np.int64) << 32 | x[1:])[(x[:-1] > 0) & (x[1:] > 0)] for x in (ids[:9000], ids[9000:])]), return_counts=True)
+        assert sorted(np.concatenate(parts)) == sorted(keys[n >= least])
+        assert all(len(x) for x in parts) or least > 10
+
+
 def test_squeezed_arrays():
     rng = np.random.default_rng(3)
     for values, share in ((np.minimum(rng.poisson(0.09, 1 << 16), 30).astype("u1"), 0.2), (rng.poisson(0.8, 5000).astype("<i8"), 0.2), (np.zeros(0, "u1"), 1), (rng.integers(-(1 << 62), 1 << 62, 100), 2)):
