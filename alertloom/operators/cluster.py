@@ -66,7 +66,13 @@ class _Open:
         for name in names:
             if name not in group[4]:
                 group[4].add(name)
-                insort(self.groups.setdefault(name, []), group, key=_number)
+                held = self.groups.get(name)
+                if not held:
+                    self.groups[name] = [group]
+                elif held[-1][3] < group[3]:
+                    held.append(group)
+                else:
+                    insort(held, group, key=_number)
                 self.held += 1
 
     def _near(self, group: list) -> bool:
@@ -92,23 +98,31 @@ class _Open:
         if component != self.component:
             self.component, self.groups, self.held = component, {}, 0
         self.ts = ts
-        group = None
+        at, group, number = self.groups, None, -1
+        expired, cap = (-1 << 63 if ts is None else ts - self.window), self.cap
         for name in names:
-            held = self.groups.get(name)
-            while held and not self._near(held[-1]):
-                held.pop()
-                self.held -= 1
-            if held and (group is None or held[-1][3] > group[3]):
-                group = held[-1]
+            held = at.get(name)
+            if held:
+                newest = held[-1]
+                while newest[0] >= cap or (newest[1] is not None and newest[1] < expired):
+                    held.pop()
+                    self.held -= 1
+                    if not held:
+                        break
+                    newest = held[-1]
+                else:
+                    if newest[3] > number:
+                        group, number = newest, newest[3]
         if group is None:
             group = [0, None, own, self.made, set()]
             self.made += 1
-        self._enter(group, names)
+        if not group[4].issuperset(names):
+            self._enter(group, names)
+            if self.held > self.bound:
+                self._sweep()
         group[0] += 1
         if ts is not None:
             group[1] = ts
-        if self.held > self.bound:
-            self._sweep()
         return group[2]
 
 
@@ -116,6 +130,11 @@ def _number(group: list) -> int:
     return group[3]
 
 
+def _listed(values: pa.Array) -> list:
+    """As to_pylist, without a scalar for each value."""
+    return values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False).tolist()
+
+
 _SCANNED = "id string, cluster string, span long, component string, ts long, tail string, until long, state binary"
 
 
@@ -136,9 +155,9 @@ def _scan(window_us: int, cap: int, starts: dict[int, bytes]) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spans, components, ts, ids = (batch.column(c).to_pylist() for c in ("span", "component", "ts", "id"))
+            spans, components, ts, ids = (_listed(batch.column(c)) for c in ("span", "component", "ts", "id"))
             lists = batch.column("entities")
-            names, offsets = lists.flatten().to_pylist(), lists.offsets.to_numpy()
+            names, offsets = _listed(lists.flatten()), lists.offsets.to_numpy()
             offsets = (offsets - offsets[0]).tolist()
             out = []
             for k, span in enumerate(spans):
